@@ -187,12 +187,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     rows = reps.select(F.col("doc_id").alias("id"), "sig").mapInArrow(_key_batches(collections), "key long, id long, lead long, head boolean, more boolean")
     # Rows that already met a smaller id in their batch take no part in the meeting across batches.
-    over = W.partitionBy("key", F.when(F.col("head"), F.lit(-1)).otherwise(F.pmod(F.col("id"), F.lit(65536)))).orderBy("id")
-    heads = (
-        rows.withColumn("first", F.when(F.col("head"), F.first("id").over(over)).otherwise(F.col("lead")))
-        .withColumn("next", F.lead("id").over(over))
-        .where((F.col("first") != F.col("id")) | F.col("more") | F.col("next").isNotNull())
-    )
+    rows = rows.withColumn("apart", F.when(F.col("head"), F.lit(-1)).otherwise(F.pmod(F.col("id"), F.lit(65536))).cast("int"))
+    over = W.partitionBy("key", "apart").orderBy("id")
+    heads = rows.select("key", "id", "lead", "head", "more", F.first("id").over(over).alias("f"), F.lead("id").over(over).alias("next"))
+    heads = heads.select("key", "id", "lead", F.when(F.col("head"), F.col("f")).otherwise(F.col("lead")).alias("first"), "more", "next")
+    heads = heads.where((F.col("first") != F.col("id")) | F.col("more") | F.col("next").isNotNull())
     members = stages.put(heads.select("key", "id", "first", "lead").distinct(), "buckets")
     star = members.select(F.col("first").alias("a"), F.col("id").alias("b")).where("a <> b")
     star = stages.put(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")

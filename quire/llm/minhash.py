@@ -198,16 +198,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     edges = stages.put(_verified(docs, sig, star, shingle, percent, stages), "edges")
     found = components(stages, edges)
 
-    # Buckets that still hold several components: every pair across them.
-    own = members.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    open_keys = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    sizes = sig.where(usable).select(F.col("doc_id").alias("id"), "n_shingles").distinct()
-    rest = stages.put(own.join(open_keys, "key", "left_semi").join(sizes, "id").distinct(), "rest")
-    left = rest.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"))
-    right = rest.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"))
-    near = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    cross = left.join(right, "key").where(near).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = _verified(docs, sig, stages.put(cross, "cross"), shingle, percent, stages)
+    more = _across(docs, members, found, shingle, percent, stages)
     more = stages.put(more, "more")
     if not more.isEmpty():
         found = components(stages, edges.unionByName(more))
@@ -218,6 +209,80 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return out.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
 
 
+def _ranked(size: str, component: str):
+    return F.struct(F.col(size).alias("size"), F.col(component).alias("component"))
+
+
+def _compare(percent: int):
+    """Links between the queries and the members of one block that lie in different components."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        if not left.num_rows or not right.num_rows:
+            return out.empty_table()
+        parts = []
+        for t in (left, right):
+            items = t.column("items").combine_chunks()
+            items = items.chunk(0) if isinstance(items, pa.ChunkedArray) else items
+            sizes = np.diff(items.offsets.to_numpy())
+            parts.append((t.column("id").to_numpy(), t.column("component").to_numpy(), sizes, items.flatten().to_numpy()))
+        (ids, comp, n, flat), (q_ids, q_comp, q_n, q_flat) = parts
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], np.repeat(np.arange(len(ids)), n)[order]
+        lo, hi = np.searchsorted(flat, q_flat, "left"), np.searchsorted(flat, q_flat, "right")
+        ends, found = np.cumsum(q_n), set()
+        for k in range(len(q_ids)):
+            s = slice(ends[k] - q_n[k], ends[k])
+            count = hi[s] - lo[s]
+            at = np.repeat(lo[s] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            common = np.bincount(owner[at], minlength=len(ids))
+            good = (common * 100 >= (n + q_n[k] - common) * percent) & (comp != q_comp[k])
+            found.update((int(min(q_comp[k], c)), int(max(q_comp[k], c))) for c in comp[good])
+        a, b = zip(*sorted(found)) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}, schema=out)
+
+    return run
+
+
+#: Documents of a block and queries that meet it in one group.
+MEMBERS, QUERIES = 256, 512
+
+
+def _across(docs: DataFrame, members: DataFrame, found: DataFrame, shingle: int, percent: int, stages: Stages) -> DataFrame:
+    """Links (a, b) between components that share a bucket, from all pairs across them.
+
+    In a bucket, all but the members of its largest component are queries. A query meets every
+    cluster it shares a bucket with: a component, with the single documents whose largest
+    neighbour it is. Clusters and their queries are cut into blocks, so that no group grows with
+    either, and inside a block all common shingles are counted at once; pairs never become rows.
+    """
+    own = members.select("key", "id").distinct().join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    open_keys = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    rest = own.join(open_keys, "key", "left_semi").join(sizes, "component", "left").select("key", "id", "component", F.coalesce("size", F.lit(1)).alias("size"))
+    rest = stages.put(rest, "rest")
+    top = rest.groupBy("key").agg(F.max(_ranked("size", "component")).alias("top"))
+    rest = rest.join(top, "key").withColumn("asks", F.col("component") != F.col("top.component"))
+    group = rest.groupBy("id").agg(F.first("component").alias("component"), F.first("size").alias("size"), F.max("top").alias("top"))
+    group = stages.put(group.select("id", "component", F.when(F.col("size") > 1, F.col("component")).otherwise(F.col("top.component")).alias("g")), "clusters")
+    # By bucket: its queries, and the clusters of its members.
+    held = rest.select("key", "id").join(group.select("id", "g"), "id").select("key", "g").distinct()
+    asks = stages.put(rest.where("asks").select("key", "id").join(held, "key").select("id", "g").distinct(), "queries")
+
+    n = group.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("nb")).join(asks.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("nq")), "g")
+    n = stages.put(n, "blocks")
+    ids = group.select(F.col("id").alias("doc_id"))
+    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_set_batches(shingle), "id long, items array<long>")
+    sets = stages.put(sets.join(group.select("id", "component"), "id"), "sets")
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    mine = lambda c: F.pmod(F.xxhash64("id"), F.col(c))
+    left = group.select("id", "g").join(n, "g").select("id", "g", mine("nb").alias("block"), every("nq").alias("part")).join(sets, "id")
+    right = asks.join(n, "g").select("id", "g", every("nb").alias("block"), mine("nq").alias("part")).join(sets, "id")
+    right = right.select(*(F.col(c).alias(c) for c in right.columns))  # names of its own: both sides come from one table
+    by = ("g", "block", "part")
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_compare(percent), "a long, b long").distinct()
+
+
 def _verified(docs: DataFrame, sig: DataFrame, pairs: DataFrame, shingle: int, percent: int, stages: Stages) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
     sizes = sig.select("doc_id", "n_shingles").distinct()

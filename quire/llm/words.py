@@ -47,10 +47,10 @@ def powers(n: int) -> np.ndarray:
 class Words:
     """Words of the texts in one block: start, end (byte positions), doc (row), hash."""
 
-    def __init__(self, offsets: np.ndarray, data: np.ndarray, outside: np.ndarray = SPACE):
+    def __init__(self, offsets: np.ndarray, data: np.ndarray, outside: np.ndarray = SPACE, lower: bool = True):
         n_docs = len(offsets) - 1
         self.n_docs = n_docs
-        self.data = low = LOWER[data]
+        self.data = low = LOWER[data] if lower else data
         inside = ~outside[low]
         first = np.zeros(len(low) + 1, bool)
         first[offsets] = True

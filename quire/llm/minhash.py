@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from .common import Stages, blocks, list_array
@@ -94,9 +95,19 @@ def _signature_batches(id_column: str, size: int, collections: int, width: int,
     return run
 
 
-def _set_batches(size: int):
+#: Places of the bitmap that tells which ids are wanted: 8 MB, whatever the number of documents.
+PLACES = 67108859
+
+
+def _set_batches(size: int, wanted):
+    """Sets of the texts whose id may be wanted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
         for batch in batches:
+            batch = batch.filter(pa.compute.is_valid(batch.column(0)))
+            place = batch.column(0).to_numpy() % PLACES
+            batch = batch.filter(pa.array((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
             for lo, hi, offsets, data in blocks(batch.column(1)):
                 with np.errstate(over="ignore"):
                     flat, starts = shingle_sets(Words(offsets, data), size)
@@ -105,6 +116,22 @@ def _set_batches(size: int):
     return run
 
 
+def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(id, items): the full sets of the documents with these ids.
+
+    A bitmap of fixed size drops most other documents before anything is shuffled; the join drops the
+    rest, so texts are never moved.
+    """
+    spark = docs.sparkSession
+    place = F.pmod("id", F.lit(PLACES)) + 1
+    parts = ids.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    bits = np.zeros((PLACES // 32768 + 1, 4096), np.uint8)
+    for k, part in parts:
+        bits[k - 1] = np.frombuffer(part, np.uint8)
+    wanted = spark.sparkContext.broadcast(bits.reshape(-1))
+    return docs.mapInArrow(_set_batches(shingle, wanted), "id long, items array<long>").join(ids, "id", "left_semi")
+
+
 def _key_batches(collections: int):
     """Table keys of all pairs of collections; inside a batch, equal keys meet already here.
 
@@ -271,9 +298,7 @@ def _across(docs: DataFrame, members: DataFrame, found: DataFrame, shingle: int,
 
     n = group.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("nb")).join(asks.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("nq")), "g")
     n = stages.put(n, "blocks")
-    ids = group.select(F.col("id").alias("doc_id"))
-    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_set_batches(shingle), "id long, items array<long>")
-    sets = stages.put(sets.join(group.select("id", "component"), "id"), "sets")
+    sets = stages.put(_sets(docs, group.select("id"), shingle).join(group.select("id", "component"), "id"), "sets")
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     mine = lambda c: F.pmod(F.xxhash64("id"), F.col(c))
     left = group.select("id", "g").join(n, "g").select("id", "g", mine("nb").alias("block"), every("nq").alias("part")).join(sets, "id")
@@ -290,9 +315,8 @@ def _verified(docs: DataFrame, sig: DataFrame, pairs: DataFrame, shingle: int, p
     nb = sizes.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"))
     pairs = pairs.join(na, "a").join(nb, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     pairs = stages.put(pairs.select("a", "b", "na", "nb"), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_set_batches(shingle), "id long, items array<long>")
-    sets = stages.put(sets, "sets")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = stages.put(_sets(docs, ids, shingle), "sets")
     sa = sets.select(F.col("id").alias("a"), F.col("items").alias("sa"))
     sb = sets.select(F.col("id").alias("b"), F.col("items").alias("sb"))
     both = pairs.join(sa, "a").join(sb, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))

@@ -1,11 +1,62 @@
-"""A training corpus made from the documents table."""
+"""A training corpus from the documents table, stage by stage.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and works on all its predecessor kept. All but the last return the
+columns of documents; the last writes the token blocks and returns what is read back from them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from quire.llm import decontam, minhash, mixing, quality, tokens
+from quire.llm.common import Stages, table
+from quire.llm.queries import tokenizer_path
+
+#: A document whose quality score is below this goes.
+QUALITY = 0.5
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    model = quality.train_quality(docs, table(spark, sf_dir, "labels"))
+    return quality.score_quality(docs, model).where(F.col("score") >= QUALITY).select("row.*")
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, similarity 0.8) the smallest id stays."""
+    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words inside any benchmark window are cut out of the texts."""
+    out = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), cut=True)
+    now = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*(now.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its rate says."""
+    labelled = mixing.label_domains(table(spark, sf_dir, "labels"))
+    rates = mixing.mix(docs, labelled, mixing.TARGETS, mixing.BUDGET)
+    rates = rates.groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
+    out = docs.join(rates, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return out.select(docs.columns)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in blocks, by ascending id; a document that the mix repeats is repeated."""
+    return tokens.read_tokens(tokens.write_tokens(docs, tokenizer_path()))
+
+
+STAGES = [("quality", quality_stage), ("near_dedup", dedup_stage), ("decontamination", decontamination_stage), ("mixing", mixing_stage), ("token_output", token_stage)]
+
+#: Trained models and a tokenizer: SQL can't express these stages. tests/llm holds each against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, stages = table(spark, sf_dir, "documents"), Stages(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = stages.put(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import audio, chat, decontam, quality, tokens
+from . import audio, chat, decontam, lm, mixing, quality, tokens, toxicity
 from .common import crc32_mod, table
 from .lines import dedup_lines
 from .minhash import near_duplicates
@@ -27,6 +27,13 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = mixing.label_domains(table(spark, sf_dir, "labels"))
+    out = mixing.mix(table(spark, sf_dir, "documents"), labelled, mixing.TARGETS, mixing.BUDGET)
+    each = [F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(sorted(mixing.TARGETS))]
+    return out.select("doc_id", "n_tokens", *each, "rate", "copies")
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,6 +54,10 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(turns.unionByName(extra)))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score_quality(docs.select("doc_id", "text"), quality.train_quality(docs, table(spark, sf_dir, "labels")))
@@ -54,12 +65,31 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc32_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_toxicity(docs.select("doc_id", "text"), toxicity.train_toxicity(docs, table(spark, sf_dir, "labels")))
+    scored = scored.select(F.col("row.doc_id").alias("doc_id"), "score")
+    return scored.select("doc_id", (crc32_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_audio_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digest(audio.audio_columns(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op3_benchmark_decontamination, op4_line_dedup, op5_token_output, op6_chat_formatting, op8_quality, op10_audio_columns)
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup,
+        op2_source_mixing,
+        op3_benchmark_decontamination,
+        op4_line_dedup,
+        op5_token_output,
+        op6_chat_formatting,
+        op7_lm_scoring,
+        op8_quality,
+        op9_toxicity,
+        op10_audio_columns,
+    )
 }
 
 ORACLE = {

@@ -34,53 +34,55 @@ U = np.uint64
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
-    """Rows of 128 values as rows of 16 * width bytes."""
-    out = np.zeros((len(values), 2 * width + 1), U)
+    """Columns of 128 values (one row for each place in a block) as rows of 16 * width bytes."""
+    out = np.zeros((2 * width + 1, values.shape[1]), U)
     for i in range(BLOCK if width else 0):
         word, shift = divmod(i * width, 64)
-        out[:, word] |= values[:, i] << U(shift)
+        v = values[i].astype(U)
+        out[word] |= v << U(shift)
         if shift + width > 64:
-            out[:, word + 1] |= values[:, i] >> U(64 - shift)
-    return np.ascontiguousarray(out[:, : 2 * width]).view(np.uint8).reshape(len(values), 16 * width)
+            out[word + 1] |= v >> U(64 - shift)
+    return np.ascontiguousarray(out[: 2 * width].T).view(np.uint8).reshape(values.shape[1], 16 * width)
 
 
 def _unpack(packed: np.ndarray, width: int) -> np.ndarray:
-    words = np.ascontiguousarray(packed).view(U).reshape(len(packed), 2 * width)
-    out = np.zeros((len(packed), BLOCK), U)
+    words = np.ascontiguousarray(np.ascontiguousarray(packed).view(U).reshape(len(packed), 2 * width).T)
+    out = np.zeros((BLOCK, len(packed)), np.uint32)
     mask = U((1 << width) - 1)
     for i in range(BLOCK if width else 0):
         word, shift = divmod(i * width, 64)
-        v = words[:, word] >> U(shift)
+        v = words[word] >> U(shift)
         if shift + width > 64:
-            v = v | (words[:, word + 1] << U(64 - shift))
-        out[:, i] = v & mask
-    return out
+            v |= words[word + 1] << U(64 - shift)
+        out[i] = v & mask
+    return out.T
 
 
 def encode_ids(ids: np.ndarray) -> bytes:
+    """A shard of 32-bit ids."""
     n = -(-len(ids) // BLOCK)
-    full = np.full(n * BLOCK, ids[-1] if len(ids) else 0, U)
+    full = np.full(n * BLOCK, ids[-1] if len(ids) else 0, np.uint32)
     full[: len(ids)] = ids
-    full = full.reshape(n, BLOCK)
-    low = full.min(axis=1) if n else np.zeros(0, U)
-    diff = full - low[:, None]
-    typical = np.sort(diff, axis=1)[:, int(KEEP * (BLOCK - 1))] if n else low
-    width = np.zeros(n, np.uint8)
-    for bit in range(32):
-        width += (typical >> U(bit)) > 0
-    over = diff >> width[:, None].astype(U) > 0
-    n_over = over.sum(axis=1)
+    diff = np.ascontiguousarray(full.reshape(n, BLOCK).T)  # a row for each place: all steps run over whole rows
+    low = diff.min(axis=0) if n else np.zeros(0, np.uint32)
+    diff -= low
+    place_kept = int(KEEP * (BLOCK - 1))
+    typical = np.partition(diff, place_kept, axis=0)[place_kept] if n else low
+    width = np.frexp(typical.astype(np.float64))[1].astype(np.uint8)  # bits of the value
+    over = np.zeros(diff.shape, bool)
+    np.greater(diff, ((U(1) << width.astype(U)) - U(1)).astype(np.uint32), out=over)
+    n_over = over.sum(axis=0)
     start = np.concatenate([[0], np.cumsum(16 * width.astype(np.int64) + 5 * n_over)])
     area = np.zeros(start[-1], np.uint8)
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
-        packed = _pack(diff[rows] & U((1 << int(w)) - 1), int(w))
+        packed = _pack(diff[:, rows] & np.uint32((1 << int(w)) - 1), int(w))
         area[start[rows][:, None] + np.arange(16 * int(w))] = packed
-    block, place = np.nonzero(over)
+    block, place = np.nonzero(over.T)
     nth = np.arange(len(block)) - np.repeat(np.cumsum(n_over) - n_over, n_over)
     at = start[block] + 16 * width[block].astype(np.int64)
     area[at + nth] = place
-    value = diff[block, place].astype("<u4")[:, None].view(np.uint8).reshape(-1, 4)
+    value = diff[place, block].astype("<u4")[:, None].view(np.uint8).reshape(-1, 4)
     area[(at + n_over[block] + 4 * nth)[:, None] + np.arange(4)] = value
     return b"".join([HEAD.pack(MAGIC, len(ids), n), low.astype("<u4").tobytes(), width.tobytes(), n_over.astype(np.uint8).tobytes(), start.astype("<u8").tobytes(), area.tobytes()])
 
@@ -95,7 +97,7 @@ def decode_ids(data: bytes) -> np.ndarray:
     n_over = np.frombuffer(data, np.uint8, n, at + 5 * n).astype(np.int64)
     start = np.frombuffer(data, "<u8", n + 1, at + 6 * n).astype(np.int64)
     area = np.frombuffer(data, np.uint8, offset=at + 6 * n + 8 * (n + 1))
-    out = np.zeros((n, BLOCK), U)
+    out = np.zeros((n, BLOCK), np.uint32)
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
         out[rows] = _unpack(area[start[rows][:, None] + np.arange(16 * int(w))], int(w))
@@ -105,16 +107,30 @@ def decode_ids(data: bytes) -> np.ndarray:
     place = area[begin + nth]
     value = np.ascontiguousarray(area[(begin + n_over[block] + 4 * nth)[:, None] + np.arange(4)]).view("<u4").reshape(-1)
     out[block, place] = value
-    return (out + low[:, None].astype(U)).reshape(-1)[:n_ids].astype(np.uint32)
+    out += low[:, None]
+    return out.reshape(-1)[:n_ids]
+
+
+#: Bytes of ASCII letters, digits, other marks (not the apostrophe) and of letters of U+00C0 to U+00FF.
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 3
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[48:58] = 2
+_KIND[39] = 0
 
 
 class WordEncoder:
     """Encodes texts word by word with a tokenizer that never joins words across blanks.
 
-    Ids of words seen are kept (by a 64-bit hash of the exact word), up to ``MOST`` words.
+    Ids of words seen are kept (by a 64-bit hash of the exact word), up to ``MOST`` words. New words go
+    through the tokenizer many at a time, with blanks between them. Where one ends is known from its
+    pieces: the pre-tokenizer cuts a word into runs of letters, single digits and runs of other marks, and
+    the last id of each piece ends with the mark of a word's end. Words with anything else in them
+    (apostrophes, other letters, special tokens) are encoded one by one.
     """
 
     MOST = 1 << 20
+    TOGETHER = 1000
 
     def __init__(self, path: str):
         import os
@@ -123,38 +139,88 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.hash, self.at, self.n, self.ids = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def _lookup(self, unique: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        got = [x.ids for x in ids]
-        n = np.array([len(x) for x in got], np.int64)
-        return n, np.cumsum(n) - n, np.array([y for x in got for y in x], np.uint32)
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for x, i in vocab.items() if x.endswith("</w>")]] = True
+        self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.hash, self.at, self.n, self.ids = np.zeros(0, U), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def _pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """How many pieces the pre-tokenizer makes of each word; 0 where that is left to it."""
+        length = end - start
+        first = np.cumsum(length) - length
+        at = np.arange(length.sum()) - np.repeat(first - start, length)
+        raw, kind = data[at], _KIND[data[at]]
+        lead = raw == 0xC3  # U+00C0 to U+00FF but for the signs at D7 and F7
+        follow = np.zeros(len(raw), bool)
+        follow[1:] = lead[:-1] & (raw[1:] >= 0x80) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+        kind[follow] = 1
+        kind[:-1][follow[1:]] = 1
+        cut = np.ones(len(raw), bool)
+        cut[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        cut[first[length > 0]] = True
+        pieces = np.add.reduceat(cut, first, dtype=np.int32)
+        pieces[np.minimum.reduceat(kind, first) == 0] = 0
+        return pieces
+
+    def _lookup(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of some words: how many each has, where they begin, and all ids."""
+        if not len(start):
+            return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        raw = data.tobytes()
+        words = [raw[a:b] for a, b in zip(start.tolist(), end.tolist())]
+        pieces = self._pieces(data, start, end)
+        marked = np.flatnonzero((pieces > 0) & (data[start] == 60))
+        pieces[[k for k in marked if any(x in words[k] for x in self.special)]] = 0
+        n, at, parts, held = np.zeros(len(words), np.int32), np.zeros(len(words), np.int32), [], 0
+
+        def alone(rows):
+            nonlocal held
+            for k, x in zip(rows, self.tokenizer.encode_batch_fast([words[k].decode() for k in rows], add_special_tokens=False)):
+                ids = np.array(x.ids, np.uint32)
+                n[k], at[k] = len(ids), held
+                parts.append(ids)
+                held += len(ids)
+
+        together = np.flatnonzero(pieces > 0)
+        groups = [together[k : k + self.TOGETHER] for k in range(0, len(together), self.TOGETHER)]
+        for rows, x in zip(groups, self.tokenizer.encode_batch_fast([b" ".join([words[k] for k in rows]).decode() for rows in groups], add_special_tokens=False)):
+            ids = np.array(x.ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) != pieces[rows].sum():
+                alone(rows)
+                continue
+            stop = last[np.cumsum(pieces[rows]) - 1] + 1
+            n[rows] = np.diff(stop, prepend=0)
+            at[rows] = held + stop - n[rows]
+            parts.append(ids)
+            held += len(ids)
+        alone(np.flatnonzero(pieces == 0))
+        return n, at, np.concatenate(parts)
 
     def encode(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts of a block, and how many each text has."""
         with np.errstate(over="ignore"):
             w = Words(offsets, data, lower=False)
         unique, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+        n, place = np.zeros(len(unique), np.int32), np.zeros(len(unique), np.int32)
+        known = np.zeros(len(unique), bool)
         if len(self.hash):
             at = np.minimum(np.searchsorted(self.hash, unique), len(self.hash) - 1)
             known = self.hash[at] == unique
-        else:
-            at, known = np.zeros(len(unique), np.int64), np.zeros(len(unique), bool)
-        raw = data.tobytes()
+            n[known], place[known] = self.n[at[known]], self.at[at[known]]
         fresh = np.flatnonzero(~known)
-        n_new, at_new, ids_new = self._lookup(unique[fresh], [raw[a:b].decode() for a, b in zip(w.start[first[fresh]], w.end[first[fresh]])])
-        n, place = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int64)
-        n[known], place[known] = self.n[at[known]] if len(self.n) else 0, self.at[at[known]] if len(self.at) else 0
-        n[fresh], place[fresh] = n_new, at_new + len(self.ids)
+        n[fresh], place[fresh], ids_new = self._lookup(data, w.start[first[fresh]], w.end[first[fresh]])
+        place[fresh] += len(self.ids)
         pool = np.concatenate([self.ids, ids_new])
         if len(self.hash) + len(fresh) <= self.MOST:
             order = np.argsort(h := np.concatenate([self.hash, unique[fresh]]))
-            self.hash, self.at, self.n = h[order], np.concatenate([self.at, place[fresh]])[order], np.concatenate([self.n, n_new])[order]
+            self.hash, self.at, self.n = h[order], np.concatenate([self.at, place[fresh]])[order], np.concatenate([self.n, n[fresh]])[order]
             self.ids = pool
         each = n[inverse]
-        total = np.cumsum(each)
-        index = np.arange(total[-1] if len(total) else 0) - np.repeat(total - each, each) + np.repeat(place[inverse], each)
+        total = np.cumsum(each, dtype=np.int64)
+        index = np.repeat((place[inverse] - total + each).astype(np.int32), each)
+        index += np.arange(len(index), dtype=np.int32)
         ends = np.concatenate([[0], total])[w.first_word]
         return pool[index], np.diff(ends)
 
@@ -177,7 +243,7 @@ def _write(path: str, end_id: int):
             return out
 
         for batch in batches:
-            for lo, hi, offsets, data in blocks(batch.column(1), 8 << 20):
+            for lo, hi, offsets, data in blocks(batch.column(1), 4 << 20):
                 flat, n = coder.encode(offsets, data)
                 with_end = np.insert(flat, np.cumsum(n), end_id)
                 n = n + 1

@@ -25,7 +25,7 @@ from .words import Words
 
 BITS = 18
 #: Steps of the projected gradient, at most.
-STEPS = 30
+STEPS = 40
 
 
 def _features(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -173,7 +173,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
     small = soft.select("n_tokens", "posterior")
 
     moves: list[np.ndarray] = []
-    total, goal, last = 0.0, np.zeros(k), None
+    total, goal, last, share, best = 0.0, np.zeros(k), None, 1.0, (np.inf, 0)
     for _ in range(STEPS + 1):
         got = {r[0]: r[1] for r in small.mapInArrow(_totals(moves, k), "k int, v double").groupBy("k").agg(F.sum("v")).collect()}
         now = np.array([got.get(i, 0.0) for i in range(k)])
@@ -183,7 +183,9 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
             goal = weights / weights.sum() * total * budget
             if not total:
                 break
+            share = max(1e-6, float((now / total).min()))
         g = (now - goal) / total
+        best = min(best, (float(g @ g), len(moves)))
         if np.abs(g).max() < 1e-5 or len(moves) == STEPS:
             break
         pace = 1.0
@@ -192,9 +194,10 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
             moved = got.get(k, 0.0)
             if not moved or not change:
                 break
-            pace = min(1e4, max(0.5, moved / change))
+            pace = min(2 / share, max(1.0, moved / change))
         last = now
         moves.append(pace * g)
+    moves = moves[: best[1]]  # the steps aren't monotone: the rates are those that came nearest
     out = soft.mapInArrow(_rated(moves, k), "doc_id long, n_tokens long, posterior array<double>, rate double")
     part = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     return out.withColumn("copies", (F.floor("rate") + (part < F.col("rate") - F.floor("rate")).cast("long")).cast("int"))

@@ -3,9 +3,9 @@
 A word is its byte n-grams of 3 to 5, with marks at its ends, and the whole word; each is a row of a
 hashed embedding table, so a misspelling nobody has seen shares most of its rows with the word.
 Embeddings and softmax are trained together in numpy on a bounded sample of labelled rows. A text
-is read in windows of 32 words, half overlapping; the window's mean embedding goes into the softmax,
-and a text is as toxic as its worst window, so that a few words in a very long text still count.
-Training first learns from whole texts and then from each text's worst window.
+is read in windows of three words, one beginning at each word; the window's mean embedding goes into
+the softmax, and a text is as toxic as its worst window, so that one word in a very long text still
+counts. Training follows the same rule: a step learns from the window that is worst at that time.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ from .common import blocks, list_array
 from .quality import labelled_sample
 from .words import Words, mix
 
-BITS, DIM, WINDOW = 18, 8, 32
+BITS, DIM, WINDOW = 18, 8, 3
+#: Words next to each other that are taken together from a long text for training.
+RUN = 8
 _rng = np.random.default_rng(11)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -68,14 +70,11 @@ def subwords(w: Words, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def windows(n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all texts of a block: first and last word (exclusive) of each window, and the first window of each text."""
-    half = WINDOW // 2
-    count = np.maximum(1, -(-(n_words - half) // half))
+    count = np.maximum(1, n_words - WINDOW + 1)
     first = np.concatenate([[0], np.cumsum(count)])
-    base = np.repeat(np.concatenate([[0], np.cumsum(n_words)])[:-1], count)
-    k = np.arange(first[-1]) - np.repeat(first[:-1], count)
-    lo = base + k * half
-    hi = np.minimum(lo + WINDOW, base + np.repeat(n_words, count))
-    return lo, hi, first
+    base = np.cumsum(n_words) - n_words
+    lo = np.arange(first[-1]) - np.repeat(first[:-1] - base, count)
+    return lo, np.minimum(lo + WINDOW, np.repeat(base + n_words, count)), first
 
 
 @dataclass
@@ -87,48 +86,50 @@ class SubwordModel:
     @classmethod
     def start(cls, seed: int = 13) -> SubwordModel:
         rng = np.random.default_rng(seed)
-        return cls(((rng.random((1 << BITS, DIM), np.float32) - 0.5) / DIM), np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32))
+        return cls(((rng.random((1 << BITS, DIM), np.float32) - 0.5) / DIM), (rng.normal(size=(DIM, 2)) / 2).astype(np.float32), np.zeros(2, np.float32))
 
     def softmax(self, z: np.ndarray) -> np.ndarray:
         z = z @ self.out + self.bias
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
-    def step(self, rows: np.ndarray, n: np.ndarray, y: np.ndarray, rate: float) -> None:
-        """One update of all parameters from some bags: rows of the table, bag sizes, labels."""
-        n = np.maximum(n, 1)
-        at = np.concatenate([[0], np.cumsum(n)[:-1]])
+    def step(self, rows: np.ndarray, n: np.ndarray, y: np.ndarray, rate: float, seen: np.ndarray) -> None:
+        """One update of all parameters from some bags: rows of the table, bag sizes, labels.
+
+        ``seen`` sums each table row's squared gradients; a row's pace falls with it.
+        """
+        at = np.cumsum(n) - n
         z = np.add.reduceat(self.table[rows], at) / n[:, None]
-        p = self.softmax(z)
-        p[np.arange(len(y)), y] -= 1
-        weight = np.where(y == 1, 2.0, 1.0).astype(np.float32)[:, None] / len(y)
-        g = p * weight
-        dz = (g @ self.out.T) / n[:, None]
-        self.out -= rate * (z.T @ g)
-        self.bias -= rate * g.sum(axis=0)
+        g = self.softmax(z)
+        g[np.arange(len(y)), y] -= 1
+        g *= np.where(y == 1, 2.0, 1.0).astype(np.float32)[:, None] / len(y)
+        each = np.repeat((g @ self.out.T) / n[:, None], n, axis=0)
+        self.out -= 0.5 * (z.T @ g)
+        self.bias -= 0.1 * g.sum(axis=0)
         distinct, inverse = np.unique(rows, return_inverse=True)
-        each = np.repeat(dz, n, axis=0)
-        change = np.stack([np.bincount(inverse, each[:, k], len(distinct)) for k in range(DIM)], axis=1)
-        self.table[distinct] -= (rate * len(y) * change).astype(np.float32)
+        change = np.stack([np.bincount(inverse, each[:, k], len(distinct)) for k in range(DIM)], axis=1).astype(np.float32)
+        seen[distinct] += (change**2).sum(axis=1)
+        self.table[distinct] -= rate * change / np.sqrt(seen[distinct])[:, None]
 
-    def fit(self, docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, batch: int = 64, seed: int = 17) -> SubwordModel:
-        """docs: each text's window rows and window sizes."""
+    def fit(self, docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.3, seed: int = 17) -> SubwordModel:
+        """docs: each text's subword rows and how many each of its words has."""
         rng = np.random.default_rng(seed)
-        for epoch in range(3):
-            for own in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
-                whole = [docs[k][0] for k in own]
-                self.step(np.concatenate(whole), np.array([len(x) for x in whole]), y[own], 1.0)
-        for epoch in range(6):
+        seen = np.full(len(self.table), 1e-6, np.float32)
+        for epoch in range(epochs):
             for own in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
-                worst = [self.worst(*docs[k]) for k in own]
-                self.step(np.concatenate(worst), np.array([len(x) for x in worst]), y[own], 0.5)
+                margin = self.margin()
+                worst = [self.worst(margin, *docs[k]) for k in own]
+                self.step(np.concatenate(worst), np.array([len(x) for x in worst]), y[own], rate * (1 - epoch / (epochs + 2)), seen)
         return self
 
-    def worst(self, rows: np.ndarray, n: np.ndarray) -> np.ndarray:
-        s = self.margin()[rows]
-        ends = np.cumsum(n)
-        k = int(np.argmax(np.add.reduceat(s, ends - n) / n))
-        return rows[ends[k] - n[k] : ends[k]]
+    @staticmethod
+    def worst(margin: np.ndarray, rows: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The rows of a text's worst window."""
+        ends = np.concatenate([[0], np.cumsum(n)])
+        total = np.concatenate([[0], np.cumsum(margin[rows], dtype=np.float64)])[ends]
+        lo, hi, _ = windows(np.array([len(n)]))
+        k = int(np.argmax((total[hi] - total[lo]) / (ends[hi] - ends[lo])))
+        return rows[ends[lo[k]] : ends[hi[k]]]
 
     def margin(self) -> np.ndarray:
         """What each table row adds to the difference of the two scores."""
@@ -142,8 +143,8 @@ def _distinct(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return rows, n, np.cumsum(n) - n, inverse
 
 
-def _bags(most_windows: int):
-    """Each labelled text's windows as subword rows; of a longer text, evenly spaced windows."""
+def _bags(most_words: int):
+    """Each labelled text's subword rows, word by word; of a longer text, evenly spaced runs of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,40 +152,37 @@ def _bags(most_windows: int):
                 with np.errstate(over="ignore"):
                     w = Words(offsets, data)
                     rows, n, at, inverse = _distinct(w)
-                a, b, first = windows(w.n_words)
-                bags, sizes, starts = [], [], [0]
-                for d in range(hi - lo):
-                    own = np.unique(np.linspace(first[d], first[d + 1] - 1, min(first[d + 1] - first[d], most_windows)).astype(int))
-                    for k in own:
-                        words = inverse[a[k] : b[k]]
-                        index = np.arange(n[words].sum()) - np.repeat(np.cumsum(n[words]) - n[words], n[words]) + np.repeat(at[words], n[words])
-                        bags.append(rows[index])
-                        sizes.append(len(index))
-                    starts.append(len(sizes))
-                flat = np.concatenate(bags).astype(np.int32) if bags else np.zeros(0, np.int32)
-                ends = np.concatenate([[0], np.cumsum(sizes)])[starts]
+                words, starts = [], [0]
+                for a, b in zip(w.first_word[:-1], w.first_word[1:]):
+                    own = np.arange(a, b)
+                    if b - a > most_words:
+                        own = (np.linspace(a, b - RUN, most_words // RUN).astype(int)[:, None] + np.arange(RUN)).reshape(-1)
+                    words.append(inverse[own])
+                    starts.append(starts[-1] + len(own))
+                words = np.concatenate(words)
+                each = n[words]
+                ends = np.concatenate([[0], np.cumsum(each)])
+                flat = rows[np.arange(ends[-1]) + np.repeat(at[words] - ends[:-1], each)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), list_array(flat, ends, pa.int32()), list_array(np.array(sizes, np.int32), np.array(starts), pa.int32())],
+                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), list_array(flat.astype(np.int32), ends[starts], pa.int32()), list_array(each.astype(np.int32), np.array(starts), pa.int32())],
                     names=["doc_id", "label", "rows", "sizes"],
                 )
 
     return run
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 4000, most_windows: int = 48, held_out: int | None = 2) -> SubwordModel | None:
-    """Fits the model; ``most`` texts and ``most_windows`` windows of each bound the sample. None without both classes."""
+def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 5000, most_words: int = 768, held_out: int | None = 2) -> SubwordModel | None:
+    """Fits the model; ``most`` texts and ``most_words`` words of each bound the sample. None without both classes."""
     sample = labelled_sample(docs, labels, label, most, held_out).select("doc_id", "text", "label")
-    got = sample.mapInArrow(_bags(most_windows), "doc_id long, label int, rows array<int>, sizes array<int>").toArrow().sort_by("doc_id")
-    y = got.column("label").to_numpy()
+    got = sample.mapInArrow(_bags(most_words), "doc_id long, label int, rows array<int>, sizes array<int>").toArrow()
+    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
+    y, rows, sizes = got.column("label").to_numpy(), got.column("rows"), got.column("sizes")
+    texts = [(np.asarray(rows[k].values), np.asarray(sizes[k].values)) for k in order.tolist()]
+    kept = [k for k, t in enumerate(texts) if len(t[0])]
+    y = y[order][kept]
     if len(set(y.tolist())) < 2:
         return None
-    texts, kept = [], []
-    for k, (rows, n) in enumerate(zip(got.column("rows"), got.column("sizes"))):
-        rows, n = np.asarray(rows.values), np.asarray(n.values)
-        if len(rows):
-            texts.append((rows, n[n > 0]))
-            kept.append(k)
-    return SubwordModel.start().fit(texts, y[kept])
+    return SubwordModel.start().fit([texts[k] for k in kept], y)
 
 
 def _scored(shared):

@@ -119,8 +119,13 @@ _KIND[48:58] = 2
 _KIND[39] = 0
 
 
+#: Marks that are split from a word's end: after a letter or digit they begin a piece of their own anyway.
+TAILS = np.zeros(256, bool)
+TAILS[[ord(c) for c in ".,;:!?"]] = True
+
+
 class WordEncoder:
-    """Encodes texts word by word with a tokenizer that never joins words across blanks.
+    """Encodes texts word by word with a tokenizer that lowers case and never joins words across blanks.
 
     Ids of words seen are kept (by a 64-bit hash of the exact word), up to ``MOST`` words. New words go
     through the tokenizer many at a time, with blanks between them. Where one ends is known from its
@@ -130,7 +135,7 @@ class WordEncoder:
     """
 
     MOST = 1 << 20
-    TOGETHER = 1000
+    TOGETHER = 100
 
     def __init__(self, path: str):
         import os
@@ -201,7 +206,8 @@ class WordEncoder:
     def encode(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts of a block, and how many each text has."""
         with np.errstate(over="ignore"):
-            w = Words(offsets, data, lower=False)
+            # Special tokens are told by their case, so a block that may hold one keeps it.
+            w = Words(offsets, data, lower=b"<|" not in data.tobytes(), tails=TAILS)
         unique, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
         n, place = np.zeros(len(unique), np.int32), np.zeros(len(unique), np.int32)
         known = np.zeros(len(unique), bool)

@@ -19,6 +19,9 @@ NOT_ALNUM = np.zeros(256, bool)
 NOT_ALNUM[:0x80] = True
 NOT_ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = False
 
+PUNCTUATION = np.zeros(256, bool)
+PUNCTUATION[[c for c in range(0x80) if not chr(c).isalnum()]] = True
+
 _rng = np.random.default_rng(20240501)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U(1)
 _powers = np.ones(1, np.uint64)
@@ -47,7 +50,7 @@ def powers(n: int) -> np.ndarray:
 class Words:
     """Words of the texts in one block: start, end (byte positions), doc (row), hash."""
 
-    def __init__(self, offsets: np.ndarray, data: np.ndarray, outside: np.ndarray = SPACE, lower: bool = True):
+    def __init__(self, offsets: np.ndarray, data: np.ndarray, outside: np.ndarray = SPACE, lower: bool = True, tails: np.ndarray | None = None):
         n_docs = len(offsets) - 1
         self.n_docs = n_docs
         self.data = low = LOWER[data] if lower else data
@@ -66,6 +69,12 @@ class Words:
             after[:-1] = inside[1:]
             after[first[1:]] = False
         self.end = np.flatnonzero(inside & ~after) + 1
+        if tails is not None and len(self.start):
+            # A mark of ``tails`` at the end of a longer word, not after ASCII punctuation, is a word of its own.
+            last = self.end - 1
+            cut = last[tails[low[last]] & (last > self.start) & ~PUNCTUATION[low[last - 1]]]
+            self.start = np.sort(np.concatenate([self.start, cut]))
+            self.end = np.sort(np.concatenate([self.end, cut]))
         per_doc = np.searchsorted(self.start, offsets)
         self.first_word = per_doc  # n_docs + 1 entries
         self.n_words = np.diff(per_doc)

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import blocks
+from .common import blocks, frugal
 
 RATE, UP, DOWN = 16_000, 5, 8
 OUT_RATE = RATE * UP // DOWN
@@ -160,7 +160,7 @@ def audio_columns(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     Each row is made on its own, so equal texts give equal values and nothing is shuffled.
     """
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return docs.mapInArrow(_clips(pad), "doc_id long, n_bytes long, media binary, mel binary, segments array<array<double>>")
+    return docs.mapInArrow(frugal(_clips(pad)), "doc_id long, n_bytes long, media binary, mel binary, segments array<array<double>>")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,4 +188,4 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digest(clips: DataFrame) -> DataFrame:
     """What is read back from the stored clips and tensors."""
-    return clips.mapInArrow(_digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return clips.mapInArrow(frugal(_digest), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

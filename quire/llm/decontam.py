@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import blocks
+from .common import blocks, frugal
 from .words import NOT_ALNUM, Words, mix
 
 SAMPLE = 16
@@ -231,7 +231,7 @@ def _merge(a: list, b: list) -> list:
 SPAN_TYPE = pa.list_(pa.struct([(x, pa.int32()) for x in ("w0", "w1", "b0", "b1")]))
 
 
-def _search(windows):
+def _search(windows, cut: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = _Shard(windows.value)
 
@@ -243,7 +243,8 @@ def _search(windows):
                 old_s, old_i = rows.column(2).to_pylist(), rows.column(3).to_pylist()
                 s = [_merge([tuple(y.values()) for y in x or []], z) for x, z in zip(old_s, spans[lo:hi])]
                 i = [sorted({*(x or []), *z}) for x, z in zip(old_i, items[lo:hi])]
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([[dict(zip(("w0", "w1", "b0", "b1"), y)) for y in x] for x in s], SPAN_TYPE), pa.array(i, pa.list_(pa.string())), pa.array(n, pa.int64())], names=["row", "text", "spans", "items", "n_words"])
+                text = pa.array([_cut(x, y) for x, y in zip(rows.column(1).to_pylist(), s)], pa.string()) if cut else rows.column(1)
+                yield pa.RecordBatch.from_arrays([rows.column(0), text, pa.array([[dict(zip(("w0", "w1", "b0", "b1"), y)) for y in x] for x in s], SPAN_TYPE), pa.array(i, pa.list_(pa.string())), pa.array(n, pa.int64())], names=["row", "text", "spans", "items", "n_words"])
                 lo = hi
             shard.clear()
 
@@ -258,18 +259,15 @@ def _search(windows):
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if spans:
-                raw, at, kept = text.encode(), 0, []
-                for s in spans:
-                    kept.append(raw[at : s["b0"]])
-                    at = s["b1"]
-                text = b"".join([*kept, raw[at:]]).decode()
-            out.append(text)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), *batch.columns[2:]], names=["row", "text", "spans", "items", "n_words"])
+def _cut(text: str | None, spans: list[tuple[int, int, int, int]]) -> str | None:
+    """A text without the bytes of its spans."""
+    if not spans:
+        return text
+    raw, at, kept = text.encode(), 0, []
+    for _, _, b0, b1 in spans:
+        kept.append(raw[at:b0])
+        at = b1
+    return b"".join([*kept, raw[at:]]).decode()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text: str = "text", n: int = 10, cut: bool = False) -> DataFrame:
@@ -292,8 +290,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_column: str = "tex
     for k in range(n_blocks):
         rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == k).collect()
         windows = spark.sparkContext.broadcast(Windows.of([r[0] for r in rows], [r[1] for r in rows], n))
-        out = out.select("row", "text", "spans", "items").mapInArrow(_search(windows), kind)
-    return out.mapInArrow(_cut, kind) if cut else out
+        out = out.select("row", "text", "spans", "items").mapInArrow(frugal(_search(windows, cut and k == n_blocks - 1)), kind)
+    return out
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Stages, blocks, crc32_mod, list_array
+from .common import Stages, blocks, crc32_mod, frugal, list_array
 from .words import Words
 
 U = np.uint64
@@ -281,7 +281,7 @@ def train(texts: DataFrame, vocab: Vocabulary, rounds: int = 1, rate: float = 0.
     weights = None
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast((vocab, weights))
-        rows = texts.mapInArrow(_gradients(shared, rate), KIND).withColumn("part", F.pmod("part", F.lit(32)))
+        rows = texts.mapInArrow(frugal(_gradients(shared, rate)), KIND).withColumn("part", F.pmod("part", F.lit(32)))
         rows = rows.groupBy("piece", "part").applyInArrow(_mean, KIND).groupBy("piece").applyInArrow(_mean, KIND)
         got = sorted((r.piece, bytes(r.change)) for r in rows.collect())
         if not got:
@@ -342,12 +342,12 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     stages = Stages(spark, "lm")
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     texts = docs.where(crc32_mod("doc_id", folds) != held_out).select("text")
-    counts = texts.mapInArrow(_counts, "h long, c long, r int").groupBy("h").agg(F.sum("c").alias("c"), F.min("r").alias("r"))
+    counts = texts.mapInArrow(frugal(_counts), "h long, c long, r int").groupBy("h").agg(F.sum("c").alias("c"), F.min("r").alias("r"))
     counts = stages.put(counts, "counts")
     vocab = Vocabulary.of(counts)
     shared = spark.sparkContext.broadcast((vocab, train(texts, vocab, rounds) if vocab.n else None))
     kind = "uid long, doc_id long, n_tokens long, n_known long, base double, score double, h array<long>, n array<int>"
-    first = stages.put(docs.mapInArrow(_scored(shared), kind), "scored")
+    first = stages.put(docs.mapInArrow(frugal(_scored(shared)), kind), "scored")
 
     rest = first.select("uid", F.explode(F.arrays_zip("h", "n")).alias("x")).select("uid", F.col("x.h").alias("h"), F.col("x.n").alias("n"))
     rest = rest.join(counts.select("h", "c"), "h").groupBy("uid").agg(F.sum(F.col("n") * F.log10(F.col("c") + F.lit(1.0))).alias("more"), F.sum("n").alias("known"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-from .common import Stages, blocks, list_array
+from .common import Stages, blocks, frugal, list_array
 from .words import Words, mix
 
 U = np.uint64
@@ -129,7 +129,7 @@ def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     for k, part in parts:
         bits[k - 1] = np.frombuffer(part, np.uint8)
     wanted = spark.sparkContext.broadcast(bits.reshape(-1))
-    return docs.mapInArrow(_set_batches(shingle, wanted), "id long, items array<long>").join(ids, "id", "left_semi")
+    return docs.mapInArrow(frugal(_set_batches(shingle, wanted)), "id long, items array<long>").join(ids, "id", "left_semi")
 
 
 def _key_batches(collections: int):
@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     spark = docs.sparkSession
     stages = Stages(spark, "minhash")
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    sig = stages.put(docs.mapInArrow(_signature_batches("doc_id", shingle, collections, width, seed), "doc_id long, n_shingles long, fp1 long, fp2 long, sig array<long>"), "signatures")
+    sig = stages.put(docs.mapInArrow(frugal(_signature_batches("doc_id", shingle, collections, width, seed)), "doc_id long, n_shingles long, fp1 long, fp2 long, sig array<long>"), "signatures")
 
     # Classes of equal sets; the smallest id stands for each.
     usable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     copies = stages.put(sig.where(usable).select("doc_id", "fp1", "fp2").join(shared, ["fp1", "fp2"]).where("doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
     reps = sig.where(usable).join(copies.select("doc_id"), "doc_id", "left_anti")
 
-    rows = reps.select(F.col("doc_id").alias("id"), "sig").mapInArrow(_key_batches(collections), "key long, id long, lead long, head boolean, more boolean")
+    rows = reps.select(F.col("doc_id").alias("id"), "sig").mapInArrow(frugal(_key_batches(collections)), "key long, id long, lead long, head boolean, more boolean")
     # Rows that already met a smaller id in their batch take no part in the meeting across batches.
     rows = rows.withColumn("apart", F.when(F.col("head"), F.lit(-1)).otherwise(F.pmod(F.col("id"), F.lit(65536))).cast("int"))
     over = W.partitionBy("key", "apart").orderBy("id")

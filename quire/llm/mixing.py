@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Stages, blocks, list_array
+from .common import Stages, blocks, frugal, list_array
 from .quality import N_FEATURES, passages
 from .words import Words
 
@@ -99,7 +99,7 @@ def train_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], most
     chosen = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "domain").where(F.col("domain").isin(domains)).dropna()
     chosen = chosen.groupBy("doc_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = docs.dropDuplicates(["doc_id"]).mapInArrow(_sampled, "doc_id long, domain string, dense array<float>, words array<int>").toArrow().sort_by("doc_id")
+    got = docs.dropDuplicates(["doc_id"]).mapInArrow(frugal(_sampled), "doc_id long, domain string, dense array<float>, words array<int>").toArrow().sort_by("doc_id")
     model = DomainClassifier(domains)
     if got.num_rows:
         dense = np.stack([np.asarray(x.values) for x in got.column("dense")])
@@ -169,13 +169,13 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
     domains, k = sorted(targets), len(targets)
     shared = spark.sparkContext.broadcast(train_domains(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), labelled, domains, most))
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    soft = stages.put(docs.mapInArrow(_posteriors(shared), "doc_id long, n_tokens long, posterior array<double>"), "posteriors")
+    soft = stages.put(docs.mapInArrow(frugal(_posteriors(shared)), "doc_id long, n_tokens long, posterior array<double>"), "posteriors")
     small = soft.select("n_tokens", "posterior")
 
     moves: list[np.ndarray] = []
     total, goal, last, share, best = 0.0, np.zeros(k), None, 1.0, (np.inf, 0)
     for _ in range(STEPS + 1):
-        got = {r[0]: r[1] for r in small.mapInArrow(_totals(moves, k), "k int, v double").groupBy("k").agg(F.sum("v")).collect()}
+        got = {r[0]: r[1] for r in small.mapInArrow(frugal(_totals(moves, k)), "k int, v double").groupBy("k").agg(F.sum("v")).collect()}
         now = np.array([got.get(i, 0.0) for i in range(k)])
         if last is None:
             total = float(now.sum())
@@ -198,7 +198,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
         last = now
         moves.append(pace * g)
     moves = moves[: best[1]]  # the steps aren't monotone: the rates are those that came nearest
-    out = soft.mapInArrow(_rated(moves, k), "doc_id long, n_tokens long, posterior array<double>, rate double")
+    out = soft.mapInArrow(frugal(_rated(moves, k)), "doc_id long, n_tokens long, posterior array<double>, rate double")
     part = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     return out.withColumn("copies", (F.floor("rate") + (part < F.col("rate") - F.floor("rate")).cast("long")).cast("int"))
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import blocks, crc32_mod
+from .common import blocks, crc32_mod, frugal
 from .words import Words, mix
 
 WORDS, BUCKETS = 64, 32
@@ -182,7 +182,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", mo
     None where no row is labelled, or only with one class.
     """
     sample = labelled_sample(docs, labels, label, most, held_out).select("doc_id", "text", "label")
-    rows = sorted((r[0], r[1], bytes(r[2])) for r in sample.mapInArrow(_sampled(most_passages), "doc_id long, label int, x binary").collect())
+    rows = sorted((r[0], r[1], bytes(r[2])) for r in sample.mapInArrow(frugal(_sampled(most_passages)), "doc_id long, label int, x binary").collect())
     if len({r[1] for r in rows}) < 2:
         return None
     xs = [np.frombuffer(r[2], np.float32).reshape(-1, N_FEATURES) for r in rows]
@@ -212,4 +212,4 @@ def score_quality(docs: DataFrame, model: AttentionModel | None, text_column: st
     """
     schema = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
     model = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.struct("*").alias("row"), F.col(text_column).cast("string").alias("text")).mapInArrow(_scored(model), f"row {schema}, score double")
+    return docs.select(F.struct("*").alias("row"), F.col(text_column).cast("string").alias("text")).mapInArrow(frugal(_scored(model)), f"row {schema}, score double")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Stages, blocks
+from .common import Stages, blocks, frugal
 from .words import Words
 
 BLOCK, KEEP = 128, 0.9
@@ -249,7 +249,7 @@ def _write(path: str, end_id: int):
             return out
 
         for batch in batches:
-            for lo, hi, offsets, data in blocks(batch.column(1), 4 << 20):
+            for lo, hi, offsets, data in blocks(batch.column(1), 2 << 20):
                 flat, n = coder.encode(offsets, data)
                 with_end = np.insert(flat, np.cumsum(n), end_id)
                 n = n + 1
@@ -280,7 +280,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, stages: Stages | None = None,
     stages = stages or Stages(docs.sparkSession, "tokens")
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     docs = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return stages.put(docs.mapInArrow(_write(tokenizer, end_id), "part int, seq int, before long, n_ids long, doc_ids array<long>, n_tokens array<long>, payload binary"), "shards")
+    return stages.put(docs.mapInArrow(frugal(_write(tokenizer, end_id)), "part int, seq int, before long, n_ids long, doc_ids array<long>, n_tokens array<long>, payload binary"), "shards")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,4 +309,4 @@ def read_tokens(shards: DataFrame) -> DataFrame:
         total += n
     base = spark.createDataFrame(base, "part int, base long")
     rows = shards.join(F.broadcast(base), "part").select((F.col("base") + F.col("before")).alias("base"), "doc_ids", "n_tokens", "payload")
-    return rows.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(frugal(_read), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import blocks, list_array
+from .common import blocks, frugal, list_array
 from .quality import labelled_sample
 from .words import Words, mix
 
@@ -174,7 +174,7 @@ def _bags(most_words: int):
 def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 5000, most_words: int = 768, held_out: int | None = 2) -> SubwordModel | None:
     """Fits the model; ``most`` texts and ``most_words`` words of each bound the sample. None without both classes."""
     sample = labelled_sample(docs, labels, label, most, held_out).select("doc_id", "text", "label")
-    got = sample.mapInArrow(_bags(most_words), "doc_id long, label int, rows array<int>, sizes array<int>").toArrow()
+    got = sample.mapInArrow(frugal(_bags(most_words)), "doc_id long, label int, rows array<int>, sizes array<int>").toArrow()
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
     y, rows, sizes = got.column("label").to_numpy(), got.column("rows"), got.column("sizes")
     texts = [(np.asarray(rows[k].values), np.asarray(sizes[k].values)) for k in order.tolist()]
@@ -218,4 +218,4 @@ def score_toxicity(docs: DataFrame, model: SubwordModel | None, text_column: str
     """
     schema = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(None if model is None else (model.margin(), float(model.bias[1] - model.bias[0])))
-    return docs.select(F.struct("*").alias("row"), F.col(text_column).cast("string").alias("text")).mapInArrow(_scored(shared), f"row {schema}, score double")
+    return docs.select(F.struct("*").alias("row"), F.col(text_column).cast("string").alias("text")).mapInArrow(frugal(_scored(shared)), f"row {schema}, score double")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import tables as T
 from ..functions.scalar import dot, r4
+from ..sources.staging import saved
 from .vector import is_noise
 
 
@@ -116,10 +117,13 @@ def contains_edges(nodes: DataFrame, existing: DataFrame | None = None) -> DataF
 
 
 def build_edges(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """All edges of all documents with ``edge_seq``, from 1 in each document."""
-    edges = multimodal_edges(nodes, links)
+    """All edges of all documents with ``edge_seq``, from 1 in each document.
+
+    Each stage reads the edges before it twice, so they are written as they come.
+    """
+    edges = saved(multimodal_edges(nodes, links), "edges")
     for stage in (role_edges, co_section_edges, contains_edges):
-        edges = edges.unionByName(stage(nodes, edges))
+        edges = edges.unionByName(saved(stage(nodes, edges), "edges"))
     return edges.withColumn("edge_seq", F.row_number().over(W.partitionBy("doc").orderBy("seq"))).drop("seq")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import tables as T
 from ..functions.scalar import r4
+from ..sources.staging import saved
 from . import graph as G
 from . import vector as V
 
@@ -144,14 +145,15 @@ def retrieve(index: DataFrame, nodes: DataFrame, edges: DataFrame, queries: Data
     queries = classify_intent(queries, T.INTENT_PATTERNS_V3 if third else T.INTENT_PATTERNS)
     seeds = V.search(index, queries.withColumn("role_filter", F.lit(None).cast("string")), top_k=top_k)
     if third:
-        seeds = rescue(index, queries, seeds)
+        seeds = rescue(index, queries, saved(seeds, "seeds"))
+    seeds = saved(seeds, "seeds")
     queries = settle_intent(queries, seeds)
-    hits = expand(queries, seeds, edges, expand_k)
+    hits = saved(expand(queries, seeds, edges, expand_k), "hits")
     alpha = alpha if alpha is not None else T.ALPHA_V3 if third else T.ALPHA
     ranked = merge(seeds, hits, nodes, alpha, bonus_decayed() if third else bonus_flat(), not third)
     if "role_filter" in queries.columns:
         ranked = prefer_role(ranked, queries)
-    ranked = ranked.where(F.col("final_rank") <= final_k)
+    ranked = saved(ranked.where(F.col("final_rank") <= final_k), "ranked")
     return Retrieval(queries, seeds, hits, ranked, G.induced_subgraph(edges, ranked))
 
 

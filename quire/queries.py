@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -10,6 +11,7 @@ from .functions import tables as T
 from .functions.scalar import cosine, iou, md5_id, overlap_score, r4
 from .operators import analytics as A, blocks as B, evaluate as E, graph as G, layout as L, pages as P, prompt as Q, retrieval as R, semantic as S, vector as V
 from .sources import derive as D
+from .sources.staging import saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -25,31 +27,33 @@ def joined(column: str, name: str | None = None):
 
 
 class World:
-    """The derived tables of one directory."""
+    """The derived tables of one directory, made when they are first asked for and written once."""
 
     def __init__(self, spark: SparkSession, d: str):
         self.spark, self.d = spark, d
-        self.raw = D.nodes(spark, d)
-        self.nodes = G.assign_sections(G.distinct_nodes(self.raw), F.col("region_class").isin("title", "abstract"))
 
-    @property
-    def links(self):
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return saved(G.assign_sections(G.distinct_nodes(D.nodes(self.spark, self.d)), F.col("region_class").isin("title", "abstract")), "nodes")
+
+    @cached_property
+    def links(self) -> DataFrame:
         return G.link_captions(D.links_input(self.spark, self.d))
 
-    @property
-    def index(self):
-        return V.build_index(self.nodes)
+    @cached_property
+    def index(self) -> DataFrame:
+        return saved(V.build_index(self.nodes), "index")
 
-    @property
-    def edges(self):
-        return G.build_edges(self.nodes, self.links)
+    @cached_property
+    def edges(self) -> DataFrame:
+        return saved(G.build_edges(self.nodes, self.links), "edges")
 
-    @property
-    def queries(self):
+    @cached_property
+    def queries(self) -> DataFrame:
         return D.queries(self.spark, self.d)
 
-    @property
-    def everyone(self):
+    @cached_property
+    def everyone(self) -> DataFrame:
         return self.queries.withColumn("role_filter", F.lit(None).cast("string"))
 
     def found(self, **kw) -> R.Retrieval:

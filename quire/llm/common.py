@@ -86,6 +86,16 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
 
 
+def packed(docs: DataFrame, text_column: str) -> tuple[DataFrame, str, int]:
+    """Whole rows in one struct column ``row``, its type, and the place of the text in it.
+
+    No name of a source column can clash with what an operator adds, and the text goes to Python once.
+    """
+    docs = docs.withColumn(text_column, F.col(text_column).cast("string"))
+    out = docs.select(F.struct("*").alias("row"))
+    return out, out.schema["row"].dataType.simpleString(), docs.columns.index(text_column)
+
+
 def blocks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a string column into runs of rows of about ``most`` bytes; a longer text is a run of its own.
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import blocks, crc32_mod, frugal
+from .common import blocks, crc32_mod, frugal, packed
 from .words import Words, mix
 
 WORDS, BUCKETS = 64, 32
@@ -191,12 +191,12 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", mo
     return AttentionModel.start(x).fit(x, first, y)
 
 
-def _scored(model):
+def _scored(model, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
             out = [np.zeros(0)]
-            for lo, hi, offsets, data in blocks(batch.column(1)):
+            for lo, hi, offsets, data in blocks(batch.column(0).field(at)):
                 x, first = passages(offsets, data)
                 out.append(m.score(x, first) if m else np.full(hi - lo, 0.5))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out))], names=["row", "score"])
@@ -210,6 +210,6 @@ def score_quality(docs: DataFrame, model: AttentionModel | None, text_column: st
     Null and empty texts are one empty passage and get that passage's score; without a model every
     score is 0.5. Repeated rows each get their score; names of other columns can't clash.
     """
-    schema = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
+    rows, schema, at = packed(docs, text_column)
     model = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.struct("*").alias("row"), F.col(text_column).cast("string").alias("text")).mapInArrow(frugal(_scored(model)), f"row {schema}, score double")
+    return rows.mapInArrow(frugal(_scored(model, at)), f"row {schema}, score double")

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import blocks, frugal, list_array
+from .common import blocks, frugal, list_array, packed
 from .quality import labelled_sample
 from .words import Words, mix
 
@@ -185,12 +185,12 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", mos
     return SubwordModel.start().fit([texts[k] for k in kept], y)
 
 
-def _scored(shared):
+def _scored(shared, place: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = shared.value
         for batch in batches:
             out = [np.zeros(0)]
-            for lo, hi, offsets, data in blocks(batch.column(1)):
+            for lo, hi, offsets, data in blocks(batch.column(0).field(place)):
                 if got is None:
                     out.append(np.full(hi - lo, 0.5))
                     continue
@@ -216,6 +216,6 @@ def score_toxicity(docs: DataFrame, model: SubwordModel | None, text_column: str
     Null and empty texts are one empty window, scored by the bias alone; without a model every score
     is 0.5. Repeated rows each get their score; names of other columns can't clash.
     """
-    schema = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
+    rows, schema, at = packed(docs, text_column)
     shared = docs.sparkSession.sparkContext.broadcast(None if model is None else (model.margin(), float(model.bias[1] - model.bias[0])))
-    return docs.select(F.struct("*").alias("row"), F.col(text_column).cast("string").alias("text")).mapInArrow(frugal(_scored(shared)), f"row {schema}, score double")
+    return rows.mapInArrow(frugal(_scored(shared, at)), f"row {schema}, score double")

@@ -271,21 +271,22 @@ def _cut(text: str | None, spans: list[tuple[int, int, int, int]]) -> str | None
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text: str = "text", n: int = 10, cut: bool = False) -> DataFrame:
-    """(row, text, spans, items, n_words): the source row, its hit spans and the items found in it.
+    """(row, text, spans, items, n_words): the source row without its text, the text, hit spans and items found.
 
     Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after A-Z became a-z. A window is ``n`` consecutive
     words of an item, or all of a shorter item. ``spans`` holds merged hits as word and byte ranges;
     with ``cut`` they are taken out of ``text``. Null and empty texts have no words and no hits, an
     item without words never matches, a null item id counts as the empty string, repeated items and
-    repeated rows each count, an empty benchmark hits nothing. ``row`` keeps all source columns apart, so no
-    name can clash.
+    repeated rows each count, an empty benchmark hits nothing. ``row`` keeps the other source columns apart, so
+    no name can clash.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col(item_column).cast("string"), F.lit("")).alias("item"), F.col(item_text).cast("string").alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = -(-chars // BLOCK_CHARS) or 1
-    schema = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
-    out = docs.select(F.struct("*").alias("row"), F.col(text_column).cast("string").alias("text"), F.lit(None).cast(SPAN).alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    row = F.struct(*([c for c in docs.columns if c != text_column] or [F.lit(None).cast("string").alias("none")]))
+    schema = docs.select(row.alias("row")).schema["row"].dataType.simpleString()
+    out = docs.select(row.alias("row"), F.col(text_column).cast("string").alias("text"), F.lit(None).cast(SPAN).alias("spans"), F.lit(None).cast("array<string>").alias("items"))
     kind = f"row {schema}, text string, spans {SPAN}, items array<string>, n_words long"
     for k in range(n_blocks):
         rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == k).collect()

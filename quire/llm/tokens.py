@@ -134,7 +134,7 @@ class WordEncoder:
     (apostrophes, other letters, special tokens) are encoded one by one.
     """
 
-    MOST = 1 << 20
+    MOST = 3 << 19
     TOGETHER = 100
 
     def __init__(self, path: str):
@@ -220,8 +220,8 @@ class WordEncoder:
         place[fresh] += len(self.ids)
         pool = np.concatenate([self.ids, ids_new])
         if len(self.hash) + len(fresh) <= self.MOST:
-            order = np.argsort(h := np.concatenate([self.hash, unique[fresh]]))
-            self.hash, self.at, self.n = h[order], np.concatenate([self.at, place[fresh]])[order], np.concatenate([self.n, n[fresh]])[order]
+            into = np.searchsorted(self.hash, unique[fresh])  # both are sorted: merged, not sorted anew
+            self.hash, self.at, self.n = (np.insert(x, into, y[fresh]) for x, y in ((self.hash, unique), (self.at, place), (self.n, n)))
             self.ids = pool
         each = n[inverse]
         total = np.cumsum(each, dtype=np.int64)

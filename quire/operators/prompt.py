@@ -25,7 +25,7 @@ def passages(ranked: DataFrame, most: int = T.PASSAGES, chars: int = T.PASSAGE_C
     order = W.partitionBy("query_id").orderBy(F.col("final_score").desc(), priority, "final_rank")
     use = use.withColumn("passage_no", F.row_number().over(order)).where(F.col("passage_no") <= most)
     body = F.concat(strip(F.substring("text", 1, chars)), F.when(F.length("text") > chars, " …").otherwise(""))
-    label = F.concat(F.lit("[P"), "passage_no", F.lit(" | Role: "), "role", F.lit(" | Page: "), "page", F.lit(" | Node: "), F.substring(F.col("node_id").cast("string"), 1, 8), F.lit(" | Score: "), F.format_string("%.3f", "final_score"), F.lit("]"))
+    label = F.concat(F.lit("[P"), "passage_no", F.lit(" | Role: "), "role", F.lit(" | Page: "), "page", F.lit(" | Node: "), F.substring(F.col("node_id").cast("string"), 1, 8), F.lit(" | Score: "), F.format_string("%.3f", F.floor(F.col("final_score") * 1e3 + 0.5) / 1e3), F.lit("]"))
     return use.withColumn("evidence", body).withColumn("passage", F.concat(label, F.lit("\n"), body)).select("query_id", "passage_no", "node_id", "role", "page", "final_score", "origin", "evidence", "passage")
 
 

@@ -376,7 +376,7 @@ ORACLE: dict[str, str] = {
 }
 _prio = case("role", [(text(r), k) for k, r in enumerate(T.ROLE_PRIORITY)], "9")
 PROMPT = {
-    "pas": f"""SELECT *, '[P' || passage_no || ' | Role: ' || role || ' | Page: ' || page || ' | Node: ' || substring(node_id::VARCHAR, 1, 8) || ' | Score: ' || printf('%.3f', final_score) || ']' || chr(10) ||
+    "pas": f"""SELECT *, '[P' || passage_no || ' | Role: ' || role || ' | Page: ' || page || ' | Node: ' || substring(node_id::VARCHAR, 1, 8) || ' | Score: ' || printf('%.3f', floor(final_score * 1e3 + 0.5) / 1e3) || ']' || chr(10) ||
         {strip('substring(text, 1, 350)')} || CASE WHEN length(text) > 350 THEN ' …' ELSE '' END AS passage FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, {_prio}, final_rank) AS passage_no FROM ranked
         WHERE {strip('text')} <> '' AND region_class NOT IN ('header', 'footer') AND role <> 'N/A') WHERE passage_no <= 6""",

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions import tables as T
 from ..functions.scalar import strip
 
+# Fixed value: how an answer has to be laid out, which parse() reads.
 FORMAT = "[Required Format]\nRespond ONLY using the three-section format:\n## Answer\n## Evidence\n## Graph Reasoning"
 RULES = """Answer a question about a research paper from the passages below and from nothing else.
 Say so where they do not hold the answer. Cite passages as [P1], [P2], and use the graph relationships

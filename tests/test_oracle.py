@@ -1,10 +1,12 @@
 """Every query with SQL gives what DuckDB gives over the smallest tables."""
 
+import functools
 import math
 
 import duckdb
 import pytest
 
+from quire import queries
 from quire.oracle import ORACLE
 from quire.queries import QUERIES
 
@@ -17,6 +19,15 @@ def plain(v):
     return v
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_world():
+    """The graph and the index of the small tables are built once for all queries here."""
+    build = queries.World
+    queries.World = functools.lru_cache(build)
+    yield
+    queries.World = build
+
+
 @pytest.fixture(scope="module")
 def duck(small):
     con = duckdb.connect()

@@ -31,9 +31,11 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     docs = docs.withColumn("lines", F.split("text", "\n", -1))
     line = docs.where("doc_id IS NOT NULL").select("doc_id", F.explode("lines").alias("line")).select("doc_id", line_key(F.col("line")).alias("key"))
     line = line.where(F.length("key") >= min_chars).select("doc_id", F.xxhash64("key").alias("h"), F.xxhash64(F.lit("second"), "key").alias("h2"))
-    line = Stages(docs.sparkSession, "lines").put(line, "hashes")  # counted and then looked up: read twice, made once
+    stages = Stages(docs.sparkSession, "lines")
+    line = stages.put(line, "hashes")  # counted and then looked up: read twice, made once
     hot = line.groupBy("h", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h", "h2").agg(F.count("one").alias("n"), F.max("doc_id").alias("last"))
-    hot = hot.where(F.col("n") >= min_docs).select("h", "h2", "last")
+    # Written, so that both sides of the join are dealt out for it and Spark can split a key that many lines have.
+    hot = stages.put(hot.where(F.col("n") >= min_docs).select("h", "h2", "last"), "shared")
     gone = line.join(hot, ["h", "h2"]).where("doc_id <> last").groupBy("doc_id").agg(F.collect_set(F.struct("h", "h2")).alias("gone"))
 
     def stays(x: Column) -> Column:

@@ -36,21 +36,24 @@ class Stages:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.count = 0
+        self.paths: list[str] = []
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        self.count += 1
-        path = f"{self.root}/{self.count:03d}-{name}"
+        path = f"{self.root}/{len(self.paths):03d}-{name}"
+        self.paths.append(path)
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._quire_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a table of put() that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._quire_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def keep(self, *tables: DataFrame) -> None:
+        """Deletes all tables so far but these; nothing may read the others any more."""
+        kept = {t._quire_path for t in tables}
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in self.paths:
+            if path not in kept:
+                place = hadoop(path)
+                place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def frugal(run: Callable) -> Callable:

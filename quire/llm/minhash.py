@@ -232,6 +232,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     rep = copies.select("doc_id", "rep").join(found.select(F.col("id").alias("rep"), F.col("component").alias("rc")), "rep", "left").select("doc_id", F.coalesce("rc", "rep").alias("component"))
     label = stages.put(rep.unionByName(found.select(F.col("id").alias("doc_id"), "component")), "labels")
+    stages.keep(sig, label)
     out = sig.select("doc_id", "n_shingles").join(label, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
 

@@ -60,7 +60,8 @@ def is_list(text: Column) -> Column:
 
 def classify(blocks: DataFrame) -> DataFrame:
     """Adds region_class. Blocks have text, bbox, font_size, is_bold, page_height, page_index, and the page's context."""
-    text, b, h = strip(F.col("text")), F.col("bbox"), F.col("page_height")
+    blocks = blocks.withColumn("_text", strip(F.col("text")))  # once, not in each rule
+    text, b, h = F.col("_text"), F.col("bbox"), F.col("page_height")
     median, page = F.col("median_font"), F.col("page_index")
     size = F.when(F.coalesce("font_size", F.lit(0.0)) == 0, median).otherwise(F.col("font_size"))
     bold = F.coalesce("is_bold", F.lit(False))
@@ -80,7 +81,7 @@ def classify(blocks: DataFrame) -> DataFrame:
         .when(is_list(text), "list")
         .otherwise("paragraph")
     )
-    return blocks.withColumn("region_class", out)
+    return blocks.withColumn("region_class", out).drop("_text")
 
 
 def region_id(doc: Column, page: Column, seq: Column, source: str = "layout") -> Column:

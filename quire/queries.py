@@ -379,7 +379,7 @@ def layout_stats(spark, d):
 
 
 def _fusion(spark, d):
-    rules = L.detect(D.blocks(spark, d))
+    rules = saved(L.detect(D.blocks(spark, d)), "regions")
     return L.fuse(D.detections(rules), rules)
 
 
@@ -390,7 +390,7 @@ def fuse_regions(spark, d):
 
 def _two(spark, d):
     blocks = D.blocks(spark, d)
-    return blocks, D.detections(L.detect(blocks)).where("page_index % 2 = 0")
+    return blocks, saved(D.detections(L.detect(blocks)).where("page_index % 2 = 0"), "regions")
 
 
 @query

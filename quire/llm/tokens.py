@@ -234,9 +234,20 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
+def encoder(path: str) -> WordEncoder:
+    """The worker's own encoder, kept from task to task.
+
+    Tasks must come here for it: a function that is sent to a worker takes copies of the globals it
+    names, and a copied table would be empty for every task.
+    """
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def _write(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
+        coder = encoder(path)
         part, before, seq = TaskContext.get().partitionId(), 0, 0
         docs, sizes, ids, held = [], [], [], 0
 

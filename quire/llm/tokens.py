@@ -134,7 +134,7 @@ class WordEncoder:
     (apostrophes, other letters, special tokens) are encoded one by one.
     """
 
-    MOST = 3 << 19
+    MOST = 1 << 19
     TOGETHER = 100
 
     def __init__(self, path: str):

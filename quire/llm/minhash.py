@@ -5,7 +5,7 @@ computed, each joining ``width`` minhashes; every pair (i, j) of collections mak
 ``collections * (collections - 1) / 2`` tables of ``2 * width`` minhashes come from only
 ``collections * width`` minhash computations, about the square root of what separate tables need.
 At similarity 0.8 and the defaults (20 collections of 3), a pair of documents shares no table with
-probability 0.488**20 * (1 + 20 * 0.512 / 0.488), about 1.3e-5; at 0.85 it is below 1e-7.
+probability 0.488**20 * (1 + 20 * 0.512 / 0.488), about 1.3e-5; at 0.85 it is about 2e-7.
 
 Candidates are confirmed on full sets. Equal sets are joined into one class first, and a bucket's
 members are compared to one member of it (a star) before anything else; only members of buckets

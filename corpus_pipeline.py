@@ -39,8 +39,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Each document as often as its rate says."""
     labelled = mixing.label_domains(table(spark, sf_dir, "labels"))
     rates = mixing.mix(docs, labelled, mixing.TARGETS, mixing.BUDGET)
-    rates = rates.groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    out = docs.join(rates, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    rates = rates.groupBy(F.col("doc_id").alias("rated_id")).agg(F.max("copies").alias("copies")).where("copies > 0")
+    out = docs.join(rates, F.col("doc_id").eqNullSafe(F.col("rated_id"))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return out.select(docs.columns)
 
 

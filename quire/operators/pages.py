@@ -7,10 +7,12 @@ at most a few hundred boxes.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 FULL, WIDE, SLACK = 0.55, 0.48, 1.0
@@ -97,16 +99,26 @@ def order_page(boxes: list[Box], page_width: float, gap: float = 18.0) -> list[i
 
 
 def reading_order(regions: DataFrame, gap: float = 15.0) -> DataFrame:
-    """(doc_id, page_index, region_pos, reading_pos) of all pages."""
-
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("region_pos")
-        boxes = [Box(int(r.region_pos), r.x0, r.y0, r.x1, r.y1) for r in pdf.itertuples()]
-        keys = order_page(boxes, float(pdf.page_width.iloc[0]), gap)
-        return pd.DataFrame({"doc_id": pdf.doc_id.iloc[0], "page_index": pdf.page_index.iloc[0], "region_pos": keys, "reading_pos": range(len(keys))})
-
-    flat = regions.select("doc_id", "page_index", "region_pos", "page_width", "bbox.*")
-    return flat.groupBy("doc_id", "page_index").applyInPandas(page, "doc_id long, page_index int, region_pos int, reading_pos int")
+    """(doc_id, page_index, region_pos, reading_pos) of all pages.
+
+    A page is one row with an array of its boxes, so that a batch holds many pages.
+    """
+    kind = f"doc_id {regions.schema['doc_id'].dataType.simpleString()}, page_index int, region_pos int, reading_pos int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, pages, keys, places = [], [], [], []
+            for doc, page, width, boxes in zip(*(c.to_pylist() for c in batch.columns)):
+                order = order_page([Box(b["region_pos"], b["x0"], b["y0"], b["x1"], b["y1"]) for b in boxes], width, gap)
+                docs += [doc] * len(order)
+                pages += [page] * len(order)
+                keys += order
+                places += range(len(order))
+            yield pa.RecordBatch.from_arrays([pa.array(docs, batch.column(0).type), *(pa.array(x, pa.int32()) for x in (pages, keys, places))], names=["doc_id", "page_index", "region_pos", "reading_pos"])
+
+    boxes = F.sort_array(F.collect_list(F.struct(F.col("region_pos").cast("int").alias("region_pos"), "bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1")))
+    rows = regions.groupBy("doc_id", "page_index").agg(F.first("page_width").alias("page_width"), boxes.alias("boxes"))
+    return rows.select("doc_id", F.col("page_index").cast("int").alias("page_index"), "page_width", "boxes").mapInArrow(run, kind)
 
 
 Rect = tuple[float, float, float, float]

@@ -19,8 +19,13 @@ NOT_ALNUM = np.zeros(256, bool)
 NOT_ALNUM[:0x80] = True
 NOT_ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = False
 
-PUNCTUATION = np.zeros(256, bool)
-PUNCTUATION[[c for c in range(0x80) if not chr(c).isalnum()]] = True
+#: Bytes of ASCII letters and digits.
+ALNUM = np.zeros(256, bool)
+ALNUM[[c for c in range(0x80) if chr(c).isalnum()]] = True
+#: Bytes after C3 in letters of U+00C0 to U+00FF, which has two signs at D7 and F7.
+LATIN = np.zeros(256, bool)
+LATIN[0x80:0xC0] = True
+LATIN[[0x97, 0xB7]] = False
 
 _rng = np.random.default_rng(20240501)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U(1)
@@ -70,9 +75,12 @@ class Words:
             after[first[1:]] = False
         self.end = np.flatnonzero(inside & ~after) + 1
         if tails is not None and len(self.start):
-            # A mark of ``tails`` at the end of a longer word, not after ASCII punctuation, is a word of its own.
+            # A mark of ``tails`` at the end of a longer word is a word of its own if it follows a letter or digit
+            # that is told by its bytes; other marks, signs and combining characters may form one piece with it.
             last = self.end - 1
-            cut = last[tails[low[last]] & (last > self.start) & ~PUNCTUATION[low[last - 1]]]
+            one, two = low[last - 1], low[last - 2]
+            letter = (ALNUM[one] & (last > self.start)) | (LATIN[one] & (two == 0xC3) & (last > self.start + 1))
+            cut = last[tails[low[last]] & letter]
             self.start = np.sort(np.concatenate([self.start, cut]))
             self.end = np.sort(np.concatenate([self.end, cut]))
         per_doc = np.searchsorted(self.start, offsets)

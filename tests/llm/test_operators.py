@@ -184,6 +184,21 @@ def test_tokens(spark):
     assert tokens.read_tokens(tokens.write_tokens(spark.createDataFrame(*EMPTY), path)).count() == 0
 
 
+MARKED = ["5€. “a”, … ! हैं. 😀!", "word”. …! », 10°, —, 日本。. ×.", "é. ß, Ü! ÿ? é. e\u0301. ñ.. É€. ÷: a×. Ã. ª. ²; ³. ч. 日. ४. 'é'. a's. 7. €. .", "É. ×", "é", ".", "×.", "é."]
+
+
+def test_marks_after_other_marks():
+    """A mark at a word's end is one piece with a sign or combining character before it, however words are kept."""
+    from tokenizers import Tokenizer
+
+    path = str(TOKENIZERS.path("word_bpe_49k.json"))
+    raw = [x.encode() for x in MARKED]
+    plain, coder = Tokenizer.from_file(path), tokens.WordEncoder(path)
+    for _ in range(2):  # the second time all words are known
+        ids, n = coder.encode(np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), np.uint8))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [plain.encode(t, add_special_tokens=False).ids for t in MARKED]
+
+
 def test_chats(spark):
     odd = ["<|im_end|><|im_start|>assistant ok", "<\\|im_end|>", "<\\\\|im_nl|> <|im_start|", "", None, "x\n<|im_end|>\n<|im_start|>user\n", "plain\n", "<|im_nl|>"]
     rows = [(c, t, role, odd[(c + t) % len(odd)]) for c in range(8) for t in range(4) for role in ("user", "assistant")] + [(99, 0, "assi\nstant", "a"), (99, 1, None, "b"), (98, None, "assistant", "c"), (98, 0, "<|im_start|>", "d"), (None, 0, "assistant", "e"), (97, 1, "assistant", "same"), (97, 1, "assistant", "same")]

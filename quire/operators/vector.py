@@ -2,7 +2,8 @@
 
 The index is a table of admitted nodes with unit vectors. A search scans it once for a whole block of
 queries: every partition keeps its best rows for each query, so only those are shuffled. Larger
-indexes carry the nearest of a few centroids, and a search reads the lists of the nearest ones.
+indexes carry the nearest of a few centroids; a search reads the lists of the nearest ones first and of
+the others those that may hold a better row, so it finds what a full search finds.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def index_type(n: int) -> tuple[str, int]:
 
 def _best(queries, vector_at: int, probe_at: int | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, k, probes = queries.value
+        ids, q, k, probes, reach = queries.value
         found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in ids]
 
         def cut(i: int):
@@ -49,6 +50,13 @@ def _best(queries, vector_at: int, probe_at: int | None = None):
             order = np.lexsort((node, -np.floor(score * 1e9 + 0.5)))[: k[i]]
             found[i] = [(node[order], score[order])]
 
+        def take(i: int, node: np.ndarray, score: np.ndarray, rows: np.ndarray):
+            if len(rows) > k[i]:
+                least = np.partition(score[rows], len(rows) - k[i])[len(rows) - k[i]]
+                rows = rows[score[rows] >= least - 1e-8]
+            found[i].append((node[rows], score[rows]))
+            cut(i)
+
         for batch in batches:
             if not len(batch):
                 continue
@@ -57,12 +65,14 @@ def _best(queries, vector_at: int, probe_at: int | None = None):
             lists = batch.column(probe_at).to_numpy() if probe_at is not None else None
             s = e @ q.T
             for i in range(len(ids)):
-                rows = np.arange(len(node)) if lists is None else np.flatnonzero(np.isin(lists, probes[i]))
-                if len(rows) > k[i]:
-                    least = np.partition(s[rows, i], len(rows) - k[i])[len(rows) - k[i]]
-                    rows = rows[s[rows, i] >= least - 1e-8]
-                found[i].append((node[rows], s[rows, i]))
-                cut(i)
+                if lists is None:
+                    take(i, node, s[:, i], np.arange(len(node)))
+                    continue
+                near = np.isin(lists, probes[i])
+                take(i, node, s[:, i], np.flatnonzero(near))
+                best = found[i][0][1]
+                better = reach[i] >= (best[-1] - 1e-8 if len(best) == k[i] else -np.inf)
+                take(i, node, s[:, i], np.flatnonzero(~near & better[lists]))
         for i in range(len(ids)):
             if found[i] and len(found[i][0][0]):
                 n, s = found[i][0]
@@ -71,24 +81,44 @@ def _best(queries, vector_at: int, probe_at: int | None = None):
     return run
 
 
+def _radius(index: DataFrame, centroids: np.ndarray) -> np.ndarray:
+    """The greatest distance of a row to its list's centroid, for each list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far = np.full(len(centroids), -1.0)
+        for batch in batches:
+            if len(batch):
+                at = batch.column(0).to_numpy()
+                e = np.asarray(batch.column(1).flatten(), np.float64).reshape(len(at), -1)
+                np.maximum.at(far, at, np.linalg.norm(e - centroids[at], axis=1))
+        have = np.flatnonzero(far >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(have.astype(np.int32)), pa.array(far[have])], names=["list", "far"])
+
+    out = np.full(len(centroids), -np.inf)
+    for r in index.select("list", "embedding").mapInArrow(run, "list int, far double").groupBy("list").agg(F.max("far").alias("far")).collect():
+        out[r["list"]] = r["far"]
+    return out
+
+
 def scan(index: DataFrame, queries: DataFrame, vector: str = "qvec", centroids: np.ndarray | None = None, probes: int = T.PROBES) -> DataFrame:
     """(query_id, node_id, score, rank): the best ``fetch_k`` rows of every query, ties by id.
 
     ``queries`` has query_id, the vector and fetch_k. They are read in blocks of ``BLOCK`` and sent to the
     executors, each block a scan of its own. With centroids (and a ``list`` column in the index) a query
-    sees the lists of its nearest ones only.
+    sees the lists of its nearest ones first; a list whose centroid and radius rule out a better row is skipped.
     """
     spark = index.sparkSession
     rows = queries.select("query_id", F.col(vector).alias("v"), "fetch_k")
     out, columns = None, ["node_id", "embedding"] + (["list"] if centroids is not None else [])
     n = rows.count()
+    radius = _radius(index, centroids) if centroids is not None else None
     for b in range(max(1, -(-n // BLOCK))):
         part = (rows if n <= BLOCK else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // BLOCK))) == b)).collect()
         q = np.array([r.v for r in part], np.float64).reshape(len(part), -1)
         norm = np.linalg.norm(q, axis=1, keepdims=True)
         q = q / np.where(norm == 0, 1, norm)
         near = [np.argsort(((centroids - x) ** 2).sum(axis=1), kind="stable")[:probes] for x in q] if centroids is not None else None
-        sent = spark.sparkContext.broadcast((np.array([r.query_id for r in part], np.int64), q, [int(r.fetch_k) for r in part], near))
+        sent = spark.sparkContext.broadcast((np.array([r.query_id for r in part], np.int64), q, [int(r.fetch_k) for r in part], near, q @ centroids.T + radius if centroids is not None else None))
         found = index.select(*columns).mapInArrow(_best(sent, 1, 2 if centroids is not None else None), "query_id long, node_id long, score double")
         out = found if out is None else out.unionByName(found)
     order = W.partitionBy("query_id").orderBy(F.floor(F.col("score") * 1e9 + 0.5).desc(), "node_id")

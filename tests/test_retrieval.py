@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions import tables as T
 from quire.operators import evaluate as E, graph as G, prompt as Q, retrieval as R, semantic as S, vector as V
 from quire.plans import pipeline as P
 from quire.sources import derive as D, json_io as J
@@ -31,6 +32,21 @@ def test_lists_find_most_rows(spark, small):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("spread", [0.05, 5.0])
+def test_more_lists_than_probes_find_all_rows(spark, spread):
+    """With 16 lists, four of them read first, no neighbour is lost, be the lists far apart or one cloud."""
+    rng = random.Random(7)
+    middle = [[rng.gauss(0, 1) for _ in range(12)] for _ in range(16)]
+    vectors = [[m + rng.gauss(0, spread) for m in middle[k % 16]] for k in range(640)]
+    rows = [(k, 0, "Method", v, f"text {k}", "paragraph", False) for k, v in enumerate(vectors)]
+    index = V.build_index(spark.createDataFrame(rows, "node_id long, page int, role string, embedding array<double>, text string, region_class string, is_noise boolean"))
+    q = spark.createDataFrame([(k, [x + rng.gauss(0, 0.5) for x in vectors[k]], None) for k in range(0, 640, 16)] + [(1, [0.0] * 12, None)], "query_id long, qvec array<double>, role_filter string")
+    find = lambda *a, **kw: {(r.query_id, r.node_id, r.rank) for r in V.search(*a, top_k=30, **kw).collect()}
+    lists, centroids = V.cluster(index, T.MAX_LISTS)
+    assert T.PROBES < len(centroids)
+    assert find(lists, q, centroids=centroids) == find(index, q)
+
+
 def node_rows(rng, n):
     kinds = ["title", "paragraph", "paragraph", "caption", "figure", "abstract", "header"]
     roles = ["Definition", "Method", "Result", "Observation", "Dataset", "N/A"]

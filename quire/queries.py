@@ -482,7 +482,7 @@ def vector_cosine(spark, d):
 
 @query
 def role_classify(spark, d):
-    regions = D.blocks(spark, d).where("doc_id % 20 = 0").select("block_id", "text", F.lit("paragraph").alias("region_class"))
+    regions = D.blocks(spark, d).select("block_id", "text", F.lit("paragraph").alias("region_class"))
     return S.RoleModel(spark).classify(S.encode(regions)).select("block_id", "scholarly_role", "role_confidence")
 
 

@@ -222,3 +222,10 @@ def test_index_round_trip(spark, small, tmp_path):
     index = V.build_index(G.distinct_nodes(D.nodes(spark, small)))
     J.write_index(index, str(tmp_path / "index"))
     assert J.read_index(spark, str(tmp_path / "index")).count() == index.count()
+
+
+def test_roles_of_all_blocks(spark, small):
+    from quire.queries import QUERIES
+
+    ids = lambda df: sorted(r.block_id for r in df.select("block_id").collect())
+    assert ids(QUERIES["role_classify"](spark, small)) == ids(D.blocks(spark, small))

@@ -2,7 +2,8 @@
 
 A clip is stored as a WAV file (one channel, unsigned 8-bit, 16 kHz). Its features are an Arrow stream
 with one row for each run of 32 frames: a fixed-shape tensor (32 x 20 log-mel values, the last run
-padded with the floor value) and the run's time span.
+padded with the floor value) and the run's time span. Clips and features are columns of a Parquet
+table in the shared folder; what is reported of them is read back from there.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import blocks, frugal
+from .common import Stages, blocks, frugal
 
 RATE, UP, DOWN = 16_000, 5, 8
 OUT_RATE = RATE * UP // DOWN
@@ -157,12 +158,18 @@ def audio_columns(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     The bytes get zeros up to a positive multiple of ``pad``. Null text counts as empty and is ``pad``
     zeros; ids, null ones too, pass through; repeated rows each give a clip; other columns are ignored.
-    Each row is made on its own, so equal texts give equal values and nothing is shuffled.
+    Each row is made on its own, so equal texts give equal values and nothing is shuffled. Texts of any
+    length are one clip each (a WAV file holds up to 4 GB), computed in pieces. An empty table gives no rows.
     """
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     return docs.mapInArrow(frugal(_clips(pad)), "doc_id long, n_bytes long, media binary, mel binary, segments array<array<double>>")
 
 
+def store(clips: DataFrame, stages: Stages | None = None) -> DataFrame:
+    """Writes clips and their features to the shared folder and gives the table that is read back."""
+    return (stages or Stages(clips.sparkSession, "audio")).put(clips, "clips")
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, sha, crc, sizes, media_sha, said = [], [], [], [], [], []

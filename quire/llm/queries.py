@@ -31,7 +31,7 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = mixing.label_domains(table(spark, sf_dir, "labels"))
     out = mixing.mix(table(spark, sf_dir, "documents"), labelled, mixing.TARGETS, mixing.BUDGET)
     each = [F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(sorted(mixing.TARGETS))]
-    return out.select("doc_id", "n_tokens", *each, "rate", "copies")
+    return out.select("doc_id", "n_tokens", *each, "rate", "copies", "residual")
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_audio_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.digest(audio.audio_columns(table(spark, sf_dir, "documents")))
+    return audio.digest(audio.store(audio.audio_columns(table(spark, sf_dir, "documents"))))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -152,37 +152,32 @@ class AttentionModel:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, held_out: int | None = 2) -> DataFrame:
     """(doc_id, text, label) of at most ``most`` labelled rows, chosen by a hash of the id.
 
-    Rows whose crc32(id) mod 4 is ``held_out`` are never taken. A text comes once for its id.
+    Rows whose crc32(id) mod 4 is ``held_out`` are never taken. An id that is labelled twice has the greater
+    label; each of the texts that occur with an id comes once.
     """
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropna()
     if held_out is not None:
         chosen = chosen.where(crc32_mod("doc_id", 4) != held_out)
     chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.join(F.broadcast(chosen), "doc_id")  # at most ``most`` ids
+    return docs.join(F.broadcast(chosen), "doc_id").distinct()  # at most ``most`` ids
 
 
-def _sampled(most_passages: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, offsets, data in blocks(batch.column(1)):
-                x, first = passages(offsets, data)
-                out = []
-                for a, b in zip(first[:-1], first[1:]):
-                    rows = np.unique(np.linspace(a, b - 1, min(b - a, most_passages)).astype(int))
-                    out.append(x[rows].tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(out, pa.binary())], names=["doc_id", "label", "x"])
-
-    return run
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi, offsets, data in blocks(batch.column(1)):
+            x, first = passages(offsets, data)
+            out = [x[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(out, pa.binary())], names=["doc_id", "label", "x"])
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 6000, most_passages: int = 128, held_out: int | None = 2) -> AttentionModel | None:
-    """Fits the model; ``most`` documents and ``most_passages`` evenly spaced passages of each bound the sample.
+def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 4000, held_out: int | None = 2) -> AttentionModel | None:
+    """Fits the model to all passages of at most ``most`` labelled documents.
 
     None where no row is labelled, or only with one class.
     """
     sample = labelled_sample(docs, labels, label, most, held_out).select("doc_id", "text", "label")
-    rows = sorted((r[0], r[1], bytes(r[2])) for r in sample.mapInArrow(frugal(_sampled(most_passages)), "doc_id long, label int, x binary").collect())
+    rows = sorted((r[0], r[1], bytes(r[2])) for r in sample.mapInArrow(frugal(_sampled), "doc_id long, label int, x binary").collect())
     if len({r[1] for r in rows}) < 2:
         return None
     xs = [np.frombuffer(r[2], np.float32).reshape(-1, N_FEATURES) for r in rows]
@@ -208,7 +203,8 @@ def score_quality(docs: DataFrame, model: AttentionModel | None, text_column: st
     """(row, score): the source row, kept whole in one struct, and the probability of label 1.
 
     Null and empty texts are one empty passage and get that passage's score; without a model every
-    score is 0.5. Repeated rows each get their score; names of other columns can't clash.
+    score is 0.5. Texts of any length are read whole. Repeated rows each get their score, an empty table
+    gives no rows; names of other columns can't clash.
     """
     rows, schema, at = packed(docs, text_column)
     model = docs.sparkSession.sparkContext.broadcast(model)

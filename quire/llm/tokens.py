@@ -8,15 +8,19 @@ others are stored as exceptions (place, difference). Layout, little-endian:
     minimum u32[n_blocks], width u8[n_blocks], n_exceptions u8[n_blocks], start u64[n_blocks + 1]
     per block: 16 * width bytes of packed values, places u8[n], differences u32[n]
 
-``start`` is the index: block k begins at that byte of the block area, so any id is read from one block.
+``start`` is the index: block k begins at that byte of the block area, so any run of ids is read from
+the blocks that hold it alone.
 Shards are rows of a Parquet table, so Spark's writer places and commits them in any store.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -87,28 +91,33 @@ def encode_ids(ids: np.ndarray) -> bytes:
     return b"".join([HEAD.pack(MAGIC, len(ids), n), low.astype("<u4").tobytes(), width.tobytes(), n_over.astype(np.uint8).tobytes(), start.astype("<u8").tobytes(), area.tobytes()])
 
 
-def decode_ids(data: bytes) -> np.ndarray:
+def decode_ids(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
+    """The ids of a shard, or those from place ``first`` up to ``last``; only their blocks are read."""
     magic, n_ids, n = HEAD.unpack_from(data)
     if magic != MAGIC:
         raise ValueError("not a block file")
-    at = HEAD.size
-    low = np.frombuffer(data, "<u4", n, at)
-    width = np.frombuffer(data, np.uint8, n, at + 4 * n)
-    n_over = np.frombuffer(data, np.uint8, n, at + 5 * n).astype(np.int64)
-    start = np.frombuffer(data, "<u8", n + 1, at + 6 * n).astype(np.int64)
-    area = np.frombuffer(data, np.uint8, offset=at + 6 * n + 8 * (n + 1))
-    out = np.zeros((n, BLOCK), np.uint32)
+    last = n_ids if last is None else min(last, n_ids)
+    first = min(max(first, 0), last)
+    b0, b1 = first // BLOCK, -(-last // BLOCK)
+    at, count = HEAD.size, max(0, b1 - b0)
+    low = np.frombuffer(data, "<u4", count, at + 4 * b0)
+    width = np.frombuffer(data, np.uint8, count, at + 4 * n + b0)
+    n_over = np.frombuffer(data, np.uint8, count, at + 5 * n + b0).astype(np.int64)
+    start = np.frombuffer(data, "<u8", count + 1, at + 6 * n + 8 * b0).astype(np.int64)
+    area = np.frombuffer(data, np.uint8, int(start[-1] - start[0]), at + 6 * n + 8 * (n + 1) + int(start[0]))
+    start = start - start[0]
+    out = np.zeros((count, BLOCK), np.uint32)
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
         out[rows] = _unpack(area[start[rows][:, None] + np.arange(16 * int(w))], int(w))
-    block = np.repeat(np.arange(n), n_over)
+    block = np.repeat(np.arange(count), n_over)
     nth = np.arange(len(block)) - np.repeat(np.cumsum(n_over) - n_over, n_over)
     begin = start[block] + 16 * width[block].astype(np.int64)
     place = area[begin + nth]
     value = np.ascontiguousarray(area[(begin + n_over[block] + 4 * nth)[:, None] + np.arange(4)]).view("<u4").reshape(-1)
     out[block, place] = value
     out += low[:, None]
-    return out.reshape(-1)[:n_ids]
+    return out.reshape(-1)[first - b0 * BLOCK : last - b0 * BLOCK]
 
 
 #: Bytes of ASCII letters, digits, other marks (not the apostrophe) and of letters of U+00C0 to U+00FF.
@@ -124,6 +133,33 @@ TAILS = np.zeros(256, bool)
 TAILS[[ord(c) for c in ".,;:!?"]] = True
 
 
+# What a tokenizer file must say for texts to be encoded word by word.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
+def by_words(config: dict) -> bool:
+    """Whether a tokenizer is of the kind that WordEncoder takes apart."""
+    added = config.get("added_tokens") or []
+    plain = all(not x["single_word"] and not x["lstrip"] and not x["rstrip"] and not x["normalized"] and x["content"].startswith("<|") for x in added)
+    model = config.get("model") or {}
+    whole = model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and not config.get("truncation") and not config.get("padding")
+    return plain and bool(whole) and config.get("normalizer") == NORMALIZER and config.get("pre_tokenizer") == PRE_TOKENIZER
+
+
+class TextEncoder:
+    """Encodes whole texts: for any tokenizer."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def encode(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw, ends = data.tobytes(), offsets.tolist()
+        found = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(ends, ends[1:])], add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
+
+
 class WordEncoder:
     """Encodes texts word by word with a tokenizer that lowers case and never joins words across blanks.
 
@@ -137,13 +173,8 @@ class WordEncoder:
     MOST = 1 << 19
     TOGETHER = 100
 
-    def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for x, i in vocab.items() if x.endswith("</w>")]] = True
@@ -231,17 +262,22 @@ class WordEncoder:
         return pool[index], np.diff(ends)
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, WordEncoder | TextEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> WordEncoder | TextEncoder:
     """The worker's own encoder, kept from task to task.
 
     Tasks must come here for it: a function that is sent to a worker takes copies of the globals it
     names, and a copied table would be empty for every task.
     """
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as file:
+            kind = WordEncoder if by_words(json.load(file)) else TextEncoder
+        _encoders[path] = kind(Tokenizer.from_file(path))
     return _encoders[path]
 
 
@@ -254,7 +290,7 @@ def _write(path: str, end_id: int):
         def shard():
             nonlocal before, seq, docs, sizes, ids, held
             flat = np.concatenate(ids)
-            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([held], pa.int64()), pa.array([sum(docs, [])], pa.list_(pa.int64())), pa.array([np.concatenate(sizes)], pa.list_(pa.int64())), pa.array([encode_ids(flat)], pa.binary())], names=["part", "seq", "before", "n_ids", "doc_ids", "n_tokens", "payload"])
+            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([held], pa.int64()), pa.array([list(chain.from_iterable(docs))], pa.list_(pa.int64())), pa.array([np.concatenate(sizes)], pa.list_(pa.int64())), pa.array([encode_ids(flat)], pa.binary())], names=["part", "seq", "before", "n_ids", "doc_ids", "n_tokens", "payload"])
             before, seq = before + held, seq + 1
             docs, sizes, ids, held = [], [], [], 0
             return out
@@ -286,14 +322,26 @@ def write_tokens(docs: DataFrame, tokenizer: str, stages: Stages | None = None,
 
     ``part`` and ``seq`` order the shards; ``before`` counts the ids of the same part before a shard.
     Null text counts as empty, which is the end id alone; a null id comes first; rows with one id
-    are ordered by text. An empty table gives an empty one. Other columns are ignored.
+    are ordered by their text's first 32 characters and then its hash, and equal rows each have their place. A text of any length is one document of
+    one shard. An empty table gives an empty one. Other columns are ignored.
+
+    Parts are ranges of that order, so an id that a third of all rows have is cut between parts too.
     """
     stages = stages or Stages(docs.sparkSession, "tokens")
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    docs = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "head", "hash", "read"]
+    docs = docs.select("*", F.substring("text", 1, 32).alias("head"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("read"))
+    docs = docs.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return stages.put(docs.mapInArrow(frugal(_write(tokenizer, end_id)), "part int, seq int, before long, n_ids long, doc_ids array<long>, n_tokens array<long>, payload binary"), "shards")
 
 
+def read_window(shards: DataFrame, part: int, first: int, count: int) -> np.ndarray:
+    """``count`` ids of one part from its place ``first`` on, from the shards and blocks that hold them."""
+    own = shards.where((F.col("part") == part) & (F.col("before") < first + count) & (F.col("before") + F.col("n_ids") > first))
+    rows = sorted((r.before, bytes(r.payload)) for r in own.select("before", "payload").collect())  # as much as was asked for
+    return np.concatenate([np.zeros(0, np.uint32), *(decode_ids(data, first - before, first + count - before) for before, data in rows)])
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(len(batch)):

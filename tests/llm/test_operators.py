@@ -102,6 +102,16 @@ def test_lines(spark):
     assert dedup_lines(spark.createDataFrame(*EMPTY)).count() == 0
 
 
+def test_lines_of_a_long_text(spark):
+    """As many lines go as there are, with work that is linear in them."""
+    shared = [f"a shared line of at least forty characters, number {k % 1000}" for k in range(200_000)]
+    own = [f"line {k}" for k in range(len(shared))]
+    long = "\n".join(x for pair in zip(shared, own) for x in pair)
+    rows = [(k, "\n".join(shared[:1000])) for k in range(10, 15)] + [(1, long), (1, "one id, another text\n" + shared[0]), (1, long)]
+    got = sorted((tuple(r) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 1").collect()), key=lambda r: r[1])
+    assert got == [(1, 2, 1, "one id, another text")] + 2 * [(1, 400_000, 200_000, "\n".join(own))]
+
+
 def plain_hits(docs, items, n=10):
     windows = collections.defaultdict(set)
     for i, t in items:
@@ -193,12 +203,63 @@ def test_marks_after_other_marks():
 
     path = str(TOKENIZERS.path("word_bpe_49k.json"))
     raw = [x.encode() for x in MARKED]
-    plain, coder = Tokenizer.from_file(path), tokens.WordEncoder(path)
+    plain, coder = Tokenizer.from_file(path), tokens.encoder(path)
+    assert isinstance(coder, tokens.WordEncoder)
     for _ in range(2):  # the second time all words are known
         ids, n = coder.encode(np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), np.uint8))
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [plain.encode(t, add_special_tokens=False).ids for t in MARKED]
 
 
+def same_ids(plain, coder, texts):
+    raw = [x.encode() for x in texts]
+    ids, n = coder.encode(np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), np.uint8))
+    return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [x.ids for x in plain.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_tokens_of_any_text():
+    """30,000 texts of letters, marks, signs, combining characters and blanks of many scripts."""
+    from tokenizers import Tokenizer
+
+    path = str(TOKENIZERS.path("word_bpe_49k.json"))
+    plain, coder = Tokenizer.from_file(path), tokens.encoder(path)
+    texts = ["He said \u201chello\u201d.", "\u201cReally\u201d, she said", "wait\u2026?", "costs 5\u20ac.", "\u00aboui\u00bb,", "30\u00b0.", "a\u2013, b", "\u0939\u093f\u0928\u094d\u0926\u0940."]
+    rng = random.Random(11)
+    ranges = [(0x20, 0x7F)] * 6 + [(0x80, 0x250), (0x2B0, 0x370), (0x370, 0x530), (0x900, 0x980), (0x2000, 0x2100), (0x20A0, 0x20D0), (0x2190, 0x2300), (0x3000, 0x3100), (0x4E00, 0x4E40), (0x1F600, 0x1F640), (0x9, 0xE)]
+    for _ in range(30_000):
+        own = [chr(rng.randrange(*rng.choice(ranges))) if rng.random() < 0.5 else rng.choice("aeÉß .,;:!?'x1") for _ in range(rng.randrange(1, 24))]
+        texts.append("".join(own))
+    for lo in range(0, len(texts), 1000):
+        assert same_ids(plain, coder, texts[lo : lo + 1000]), lo
+
+
+def test_other_tokenizers_take_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = str(TOKENIZERS.path("byte_bpe_50k.json"))
+    coder = tokens.encoder(path)
+    assert isinstance(coder, tokens.TextEncoder)
+    assert same_ids(Tokenizer.from_file(path), coder, [t or "" for t in odd_texts()])
+
+
+def test_ids_of_a_range(spark):
+    rng = np.random.default_rng(4)
+    ids = rng.integers(0, 50_000, 1000, dtype=np.uint64).astype(np.uint32)
+    data = tokens.encode_ids(ids)
+    for a, b in ((0, 1000), (0, 0), (5, 6), (127, 129), (128, 256), (990, 2000), (300, 300), (1000, 1001)):
+        assert (tokens.decode_ids(data, a, b) == ids[a:b]).all()
+    shards = spark.createDataFrame([(0, 0, 1000, bytearray(data)), (0, 1000, 1000, bytearray(data)), (1, 0, 1000, bytearray(data))], "part int, before long, n_ids long, payload binary")
+    assert (tokens.read_window(shards, 0, 900, 300) == np.concatenate([ids[900:], ids[:200]])).all()
+
+
+def test_repeated_ids_keep_their_order(spark):
+    rows = [(7, f"text {k % 50}") for k in range(2000)] + [(None, f"null {k}") for k in range(300)] + [(3, "")]
+    path = str(TOKENIZERS.path("word_bpe_49k.json"))
+    got = sorted(tokens.read_tokens(tokens.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), path)).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 300 + [3] + [7] * 2000
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+    assert sorted(collections.Counter(r.ids_crc32 for r in got[301:]).values()) == [40] * 50
+
+
 def test_chats(spark):
     odd = ["<|im_end|><|im_start|>assistant ok", "<\\|im_end|>", "<\\\\|im_nl|> <|im_start|", "", None, "x\n<|im_end|>\n<|im_start|>user\n", "plain\n", "<|im_nl|>"]
     rows = [(c, t, role, odd[(c + t) % len(odd)]) for c in range(8) for t in range(4) for role in ("user", "assistant")] + [(99, 0, "assi\nstant", "a"), (99, 1, None, "b"), (98, None, "assistant", "c"), (98, 0, "<|im_start|>", "d"), (None, 0, "assistant", "e"), (97, 1, "assistant", "same"), (97, 1, "assistant", "same")]
@@ -357,6 +418,147 @@ def test_mixing(spark, labelled):
     assert mixing.mix(spark.createDataFrame(*EMPTY), mixing.label_domains(labels), {"clean": 1.0}).count() == 0
 
 
+def plain_scores(texts, model):
+    """The attention model for one text at a time, in plain loops over passages."""
+    out = []
+    for t in texts:
+        raw = (t or "").encode()
+        x, _ = quality.passages(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8))
+        p, hs, logits = model.p, [], []
+        for row in np.clip((x - model.centre) / model.scale, -6, 6):
+            h = np.tanh(row @ p["W"] + p["c"])
+            hs.append(h)
+            logits.append(float((np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["G"])))) @ p["u"]))
+        a = np.exp(np.array(logits) - max(logits))
+        z = sum(w * h for w, h in zip(a / a.sum(), hs))
+        out.append(1 / (1 + math.exp(-float(z @ p["o"] + p["b"][0]))))
+    return out
+
+
+def test_quality_of_one_text_at_a_time(spark, labelled):
+    docs, labels = labelled
+    model = quality.train_quality(docs, labels)
+    rows = quality.score_quality(docs, model).collect()
+    assert [r.score for r in rows] == pytest.approx(plain_scores([r.row.text for r in rows], model), abs=1e-5)
+
+
+def test_passages_by_hand():
+    text = "One, two. two\n" + "x " * 63 + "END!"
+    raw = text.encode()
+    x, first = quality.passages(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8))
+    assert first.tolist() == [0, 2] and len(x) == 2
+    words = text.split()
+    for row, at in zip(x, (0, 64)):
+        own = words[at : at + 64]
+        assert row[8] == pytest.approx(math.log1p(sum(map(len, own)) / len(own)), rel=1e-5)
+        low = [w.lower() for w in own]
+        before = [*(w.lower() for w in words[max(0, at - 1) : at]), *low]
+        assert row[10] == pytest.approx(sum(a == b for a, b in zip(before, before[1:])) / len(own), rel=1e-5)
+        assert row[12] == pytest.approx(len(set(low)) / len(own), rel=1e-5)
+        assert row[16] == pytest.approx(sum(w.endswith(".") for w in own) / len(own), rel=1e-5)
+
+
+def test_toxicity_of_one_text_at_a_time(spark, labelled):
+    """The worst mean over three words, window by window."""
+    docs, labels = labelled
+    model = toxicity.train_toxicity(docs, labels)
+    rows = toxicity.score_toxicity(docs.where("doc_id < 40 OR doc_id >= 1000"), model).collect()
+    for r in rows:
+        raw = (r.row.text or "").encode()
+        with np.errstate(over="ignore"):
+            w = toxicity.Words(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8))
+            bags = [toxicity.subwords(w, np.array([k]))[0] for k in range(min(600, len(w.hash)))]  # the long text repeats one word
+        means = [model.table[np.concatenate(bags[k : k + 3])].mean(axis=0) for k in range(max(1, len(bags) - 2))] if bags else [np.zeros(toxicity.DIM)]
+        assert r.score == pytest.approx(max(float(model.softmax(m[None])[0, 1]) for m in means), abs=1e-4)
+
+
+def test_subwords_leave_all_marks_off():
+    raw = b"((((((((word!!!!!!!!!! word !!!!! \"w\""
+    with np.errstate(over="ignore"):
+        w = toxicity.Words(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8))
+        rows = [toxicity.subwords(w, np.array([k]))[0].tolist() for k in range(4)]
+    assert rows[0] == rows[1] and len(rows[2]) == len(range(3, 6)) + sum(max(0, 7 - n + 1) - 1 for n in (3, 4, 5)) + 1 and rows[3] != rows[2]
+
+
+def test_rates_against_a_plain_solver(spark):
+    """Nonnegative least squares by many small projected gradient steps on one machine."""
+    rng = np.random.default_rng(8)
+    p = rng.dirichlet([0.3, 0.3, 0.3], 300)
+    n = rng.integers(0, 200, 300)
+    soft = spark.createDataFrame([(int(a), [float(y) for y in b]) for a, b in zip(n, p)], "n_tokens long, posterior array<double>").repartition(3)
+    for weights, budget in (([0.5, 0.3, 0.2], 1.0), ([0.9, 0.05, 0.05], 2.0), ([1.0, 0.0, 0.0], 1.0)):
+        fit = mixing.fit_rates(soft, np.array(weights), budget)
+        rate = mixing.rates(p, fit.moves)
+        assert (rate >= 0).all() and fit.reached == pytest.approx((n * rate) @ p, rel=1e-9)
+        goal = np.array(weights) * n.sum() * budget
+        assert fit.residual == pytest.approx(np.abs(fit.reached - goal).max() / goal.sum(), abs=1e-12)
+        r = np.ones(300)
+        for _ in range(20_000):
+            r = np.maximum(0, r - 0.5 * p @ (((n * r) @ p - goal) / n.sum()))
+        best = np.abs((n * r) @ p - goal).max() / goal.sum()
+        assert fit.residual <= best + 0.01  # the last goal is out of reach, and a fit ends where steps bring little more
+
+
+def plain_mel(payload):
+    """Log-mel values frame by frame with a direct Fourier sum."""
+    x = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
+    y = audio.resample(x.astype(np.float32)).astype(float)
+    n = max(1, math.ceil((len(y) - audio.FRAME) / audio.HOP) + 1)
+    y = np.concatenate([y, np.zeros(n * audio.HOP + audio.FRAME)])
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(audio.FRAME) / (audio.FRAME - 1))
+    wave = np.exp(-2j * np.pi * np.outer(np.arange(audio.FRAME // 2 + 1), np.arange(audio.FRAME)) / audio.FRAME)
+    hz = lambda m: 700 * (10 ** (m / 2595) - 1)
+    mel = lambda f: 2595 * math.log10(1 + f / 700)
+    edges = [hz(mel(20.0) + k * (mel(audio.OUT_RATE / 2) - mel(20.0)) / (audio.MELS + 1)) for k in range(audio.MELS + 2)]
+    out = []
+    for k in range(n):
+        power = np.abs(wave @ (y[k * audio.HOP : k * audio.HOP + audio.FRAME] * window)) ** 2
+        row = []
+        for lo, mid, hi in zip(edges, edges[1:], edges[2:]):
+            total = 0.0
+            for b, v in enumerate(power):
+                f = b * audio.OUT_RATE / audio.FRAME
+                total += v * max(0.0, min((f - lo) / (mid - lo), (hi - f) / (hi - mid)))
+            row.append(max(float(audio.FLOOR), math.log(max(total, 1e-30))))
+        out.append(row)
+    return np.array(out)
+
+
+def test_log_mel_by_a_direct_sum():
+    rng = np.random.default_rng(3)
+    for size in (64, 640, 4096):
+        payload = bytes(rng.integers(0, 256, size, dtype=np.uint8))
+        x = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
+        got, energy = audio.log_mel(audio.resample(x))
+        want = plain_mel(payload)
+        assert got.shape == want.shape and np.abs(got - want).max() < 0.02
+
+
+def plain_segments(energy):
+    middle, out, open_at, strong = float(np.median(energy)), [], None, False
+    for k, e in enumerate([*energy, -np.inf]):
+        if e > middle + audio.CLOSE_DB:
+            open_at = k if open_at is None else open_at
+            strong |= e > middle + audio.OPEN_DB
+        elif open_at is not None:
+            if strong:
+                out.append([open_at, k])
+            open_at, strong = None, False
+    return out
+
+
+def test_segments_by_a_plain_loop():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        energy = rng.normal(size=rng.integers(1, 60)) * rng.choice([0.3, 2.0])
+        assert audio.segments(energy).tolist() == plain_segments(energy)
+
+
+def test_clips_are_read_back_from_a_table(spark):
+    clips = audio.store(audio.audio_columns(spark.createDataFrame(rows_of(odd_texts()), DOCS)))
+    assert clips.inputFiles() and audio.digest(clips).count() == len(odd_texts())
+
+
 def test_audio(spark):
     rows = rows_of(odd_texts())
     df = spark.createDataFrame([(*r, 1) for r in rows], DOCS + ", media int")

@@ -1,16 +1,22 @@
 """Language-model scores from a hashed maximum-entropy model with a class-factored softmax.
 
-    P(w | h) = P(class(w) | h) * P(w | class(w), h)
-
-The ``32 * 32`` most frequent training tokens are words of 32 classes by frequency; every other word
-falls into one of 32 rare classes by its last bytes, where its probability is its smoothed count. The
-features of a token's history are the word before (an n-gram feature), the one before that (a skip
-feature) and both together (hashed). Counts come from all training texts; the weights are
-trained by distributed gradient updates: every partition takes its own gradient steps over all its
-tokens, and the partitions' changes are averaged by their tokens in two levels of groups.
-
-Only words outside the most frequent ``FREQUENT`` (a fixed bound, so they can be broadcast) have to
-meet their counts through a shuffle.
+    P(w | h) = P(class(w) | h) * P(first branch | class, h) * P(next branch | node, h) * ...
+
+Every word has a path. The most frequent training tokens (at most ``FREQUENT``, so that their counts fit on
+every executor) lie in 24 classes by frequency, as leaves of trees of 32 branches, one to three levels
+deep. Every other word, known or not, lies in one of 16 classes by its last bytes and below that in one of
+32 * 32 leaves by its hash, where its probability is its smoothed count. Each class and each node is a
+softmax of its own; its constant part is the counts' share, and its features are the word before (an n-gram
+feature), the one before that (a skip feature) and, for classes, both together. Words are features by
+their rank or their hash, and features of classes and nodes are hashed into tables of fixed size, so all
+words take part in both roles.
+
+Counts come from all training texts. The weights are trained by distributed gradient updates: the texts are
+dealt into ``ROUNDS`` lots by a hash, and a round sums the gradient of all tokens of its lot at the weights
+so far, each step scaled by how often its feature was seen. The sums don't depend on how rows lie
+in partitions or on how many cores there are, and so neither do the scores (but for rounding).
+
+Only words outside the most frequent have to meet their counts through a shuffle.
 """
 
 from __future__ import annotations
@@ -24,21 +30,31 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import Stages, blocks, crc32_mod, frugal, list_array
-from .words import Words
+from .words import Words, mix
 
 U = np.uint64
-CLASSES = SIZE = RARE = 32
-EXPLICIT = CLASSES * SIZE
+BRANCH = 32
+#: Classes by frequency (a third each of trees of one, two and three levels) and by last bytes.
+CLASSES, RARE = 24, 16
+SIZES = np.repeat([BRANCH, BRANCH**2, BRANCH**3], CLASSES // 3)
+DEPTH = np.repeat([1, 2, 3], CLASSES // 3)
 #: Words whose counts every executor holds, at most.
-FREQUENT = 1 << 18
-START = EXPLICIT + RARE
-IDS = START + 1
-PAIRS, SMALL = 2048, 128
+FREQUENT = int(SIZES.sum())
+LEAVES = RARE * BRANCH * BRANCH
+#: Nodes: classes, branches of classes, branches of those in the classes of three levels.
+SECOND, THIRD = CLASSES + RARE, (CLASSES + RARE) * (BRANCH + 1)
+NODES = THIRD + CLASSES // 3 * BRANCH * BRANCH
+#: Places of a word as a feature: its own for the most frequent ones, hashed for all others, and one for a text's start.
+OWN, HASHED = 2048, 2048
+START = OWN + HASHED
+HISTORY = START + 1
+PAIRS, INNER = 8192, 8192
 #: The hash of the end token; no word's hash is looked up under another name.
 END = U(0x454E44)
-#: Tokens of one gradient step.
-STEP = 4096
+#: Tokens that are taken at once.
+STEP = 8192
 PIECE = 1 << 15
+ROUNDS, RATE, PRIOR = 4, 0.4, 6.0
 
 
 def rare_class(w: Words) -> np.ndarray:
@@ -47,6 +63,10 @@ def rare_class(w: Words) -> np.ndarray:
     return (last * 5 + before * 13) % RARE
 
 
+def rare_leaf(rare: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return rare * BRANCH**2 + (h & U(BRANCH**2 - 1)).astype(np.int64)
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, c, r): words and their counts, summed over about 16 MB of text before they are handed on."""
     held, size = [], 0
@@ -77,12 +97,12 @@ class Vocabulary:
 
     hash: np.ndarray  # of frequent words, sorted
     count: np.ndarray
-    index: np.ndarray  # explicit number, or -1
+    rank: np.ndarray
     n: int
     v: int
-    rare_log: np.ndarray  # log10(N_r + V_r + 1) of the rare classes
+    leaf_log: np.ndarray  # log10(N + V + 1) of the leaves of other words
     class_log: np.ndarray  # natural logs of the classes' shares
-    word_log: np.ndarray  # and of the explicit words' in their class
+    node_log: np.ndarray  # and of the branches' in their node
 
     @classmethod
     def of(cls, counts: DataFrame) -> Vocabulary:
@@ -95,30 +115,52 @@ class Vocabulary:
             if total > FREQUENT:
                 break
             least = b
-        got = counts.where(bucket >= least).toPandas() if least is not None else None
-        h = got["h"].to_numpy().view(U) if got is not None else np.zeros(0, U)
-        c = got["c"].to_numpy() if got is not None else np.zeros(0, np.int64)
-        r = got["r"].to_numpy() if got is not None else np.zeros(0, np.int64)
-        chosen = np.lexsort((h, -c))[:EXPLICIT]
-        by_class = counts.groupBy("r").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
-        n_r, v_r = np.zeros(RARE, np.int64), np.zeros(RARE, np.int64)
-        for row in by_class:
-            n_r[row.r], v_r[row.r] = row.n, row.v
-        n, v = int(n_r.sum()), int(v_r.sum())
-        np.subtract.at(n_r, r[chosen], c[chosen])
-        np.subtract.at(v_r, r[chosen], 1)
-        order = np.argsort(h)
-        index = np.full(len(h), -1, np.int64)
-        index[chosen] = np.arange(len(chosen))
-        words = np.zeros(EXPLICIT)
-        words[: len(chosen)] = c[chosen]
-        words = words.reshape(CLASSES, SIZE) + 1e-3
-        classes = np.concatenate([words.sum(axis=1), n_r + 1.0])
-        return cls(h[order], c[order], index[order], n, v, np.log10(n_r + v_r + 1), np.log(classes / classes.sum()), np.log(words / words.sum(axis=1, keepdims=True)))
+        often = bucket >= least if least is not None else F.lit(False)
+        got = counts.where(often).select("h", "c").toPandas()
+        h, c = got["h"].to_numpy(np.int64).view(U), got["c"].to_numpy(np.int64)
+        leaf = F.col("r") * BRANCH**2 + F.col("h").bitwiseAND(BRANCH**2 - 1)
+        rest = counts.where(~often).groupBy(leaf.cast("int").alias("leaf")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()
+        n_leaf, v_leaf = np.zeros(LEAVES), np.zeros(LEAVES)
+        n_leaf[rest["leaf"].to_numpy(np.int64)], v_leaf[rest["leaf"].to_numpy(np.int64)] = rest["n"], rest["v"]
+        return cls.build(h, c, n_leaf, v_leaf)
+
+    @classmethod
+    def build(cls, h: np.ndarray, c: np.ndarray, n_leaf: np.ndarray, v_leaf: np.ndarray) -> Vocabulary:
+        order = np.lexsort((h, -c))
+        rank = np.empty(len(h), np.int64)
+        rank[order] = np.arange(len(h))
+        mass = np.zeros((NODES, BRANCH))
+        classes = np.zeros(CLASSES + RARE)
+        klass, nodes, branches = frequent_paths(np.arange(len(h)))
+        for level in range(3):
+            here = np.flatnonzero(nodes[level] >= 0)
+            np.add.at(mass, (nodes[level][here], branches[level][here]), c[order][here] + 1.0)
+        classes += np.bincount(klass, c[order] + 1.0, len(classes))
+        smooth = (n_leaf + v_leaf + 1).reshape(RARE, BRANCH, BRANCH)
+        classes[CLASSES:] += smooth.sum(axis=(1, 2))
+        mass[CLASSES:SECOND] += smooth.sum(axis=2)
+        mass[SECOND + CLASSES * BRANCH : THIRD] += smooth.reshape(-1, BRANCH)
+        empty = classes == 0
+        classes[empty] = 1e-3
+        mass += 1e-3 * (mass == 0)
+        by = np.argsort(h)
+        return cls(h[by], c[by], rank[by], int(c.sum() + n_leaf.sum()), int(len(h) + v_leaf.sum()), np.log10(n_leaf + v_leaf + 1), np.log(classes / classes.sum()).astype(np.float32), np.log(mass / mass.sum(axis=1, keepdims=True)).astype(np.float32))
+
+
+def frequent_paths(rank: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Classes of words by rank, and the nodes (-1 below a leaf) and branches of their paths."""
+    ends = np.cumsum(SIZES)
+    klass = np.searchsorted(ends, rank, "right")
+    depth = DEPTH[klass]
+    place = (rank - (ends - SIZES)[klass]) * BRANCH ** (3 - depth)  # as in a tree of three levels
+    one, two, three = place // BRANCH**2, place // BRANCH % BRANCH, place % BRANCH
+    second = np.where(depth > 1, SECOND + klass * BRANCH + one, -1)
+    third = np.where(depth > 2, THIRD + ((klass - CLASSES // 3 * 2) * BRANCH + one) * BRANCH + two, -1)
+    return klass, [klass, second, third], [one, two, three]
 
 
 class Tokens:
-    """Tokens of a block in text order, an end after each text: classes, numbers and histories."""
+    """Tokens of a block in text order, an end after each text: paths and histories."""
 
     def __init__(self, offsets: np.ndarray, data: np.ndarray, vocab: Vocabulary):
         with np.errstate(over="ignore"):
@@ -135,14 +177,22 @@ class Tokens:
             at = np.minimum(np.searchsorted(vocab.hash, self.hash), len(vocab.hash) - 1)
             self.frequent = vocab.hash[at] == self.hash
             self.count = np.where(self.frequent, vocab.count[at], 0)
-            index = np.where(self.frequent, vocab.index[at], -1)
+            rank = vocab.rank[at]
         else:
-            self.frequent, self.count, index = np.zeros(len(self.hash), bool), np.zeros(len(self.hash), np.int64), np.full(len(self.hash), -1)
-        self.rare = rare
-        self.explicit = index >= 0
-        self.klass = np.where(self.explicit, index // SIZE, CLASSES + rare)
-        self.word = np.where(self.explicit, index % SIZE, 0)
-        number = np.where(self.explicit, index, EXPLICIT + rare)
+            self.frequent, self.count, rank = np.zeros(len(self.hash), bool), np.zeros(len(self.hash), np.int64), np.zeros(len(self.hash), np.int64)
+        self.leaf = rare_leaf(rare, self.hash)
+        klass, nodes, branches = frequent_paths(np.where(self.frequent, rank, 0))
+        other = ~self.frequent
+        one, two = self.leaf // BRANCH % BRANCH, self.leaf % BRANCH
+        self.klass = np.where(other, CLASSES + rare, klass)
+        nodes = [np.where(other, x, y) for x, y in zip((CLASSES + rare, SECOND + (CLASSES + rare) * BRANCH + one, -1), nodes)]
+        branches = [np.where(other, x, y) for x, y in zip((one, two, 0), branches)]
+        # Every step down a tree: its token, node and branch.
+        self.token = np.concatenate([np.flatnonzero(x >= 0) for x in nodes])
+        self.node = np.concatenate([x[x >= 0] for x in nodes])
+        self.branch = np.concatenate([b[x >= 0] for x, b in zip(nodes, branches)])
+        with np.errstate(over="ignore"):
+            number = np.where(self.frequent & (rank < OWN), rank, OWN + (mix(self.hash) % U(HASHED)).astype(np.int64))
         back = np.arange(len(number)) - self.first[self.doc]
         self.prev = np.full(len(number), START)
         self.prev[1:] = number[:-1]
@@ -151,151 +201,161 @@ class Tokens:
         self.skip[2:] = number[:-2]
         self.skip[back < 2] = START
 
+    def class_rows(self, lo: int, hi: int) -> tuple[np.ndarray, ...]:
+        prev, skip = self.prev[lo:hi], self.skip[lo:hi]
+        return prev, HISTORY + skip, 2 * HISTORY + (prev * 4099 + skip * 7919) % PAIRS
+
+    def node_rows(self, lo: int, hi: int) -> tuple[np.ndarray, ...]:
+        node, token = self.node[lo:hi], self.token[lo:hi]
+        return (node * 1361 + self.prev[token] * 2654435761) % INNER, INNER + (node * 1847 + self.skip[token] * 2246822519) % INNER
+
+
+def log_softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z
+
 
 class MaxEnt:
-    """Weights of the features for classes and for words within a class."""
+    """Weights of the features of classes and of nodes."""
 
-    SHAPES = {"bc": (1, CLASSES + RARE), "wc": (2 * IDS + PAIRS, CLASSES + RARE), "bw": (CLASSES, SIZE), "ww": (2 * SMALL * CLASSES, SIZE)}
+    CLASS, NODE = (2 * HISTORY + PAIRS, CLASSES + RARE), (2 * INNER, BRANCH)
 
     def __init__(self, vocab: Vocabulary):
-        self.p = {k: np.zeros(s, np.float32) for k, s in self.SHAPES.items()}
-        self.p["bc"][0] = vocab.class_log
-        self.p["bw"][:] = vocab.word_log
-        self.seen = {k: np.full(s[0], 1e-2, np.float32) for k, s in self.SHAPES.items()}
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.p[k].reshape(-1) for k in self.SHAPES])
-
-    def load(self, flat: np.ndarray) -> MaxEnt:
-        at = 0
-        for k, s in self.SHAPES.items():
-            self.p[k] = flat[at : at + s[0] * s[1]].reshape(s).astype(np.float32)
-            at += s[0] * s[1]
-        return self
-
-    def features(self, t: Tokens, lo: int, hi: int) -> list[np.ndarray]:
-        prev, skip = t.prev[lo:hi], t.skip[lo:hi]
-        return [prev, IDS + skip, 2 * IDS + (prev * 1361 + skip * 7919) % PAIRS]
-
-    def _log_softmax(self, z: np.ndarray) -> np.ndarray:
-        z -= z.max(axis=1, keepdims=True)
-        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-    def class_part(self, f: list[np.ndarray]) -> np.ndarray:
-        wc = self.p["wc"]
-        z = wc[f[0]]
-        z += wc[f[1]]
-        z += wc[f[2]]
-        z += self.p["bc"]
-        return self._log_softmax(z)
-
-    def word_rows(self, t: Tokens, own: np.ndarray) -> list[np.ndarray]:
-        k = t.klass[own]
-        return [(t.prev[own] % SMALL) * CLASSES + k, (SMALL + t.skip[own] % SMALL) * CLASSES + k]
-
-    def word_part(self, rows: list[np.ndarray], k: np.ndarray) -> np.ndarray:
-        z = self.p["ww"][rows[0]]
-        z += self.p["ww"][rows[1]]
-        z += self.p["bw"][k]
-        return self._log_softmax(z)
+        self.vocab = vocab
+        self.class_w, self.node_w = np.zeros(self.CLASS, np.float32), np.zeros(self.NODE, np.float32)
+
+    def classes(self, rows: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Natural logs of the probabilities of all classes, for some histories."""
+        z = self.class_w[rows[0]]
+        for x in rows[1:]:
+            z += self.class_w[x]
+        z += self.vocab.class_log
+        return log_softmax(z)
+
+    def nodes(self, rows: tuple[np.ndarray, ...], node: np.ndarray) -> np.ndarray:
+        """And of all branches of some nodes."""
+        z = self.vocab.node_log[node]
+        for x in rows:
+            z += self.node_w[x]
+        return log_softmax(z)
 
     def score(self, t: Tokens) -> np.ndarray:
-        """Natural logs: of the class, and for explicit words of the word too."""
+        """Natural log of each token's path."""
         out = np.empty(len(t.hash))
         for lo in range(0, len(out), STEP):
             hi = min(len(out), lo + STEP)
-            out[lo:hi] = self.class_part(self.features(t, lo, hi))[np.arange(hi - lo), t.klass[lo:hi]]
-        own = np.flatnonzero(t.explicit)
-        for lo in range(0, len(own), STEP):
-            part = own[lo : lo + STEP]
-            out[part] += self.word_part(self.word_rows(t, part), t.klass[part])[np.arange(len(part)), t.word[part]]
-        return out
-
-    def _update(self, name: str, rows: np.ndarray, g: np.ndarray, rate: float) -> None:
-        """A gradient step for some rows of a table, each with its own pace by its gradients so far."""
+            out[lo:hi] = self.classes(t.class_rows(lo, hi))[np.arange(hi - lo), t.klass[lo:hi]]
+        down = np.empty(len(t.token))
+        for lo in range(0, len(down), STEP):
+            hi = min(len(down), lo + STEP)
+            down[lo:hi] = self.nodes(t.node_rows(lo, hi), t.node[lo:hi])[np.arange(hi - lo), t.branch[lo:hi]]
+        return out + np.bincount(t.token, down, len(out))
+
+
+class Gradient:
+    """Sums over tokens: what the model expects less what is there, and what it expects, of all weights."""
+
+    SIZES = (MaxEnt.CLASS[0] * MaxEnt.CLASS[1], MaxEnt.CLASS[0], MaxEnt.NODE[0] * MaxEnt.NODE[1], MaxEnt.NODE[0] * MaxEnt.NODE[1])
+
+    def __init__(self):
+        self.class_g, self.class_n = np.zeros(MaxEnt.CLASS), np.zeros(MaxEnt.CLASS[0])
+        self.node_g, self.node_e = np.zeros(MaxEnt.NODE), np.zeros(MaxEnt.NODE)
+        self.tokens = 0
+
+    @staticmethod
+    def _scatter(total: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
         rows = rows.astype(np.uint16)
         order = np.argsort(rows, kind="stable")
         rows = rows[order]
         head = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        at, total = rows[head], np.add.reduceat(g[order], head, axis=0)
-        self.seen[name][at] += np.einsum("ij,ij->i", total, total) / total.shape[1]
-        self.p[name][at] -= (rate / np.sqrt(self.seen[name][at]))[:, None] * total
+        total[rows[head]] += np.add.reduceat(g[order], head, axis=0)
 
-    def learn(self, t: Tokens, rate: float) -> None:
+    def add(self, model: MaxEnt, t: Tokens) -> None:
+        self.tokens += len(t.hash)
         for lo in range(0, len(t.hash), STEP):
             hi = min(len(t.hash), lo + STEP)
-            f = self.features(t, lo, hi)
-            g = np.exp(self.class_part(f))
+            rows = t.class_rows(lo, hi)
+            g = np.exp(model.classes(rows))
             g[np.arange(hi - lo), t.klass[lo:hi]] -= 1
-            for x in f:
-                self._update("wc", x, g, rate)
-            own = lo + np.flatnonzero(t.explicit[lo:hi])
-            if len(own):
-                rows, k = self.word_rows(t, own), t.klass[own]
-                g = np.exp(self.word_part(rows, k))
-                g[np.arange(len(own)), t.word[own]] -= 1
-                for x in rows:
-                    self._update("ww", x, g, rate)
+            for x in rows:
+                self._scatter(self.class_g, x, g)
+                self.class_n += np.bincount(x, minlength=len(self.class_n))
+        for lo in range(0, len(t.token), STEP):
+            hi = min(len(t.token), lo + STEP)
+            rows = t.node_rows(lo, hi)
+            e = np.exp(model.nodes(rows, t.node[lo:hi]))
+            for x in rows:
+                self._scatter(self.node_e, x, e)
+                np.subtract.at(self.node_g.reshape(-1), x * BRANCH + t.branch[lo:hi], 1.0)
 
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.reshape(-1) for x in (self.class_g, self.class_n, self.node_g + self.node_e, self.node_e)])
+
+    @classmethod
+    def step(cls, model: MaxEnt, flat: np.ndarray, rate: float) -> None:
+        """One update of all weights. A step is the gradient over the feature's own expectation, on a log scale,
+        so that rare features learn as fast as common ones and none leaps."""
+        class_g, class_n, node_g, node_e = np.split(flat, np.cumsum(cls.SIZES)[:-1])
+        expect = class_n[:, None] * np.exp(model.vocab.class_log.astype(np.float64)) + PRIOR
+        for w, g, e in ((model.class_w, class_g.reshape(MaxEnt.CLASS), expect), (model.node_w, node_g.reshape(MaxEnt.NODE), node_e.reshape(MaxEnt.NODE) + PRIOR)):
+            w -= (rate * np.sign(g) * np.log1p(np.abs(g) / e)).astype(np.float32)
 
-def _gradients(shared, rate: float):
-    """(piece, part, n, change): a partition's own changes of the weights times its tokens."""
+
+def _gradients(shared):
+    """(piece, part, total): a partition's sums, cut into pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, start = shared.value
-        model, n = MaxEnt(vocab), 0
-        if start is not None:
-            model.load(start)
-        before = model.flat()
+        vocab, class_w, node_w = shared.value
+        model = MaxEnt(vocab)
+        model.class_w, model.node_w = class_w, node_w
+        sums = Gradient()
         for batch in batches:
-            for lo, hi, offsets, data in blocks(batch.column(0)):
-                t = Tokens(offsets, data, vocab)
-                model.learn(t, rate)
-                n += len(t.hash)
-        if n:
-            change = model.flat() - before
-            pieces = [change[a : a + PIECE].astype(np.float16).tobytes() for a in range(0, len(change), PIECE)]
-            k = len(pieces)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(np.full(k, TaskContext.get().partitionId(), np.int32)), pa.array(np.full(k, n)), pa.array(pieces, pa.binary())], names=["piece", "part", "n", "change"])
+            for _, _, offsets, data in blocks(batch.column(0)):
+                sums.add(model, Tokens(offsets, data, vocab))
+        if sums.tokens:
+            flat = sums.flat().astype(np.float32)
+            pieces = [flat[a : a + PIECE].tobytes() for a in range(0, len(flat), PIECE)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pieces), dtype=np.int32)), pa.array(np.full(len(pieces), TaskContext.get().partitionId() % 32, np.int32)), pa.array(pieces, pa.binary())], names=["piece", "part", "total"])
 
     return run
 
 
-def _mean(table: pa.Table) -> pa.Table:
-    """The mean change of one piece, weighted by tokens."""
-    n = table.column("n").to_numpy()
-    change = np.zeros(1, np.float64)
-    for k, x in zip(n, table.column("change")):
-        change = change + np.frombuffer(x.as_buffer(), np.float16).astype(np.float64) * k
-    return pa.table({"piece": table.column("piece").slice(0, 1), "part": table.column("part").slice(0, 1), "n": pa.array([int(n.sum())]), "change": pa.array([(change / n.sum()).astype(np.float16).tobytes()], pa.binary())})
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of equal pieces of a partition; it holds one sum for each, however many rows come."""
+    totals: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for piece, x in zip(batch.column(0).to_pylist(), batch.column(2)):
+            own = np.frombuffer(x.as_buffer(), np.float32)
+            totals[piece] = totals[piece] + own if piece in totals else own.astype(np.float64)
+    if totals:
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([0] * len(totals), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in totals.values()], pa.binary())], names=["piece", "part", "total"])
 
 
-KIND = "piece int, part int, n long, change binary"
+KIND = "piece int, part int, total binary"
 
 
-def train(texts: DataFrame, vocab: Vocabulary, rounds: int = 1, rate: float = 0.25) -> np.ndarray | None:
-    """The trained weights. Each round goes over all tokens; the weights have a fixed size (about 1.6 MB)."""
+def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, rate: float = RATE) -> MaxEnt:
+    """The trained model. Each round goes over its lot of the texts, and all texts are in one; the weights have a
+    fixed size (5 MB), and so has what a task hands on (7 MB). Tasks' sums are added up in two steps."""
     spark = texts.sparkSession
-    parts = texts.rdd.getNumPartitions()
-    texts = texts.coalesce(max(spark.sparkContext.defaultParallelism, parts // 4))
-    weights = None
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((vocab, weights))
-        rows = texts.mapInArrow(frugal(_gradients(shared, rate)), KIND).withColumn("part", F.pmod("part", F.lit(32)))
-        rows = rows.groupBy("piece", "part").applyInArrow(_mean, KIND).groupBy("piece").applyInArrow(_mean, KIND)
-        got = sorted((r.piece, bytes(r.change)) for r in rows.collect())
-        if not got:
-            return None
-        if weights is None:
-            weights = MaxEnt(vocab).flat()
-        weights = weights + np.frombuffer(b"".join(x for _, x in got), np.float16).astype(np.float32)
-    return weights
+    model = MaxEnt(vocab)
+    lot = F.pmod(F.xxhash64("text"), F.lit(rounds))
+    for k in range(rounds):
+        shared = spark.sparkContext.broadcast((vocab, model.class_w, model.node_w))
+        rows = texts.where(lot == k).mapInArrow(frugal(_gradients(shared)), KIND)
+        rows = rows.repartition("piece", "part").mapInArrow(frugal(_summed), KIND).repartition("piece").mapInArrow(frugal(_summed), KIND)
+        got = sorted((r.piece, bytes(r.total)) for r in rows.collect())
+        shared.unpersist()
+        if got:
+            Gradient.step(model, np.frombuffer(b"".join(x for _, x in got), np.float32).astype(np.float64), rate)
+    return model
 
 
 def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, weights = shared.value
-        model = MaxEnt(vocab).load(weights) if weights is not None else None
+        model = shared.value
+        vocab = model.vocab
         part, row = TaskContext.get().partitionId(), 0
         total = np.log10(vocab.n + vocab.v + 1)
         for batch in batches:
@@ -304,11 +364,8 @@ def _scored(shared):
                 n_docs = hi - lo
                 own = np.log10(t.count + 1.0)
                 base = np.bincount(t.doc, own, n_docs) - np.diff(t.first) * total
-                if model:
-                    by = model.score(t) / np.log(10) + np.where(t.explicit, 0, own - vocab.rare_log[t.rare])
-                    score = np.bincount(t.doc, by, n_docs)
-                else:
-                    score = base
+                by = model.score(t) / np.log(10) - np.where(t.frequent, 0, vocab.leaf_log[t.leaf])
+                score = np.bincount(t.doc, by, n_docs) if vocab.n else base
                 rest = np.flatnonzero(~t.frequent)
                 order = rest[np.lexsort((t.hash[rest], t.doc[rest]))]
                 h, d = t.hash[order], t.doc[order]
@@ -327,16 +384,17 @@ def _scored(shared):
     return run
 
 
-def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", folds: int = 7, held_out: int = 2, rounds: int = 1) -> DataFrame:
+def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", folds: int = 7, held_out: int = 2, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text, in log10.
 
     Training texts are those whose crc32(id) mod ``folds`` is not ``held_out``. Words are
     [^\\x20\\x09-\\x0D]+ after A-Z became a-z, and one end follows every text. Null and empty texts are the end
     alone. Repeated rows each count and each get a score; a null id counts as empty text for the folds.
-    Without training texts base_score and score are 0. Other columns are ignored.
+    Without training texts base_score and score are 0. Texts of any length are read whole, an empty table gives
+    no rows, other columns are ignored.
 
-    The probabilities of a history add up to 1 over the explicit words, the known rare words and, in
-    every rare class, one place for all unknown words.
+    The probabilities of a history add up to 1 over the frequent words, the other known words and, in every
+    leaf of those, one place for all unknown words.
     """
     spark = docs.sparkSession
     stages = Stages(spark, "lm")
@@ -345,7 +403,7 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     counts = texts.mapInArrow(frugal(_counts), "h long, c long, r int").groupBy("h").agg(F.sum("c").alias("c"), F.min("r").alias("r"))
     counts = stages.put(counts, "counts")
     vocab = Vocabulary.of(counts)
-    shared = spark.sparkContext.broadcast((vocab, train(texts, vocab, rounds) if vocab.n else None))
+    shared = spark.sparkContext.broadcast(train(texts, vocab, rounds) if vocab.n else MaxEnt(vocab))
     kind = "uid long, doc_id long, n_tokens long, n_known long, base double, score double, h array<long>, n array<int>"
     first = stages.put(docs.mapInArrow(frugal(_scored(shared)), kind), "scored")
 

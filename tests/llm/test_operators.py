@@ -294,43 +294,114 @@ def test_language_model(spark):
     assert lm.score_texts(spark.createDataFrame(*EMPTY)).count() == 0
 
 
-def test_probabilities_add_up(spark):
-    counts = spark.createDataFrame([(k * 7919, 5000 - k, k % 32) for k in range(1500)], "h long, c long, r int")
-    vocab = lm.Vocabulary.of(counts)
-    model = lm.MaxEnt(vocab)
-    rng = np.random.default_rng(0)
-    for p in model.p.values():
-        p += rng.normal(size=p.shape).astype(np.float32) / 3
-    classes = np.exp(model.class_part([np.array([3]), lm.IDS + np.array([5]), 2 * lm.IDS + np.array([9])]))[0]
-    assert classes.sum() == pytest.approx(1, abs=1e-5)
-    words = np.exp(model.word_part([np.array([3 * 32 + k]) % 4096 for k in (1, 2)], np.array([1])))
-    assert words.sum() == pytest.approx(1, abs=1e-5)
-    rare = [(c, r) for c, r, i in zip(vocab.count, np.zeros(len(vocab.count)), vocab.index) if i < 0]
-    explicit = set(np.flatnonzero(vocab.index >= 0))
-    assert len(explicit) == lm.EXPLICIT and len(rare) == 1500 - lm.EXPLICIT
-    total = {k: 0.0 for k in range(32)}
-    for k in range(1500):
-        at = np.searchsorted(vocab.hash, np.uint64(k * 7919))
-        if vocab.index[at] < 0:
-            total[k % 32] += (vocab.count[at] + 1) / 10 ** vocab.rare_log[k % 32]
-    assert all(v + 1 / 10 ** vocab.rare_log[k] == pytest.approx(1) for k, v in total.items())
-
-
-def test_weights_learn():
-    vocab = lm.Vocabulary(np.arange(10, dtype=np.uint64), np.full(10, 5), np.arange(10), 50, 10, np.zeros(32), np.log(np.full(64, 1 / 64)), np.log(np.full((32, 32), 1 / 32)))
+def small_model(n_words=3000, seed=0):
+    """A model with random weights over words w0, w1, ... by falling counts, and four texts of them and other words."""
+    rng = np.random.default_rng(seed)
+    words = [f"w{k}" for k in range(n_words)]
+    raw = " ".join(words).encode()
+    with np.errstate(over="ignore"):
+        h = lm.Words(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8)).hash
+    n_leaf, v_leaf = rng.integers(0, 50, lm.LEAVES).astype(float), rng.integers(0, 9, lm.LEAVES).astype(float)
+    vocab = lm.Vocabulary.build(np.append(h, lm.END), np.append(2 * n_words - np.arange(n_words), 4 * n_words), n_leaf, v_leaf)
     model = lm.MaxEnt(vocab)
-
-    class T:
-        pass
-
-    t = T()
-    t.hash = np.tile(np.array([1, 2, 3, 4], np.uint64), 2000)
-    t.klass, t.word, t.explicit = (t.hash % 2).astype(int), t.hash.astype(int), np.ones(8000, bool)
-    t.prev, t.skip = np.roll(t.word, 1), np.roll(t.word, 2)
-    before = model.score(t).mean()
-    for _ in range(5):
-        model.learn(t, 0.25)
-    assert before < -7 and model.score(t).mean() > -0.3
+    for w in (model.class_w, model.node_w):
+        w += rng.normal(size=w.shape).astype(np.float32) / 3
+    texts = [" ".join(rng.choice([*words, "other", "unknown", "Wörter"]) for _ in range(n)) for n in (0, 1, 40, 300)]
+    raw = [t.encode() for t in texts]
+    return model, lm.Tokens(np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), np.uint8), vocab), texts, dict(zip([*words, None], vocab.rank[np.searchsorted(vocab.hash, np.append(h, lm.END))].tolist()))
+
+
+def plain_path(rank):
+    """Class, nodes and branches of a frequent word, by counting through the classes."""
+    for k, size in enumerate(lm.SIZES.tolist()):
+        if rank < size:
+            break
+        rank -= size
+    digits = []
+    while size > 1:
+        size //= lm.BRANCH
+        digits.append(rank // size)
+        rank %= size
+    nodes = [k, lm.SECOND + k * lm.BRANCH + digits[0], lm.THIRD + ((k - 16) * lm.BRANCH + digits[0]) * lm.BRANCH + (digits[1] if len(digits) > 1 else 0)]
+    return k, nodes[: len(digits)], digits
+
+
+def test_score_of_one_token_at_a_time():
+    model, t, texts, rank = small_model()
+    v, got, at = model.vocab, model.score(t), 0
+    pick = lambda z, k: z[k] - math.log(sum(math.exp(x) for x in z))
+    for text in texts:
+        history = [lm.START, lm.START]
+        for word in [*text.lower().split(), None]:
+            prev, skip = history[-1], history[-2]
+            if word in rank:
+                k, nodes, branches = plain_path(rank[word])
+            else:
+                raw = word.encode()
+                r = (raw[-1] * 5 + (raw[-2] if len(raw) > 1 else 0) * 13) % lm.RARE
+                low = int(t.hash[at]) % lm.BRANCH**2
+                k, branches = lm.CLASSES + r, [low // lm.BRANCH, low % lm.BRANCH]
+                nodes = [k, lm.SECOND + k * lm.BRANCH + branches[0]]
+                assert t.leaf[at] == r * lm.BRANCH**2 + low
+            z = v.class_log.astype(float) + model.class_w[prev] + model.class_w[lm.HISTORY + skip] + model.class_w[2 * lm.HISTORY + (prev * 4099 + skip * 7919) % lm.PAIRS]
+            want = pick(z, k)
+            for node, b in zip(nodes, branches):
+                z = v.node_log[node].astype(float) + model.node_w[(node * 1361 + prev * 2654435761) % lm.INNER] + model.node_w[lm.INNER + (node * 1847 + skip * 2246822519) % lm.INNER]
+                want += pick(z, b)
+            assert got[at] == pytest.approx(want, abs=1e-4)
+            with np.errstate(over="ignore"):
+                hashed = lm.OWN + int(lm.mix(t.hash[at : at + 1])[0] % np.uint64(lm.HASHED))
+            history.append(rank[word] if rank.get(word, lm.OWN) < lm.OWN else hashed)
+            at += 1
+    assert at == len(got)
+
+
+def test_probabilities_add_up():
+    """Over all frequent words and all leaves of other words, for one history."""
+    model, t, _, rank = small_model()
+    prev, skip = t.prev[50], t.skip[50]
+    rows = tuple(np.array([x]) for x in (prev, lm.HISTORY + skip, 2 * lm.HISTORY + (prev * 4099 + skip * 7919) % lm.PAIRS))
+    classes, total = np.exp(model.classes(rows))[0], 0.0
+    branch = lambda node: np.exp(model.nodes((np.array([(node * 1361 + prev * 2654435761) % lm.INNER]), np.array([lm.INNER + (node * 1847 + skip * 2246822519) % lm.INNER])), np.array([node])))[0]
+    known = {}
+    for r in rank.values():
+        k, nodes, branches = plain_path(r)
+        p = classes[k]
+        for node, b in zip(nodes, branches):
+            if node not in known:
+                known[node] = branch(node)
+            p *= known[node][b]
+        total += p
+    for k in range(lm.CLASSES, lm.CLASSES + lm.RARE):
+        one = branch(k)
+        total += classes[k] * sum(one[b] * branch(lm.SECOND + k * lm.BRANCH + b).sum() for b in range(lm.BRANCH))
+    assert total == pytest.approx(1, abs=1e-3)  # places that no word has keep a little
+
+
+def test_gradient_of_the_weights():
+    model, t, _, _ = small_model()
+    sums = lm.Gradient()
+    sums.add(model, t)
+    rng = np.random.default_rng(1)
+    for w, g in ((model.class_w, sums.class_g), (model.node_w, sums.node_g + sums.node_e)):
+        for at in np.argwhere(np.abs(g) > 0.5)[rng.integers(0, (np.abs(g) > 0.5).sum(), 8)]:
+            at = tuple(at)
+            keep, ends = w[at], []
+            for d in (0.05, -0.05):
+                w[at] = keep + d
+                ends.append(model.score(t).sum())
+            w[at] = keep
+            assert g[at] == pytest.approx(-(ends[0] - ends[1]) / 0.1, rel=0.02, abs=0.02)
+
+
+def test_scores_do_not_depend_on_partitions(spark, small):
+    docs = spark.read.parquet(f"{small.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    one, many = ({r.doc_id: r for r in lm.score_texts(docs.repartition(n)).collect()} for n in (2, 24))
+    assert one.keys() == many.keys()
+    for d, r in one.items():
+        assert many[d].score == pytest.approx(r.score, rel=1e-6) and many[d].base_score == pytest.approx(r.base_score, rel=1e-9)
+    held = [r for r in one.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held) and np.mean([r.score > r.base_score for r in held]) > 0.8
 
 
 @pytest.fixture(scope="module")

@@ -10,9 +10,10 @@ import zlib
 import numpy as np
 import pytest
 
-from quire.llm import audio, chat, decontam, lm, mixing, quality, tokens, toxicity
+from quire.llm import audio, chat, decontam, lm, minhash, mixing, quality, tokens, toxicity
 from quire.llm.lines import dedup_lines
-from quire.llm.minhash import near_duplicates
+from quire.llm.common import Stages
+from quire.llm.minhash import components, near_duplicates
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACED = re.compile("[^\x20\x09-\x0d]+")
@@ -78,6 +79,50 @@ def test_near_duplicates_of_no_rows_and_null_ids(spark):
     assert sorted(got, key=repr) == sorted([(None, 2, None, True), (None, 0, None, True), (3, 2, 3, True), (3, 2, 3, True)], key=repr)
 
 
+def test_near_duplicates_of_one_id_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(5, a), (5, b), (3, a), (7, b), (7, c), (9, c + " more"), (1, None), (5, a), (11, " ".join(f"d{k}" for k in range(30)))]
+    got = sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect())
+    assert got == sorted([(5, 29, 3, False), (5, 29, 3, False), (5, 29, 3, False), (3, 29, 3, True), (7, 29, 3, False), (7, 29, 3, False), (9, 30, 3, False), (1, 0, 1, True), (11, 29, 11, True)])
+
+
+def test_components_of_a_long_chain(spark):
+    stages = Stages(spark, "test")
+    got = {r.id: r.component for r in components(stages, spark.range(1, 1000).selectExpr("id AS b", "id - 1 AS a")).collect()}
+    assert got == {k: 0 for k in range(1000)}
+    assert sum("roots" in p for p in stages.paths) <= 12
+    rng = random.Random(4)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)]
+    root = {}
+    for x, y in links:
+        group = root.get(x, {x}) | root.get(y, {y})
+        for k in group:
+            root[k] = group
+    df = spark.createDataFrame([(min(x), max(x)) for x in links], "a long, b long")
+    assert {r.id: r.component for r in components(Stages(spark, "test"), df).collect()} == {k: min(g) for k, g in root.items()}
+
+
+def test_near_duplicates_of_one_template(spark, monkeypatch):
+    """Hundreds of texts that share most of their shingles, but not enough, meet few others."""
+    rows = {}
+
+    class Counted(Stages):
+        def put(self, df, name):
+            out = super().put(df, name)
+            rows[name] = out.count()
+            return out
+
+    monkeypatch.setattr(minhash, "Stages", Counted)
+    rng = random.Random(12)
+    base = [f"t{k}" for k in range(80)]
+    texts = [" ".join([*base, *(f"own{k}-{j}" for j in range(30))]) for k in range(400)]
+    texts += [t + " tail" for t in texts[:20]]  # and some real copies
+    rng.shuffle(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows_of(texts), DOCS), shingle=2).collect()}
+    assert got == plain_components(texts, 2)
+    assert rows["rest"] > 400 and rows["meets"] <= 2 * len(texts)
+
+
 def plain_lines(rows):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOW)
     held = collections.defaultdict(set)

@@ -48,12 +48,13 @@ def render(role: Column, text: Column) -> Column:
 
 
 def format_chats(turns: DataFrame, id_column: str = "conv_id", turn_column: str = "turn", role_column: str = "role", text_column: str = "text") -> DataFrame:
-    """(conv_id, n_source, formatted, loss_mask): one text per conversation and where assistants speak.
+    """(conv_id, n_source, formatted, turns, loss_mask): one text per conversation and where assistants speak.
 
-    ``loss_mask`` holds (start, length) in code points of ``formatted``, from 0. Null text or role
-    counts as empty; turns are ordered by turn, then role, then text, nulls first, and repeated turns
-    all stay. Rows without an id make one conversation with a null id. Other columns are ignored.
-    An empty table gives no rows. A turn that no escaping brings back ends the job with an error.
+    ``loss_mask`` holds (start, length) in code points of ``formatted``, from 0, and ``turns`` where each turn
+    begins, with its part of the mask. Null text or role counts as empty; turns are ordered by turn, then role, then text, nulls first,
+    and repeated turns all stay. Rows without an id make one conversation with a null id. Other columns are
+    ignored. An empty table gives no rows. A turn that no escaping brings back ends the job with an error.
+    A conversation of any length is one text, and the work is linear in it.
     """
     rows = turns.select(
         F.col(id_column).alias("conv_id"), F.col(turn_column).alias("turn"), F.coalesce(F.col(role_column).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")
@@ -66,21 +67,30 @@ def format_chats(turns: DataFrame, id_column: str = "conv_id", turn_column: str
     rows = rows.withColumn("before", before).withColumn("place", F.row_number().over(order))
     head = F.length(F.substring_index("out", "\n", 1)) + 1
     span = F.when(F.col("role") == "assistant", F.struct((F.col("before") + head).alias("start"), (F.length("out") - head - len(END) - 1).cast("long").alias("length")))
-    rows = rows.select("conv_id", F.struct("place", "out", span.alias("span")).alias("t"))
+    rows = rows.select("conv_id", F.struct("place", "out", "before", span.alias("span")).alias("t"))
     out = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
     return out.select(
         "conv_id",
         F.size("t").cast("long").alias("n_source"),
         F.array_join(F.transform("t", lambda x: x["out"]), "").alias("formatted"),
+        F.transform("t", lambda x: F.struct(x["before"].alias("at"), x["span"].alias("span"))).alias("turns"),
         F.filter(F.transform("t", lambda x: x["span"]), lambda x: x.isNotNull()).alias("loss_mask"),
     )
 
 
+def masked(formatted: Column, turns: Column) -> Column:
+    """All text under the mask, unescaped and put together. Each span is read from its own turn, so that none is
+    counted off from the beginning of the conversation."""
+    parts = F.split(formatted, r"<\|im_start\|>", -1)
+    read = lambda part, t: F.substr(part, (t["span"]["start"] - t["at"] - len(START) + 1).cast("int"), t["span"]["length"].cast("int"))
+    said = F.zip_with(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), turns, lambda part, t: F.when(t["span"].isNotNull(), unescape(read(part, t))).otherwise(""))
+    return F.array_join(said, "")
+
+
 def digest(formatted: DataFrame) -> DataFrame:
     """What is read back from the formatted texts and their masks."""
-    back = formatted.withColumn("turns", parse(F.col("formatted")))
-    loss = F.array_join(F.transform("loss_mask", lambda s: unescape(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
-    return back.withColumn("loss", loss).select(
+    back = formatted.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"), masked(F.col("formatted"), F.col("turns")).alias("loss"))
+    return back.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").cast("binary"), 256).alias("turns_sha256"),

@@ -21,10 +21,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
     It is ``spark.checkpoint.dir`` where the cluster names one; a temporary folder is set only
-    where that is unset, as in local tests.
+    where that is unset and all runs in this one machine, as in local tests. It is an error otherwise.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quire-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")

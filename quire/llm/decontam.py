@@ -15,12 +15,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import blocks, frugal
+from .common import Stages, blocks, frugal
 from .words import NOT_ALNUM, Words, mix
 
 SAMPLE = 16
@@ -276,12 +277,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_column: str = "tex
     Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after A-Z became a-z. A window is ``n`` consecutive
     words of an item, or all of a shorter item. ``spans`` holds merged hits as word and byte ranges;
     with ``cut`` they are taken out of ``text``. Null and empty texts have no words and no hits, an
-    item without words never matches, a null item id counts as the empty string, repeated items and
-    repeated rows each count, an empty benchmark hits nothing. ``row`` keeps the other source columns apart, so
-    no name can clash.
+    item without words never matches, a null item id counts as the empty string, equal items count once,
+    items of one id with several texts have the windows of all of them, repeated rows each have their
+    hits, an empty benchmark hits nothing and an empty table gives no rows. A very long text is a shard of
+    its own and searched whole. ``row`` keeps the other source columns apart, so no name can clash.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col(item_column).cast("string"), F.lit("")).alias("item"), F.col(item_text).cast("string").alias("text"))
+    items = benchmark.select(F.coalesce(F.col(item_column).cast("string"), F.lit("")).alias("item"), F.col(item_text).cast("string").alias("text")).distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = -(-chars // BLOCK_CHARS) or 1
     row = F.struct(*([c for c in docs.columns if c != text_column] or [F.lit(None).cast("string").alias("none")]))
@@ -295,6 +297,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_column: str = "tex
     return out
 
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", stages: Stages | None = None, **settings) -> DataFrame:
+    """The rows of contamination() with all hits cut out of their texts, until no window is left.
+
+    A cut joins the words before and after it, which can make a window anew, so the texts that were cut are
+    searched again until nothing more is found; every pass takes words away, so there is an end. ``spans`` and
+    ``items`` are those of the last pass over a row, empty ones then.
+    """
+    stages = stages or Stages(docs.sparkSession, "decontam")
+    found = stages.put(contamination(docs, benchmark, text_column, cut=True, **settings), "cut")
+    clean, left = [found.where(F.size("spans") == 0)], found.where(F.size("spans") > 0)
+    while not left.isEmpty():
+        names = [c for c in docs.columns if c != text_column]
+        again = left.select(*(F.col(f"row.`{c}`").alias(c) for c in names), F.col("text").alias(text_column))
+        found = stages.put(contamination(again, benchmark, text_column, cut=True, **settings), "cut")
+        clean, left = [*clean, found.where(F.size("spans") == 0)], found.where(F.size("spans") > 0)
+    return reduce(DataFrame.unionByName, clean)
+
+
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     out = contamination(docs, benchmark)

@@ -197,6 +197,20 @@ def test_contamination(spark, monkeypatch):
     assert not any(r.contaminated for r in decontam.report(df, spark.createDataFrame([], "item_id long, text string")).collect())
 
 
+def test_cuts_that_join_a_window(spark):
+    """What a cut leaves is searched again."""
+    item = "one two three four five six seven eight nine ten"
+    half = item.split()
+    nested = " ".join([*half[:5], *half, *half[5:]])
+    twice = " ".join([*half[:3], *nested.split(), *half[3:]])
+    df = spark.createDataFrame([(1, f"a {nested} b", "x"), (2, f"{twice}", "y"), (3, "clean text", "z"), (4, None, None), (4, item, None)], "doc_id long, text string, row string")
+    bench = spark.createDataFrame([(1, item), (1, item)], "item_id long, text string")
+    out = decontam.decontaminate(df, bench).select("row.doc_id", "row.row", "text", "n_words").collect()
+    assert sorted((r[0], r[1], " ".join((r[2] or "-").split())) for r in out if r[2] != "") == [(1, "x", "a b"), (3, "z", "clean text"), (4, None, "-")]
+    assert sorted(r[0] for r in out if r[2] is not None and not r[2].strip()) == [2, 4]
+    assert decontam.decontaminate(spark.createDataFrame(*EMPTY), bench).count() == 0
+
+
 def test_index_search_and_locate():
     rng = np.random.default_rng(5)
     for n, top in ((1, 3), (50, 3), (400, 6)):
@@ -323,6 +337,16 @@ def test_chats(spark):
     assert chat.digest(chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
 
+def test_a_long_conversation(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"turn {k} <|im_end|>") for k in range(4000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    out = chat.digest(chat.format_chats(df)).collect()
+    loss = "".join(r[3] for r in rows if r[2] == "assistant")
+    assert [(r.n_turns, r.loss_chars, r.loss_sha256) for r in out] == [(4000, len(loss), hashlib.sha256(loss.encode()).hexdigest())]
+    mask = chat.format_chats(df).select("formatted", "loss_mask").first()
+    assert "".join(mask.formatted[s.start : s.start + s.length] for s in mask.loss_mask).replace("<\\|", "<|") == loss
+
+
 def test_language_model(spark):
     rows = rows_of(odd_texts(n=150)) + [(None, "the of", "en", "s", 6)]
     out = lm.score_texts(spark.createDataFrame(rows, DOCS)).collect()

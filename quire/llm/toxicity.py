@@ -13,6 +13,7 @@ One average over a whole text was tried and does not give right results on texts
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -186,7 +187,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", mos
     got = sample.mapInArrow(frugal(_bags), "doc_id long, label int, rows binary, sizes binary, words binary").toArrow()
     array = lambda x: np.frombuffer(x.as_buffer(), np.int32)
     texts = [(d, y, Bag(*map(array, x))) for d, y, *x in zip(got.column("doc_id").to_pylist(), got.column("label").to_pylist(), got.column("rows"), got.column("sizes"), got.column("words"))]
-    texts = sorted((t for t in texts if len(t[2].words)), key=lambda t: (t[0], len(t[2].words), t[2].rows.tobytes()))
+    texts = sorted((t for t in texts if len(t[2].words)), key=lambda t: (t[0], len(t[2].words), zlib.crc32(t[2].rows)))
     y = np.array([t[1] for t in texts], np.int64)
     if len(set(y.tolist())) < 2:
         return None

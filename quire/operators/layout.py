@@ -21,16 +21,23 @@ def page_median_font(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy(*PAGE).agg(sizes.alias("s")).select(*PAGE, F.coalesce(F.try_element_at("s", (F.floor(F.size("s") / 2) + 1).cast("int")), F.lit(11.0)).alias("median_font"))
 
 
-def near_table_caption(blocks: DataFrame) -> DataFrame:
-    """Blocks that begin below a table's caption, at most 40 points under it.
+def page_context(blocks: DataFrame) -> DataFrame:
+    """Adds median_font and near_table_caption, from all blocks of the page at once.
 
-    The captions of a page form a sorted array that is looked up, so blocks never multiply.
+    The page's sizes and captions are arrays of a window, so that blocks are shuffled once, by page, and never
+    multiply; whatever else needs the page (a position in it) finds them there.
     """
-    b = F.col("bbox")
-    caps = blocks.where(strip(F.col("text")).rlike(T.TABLE_CAPTION)).groupBy(*PAGE).agg(F.collect_list(F.struct(b["y0"].alias("y0"), b["y1"].alias("y1"))).alias("caps"))
-    out = blocks.join(caps, list(PAGE), "left")
-    near = F.exists("caps", lambda c: (b["y0"] > c["y0"]) & (b["y0"] - c["y1"] < 40))
-    return out.withColumn("near_table_caption", F.coalesce(near, F.lit(False))).drop("caps")
+    b, page = F.col("bbox"), W.partitionBy(*PAGE)
+    caption = F.when(strip(F.col("text")).rlike(T.TABLE_CAPTION), F.struct(b["y0"].alias("y0"), b["y1"].alias("y1")))
+    out = blocks.select("*", F.sort_array(F.collect_list("font_size").over(page)).alias("_sizes"), F.collect_list(caption).over(page).alias("_caps"))
+    middle = F.try_element_at("_sizes", (F.floor(F.size("_sizes") / 2) + 1).cast("int"))
+    near = F.exists("_caps", lambda c: (b["y0"] > c["y0"]) & (b["y0"] - c["y1"] < 40))
+    return out.withColumn("median_font", F.coalesce(middle, F.lit(11.0))).withColumn("near_table_caption", F.coalesce(near, F.lit(False))).drop("_sizes", "_caps")
+
+
+def near_table_caption(blocks: DataFrame) -> DataFrame:
+    """Blocks that begin below a table's caption, at most 40 points under it."""
+    return page_context(blocks).drop("median_font")
 
 
 def _lines(text: Column) -> Column:
@@ -89,17 +96,30 @@ def region_id(doc: Column, page: Column, seq: Column, source: str = "layout") ->
 
 
 def detect(blocks: DataFrame, figures: DataFrame | None = None) -> DataFrame:
-    """Regions of all pages: classified blocks in their order, then figures.
+    """Regions of all pages: classified blocks in their order, then figures. Blocks are shuffled once, by page.
 
-    The order of reading is a step of its own (reading_order.py).
+    The order of reading is a step of its own (pages.reading_order).
     """
-    blocks = near_table_caption(blocks).join(page_median_font(blocks), list(PAGE))
-    rows = classify(blocks).select(*PAGE, F.col("block_pos").alias("pos"), F.lit(0).alias("late"), "region_class", "bbox", F.lit(0.8).alias("confidence"), F.col("text").alias("text_content"), F.array(F.col("block_id").cast("string")).alias("source_block_ids"), "page_width", "page_height")
-    if figures is not None:
-        figs = figures.select(*PAGE, F.col("block_pos").alias("pos"), F.lit(1).alias("late"), F.lit("figure").alias("region_class"), "bbox", F.lit(0.95).alias("confidence"), F.lit(None).cast("string").alias("text_content"), F.array(F.col("block_id").cast("string")).alias("source_block_ids"), "page_width", "page_height")
-        rows = rows.unionByName(figs)
-    rows = rows.withColumn("region_pos", F.row_number().over(W.partitionBy(*PAGE).orderBy("late", "pos")) - 1)
-    return rows.withColumn("region_id", region_id(F.col("doc_id"), F.col("page_index"), F.col("region_pos"))).withColumn("backend", F.lit("heuristic")).drop("pos", "late")
+    late = F.lit(0).alias("late")
+    rows = blocks.select(*PAGE, F.col("block_pos").alias("pos"), late, "text", "bbox", "font_size", "is_bold", F.col("block_id").cast("string").alias("block_id"), "page_width", "page_height")
+    if figures is not None:  # they have no text or size, so the page's median and captions are those of its blocks
+        rows = rows.unionByName(figures.select(*PAGE, F.col("block_pos").alias("pos"), F.lit(1).alias("late"), "bbox", F.col("block_id").cast("string").alias("block_id"), "page_width", "page_height"), allowMissingColumns=True)
+    rows = page_context(rows).withColumn("region_pos", F.row_number().over(W.partitionBy(*PAGE).orderBy("late", "pos")) - 1)
+    figure = F.col("late") == 1
+    rows = classify(rows).withColumn("region_class", F.when(figure, "figure").otherwise(F.col("region_class")))
+    return rows.select(
+        *PAGE,
+        "region_class",
+        "bbox",
+        F.when(figure, 0.95).otherwise(0.8).alias("confidence"),
+        F.col("text").alias("text_content"),
+        F.array("block_id").alias("source_block_ids"),
+        "page_width",
+        "page_height",
+        "region_pos",
+        region_id(F.col("doc_id"), F.col("page_index"), F.col("region_pos")).alias("region_id"),
+        F.lit("heuristic").alias("backend"),
+    )
 
 
 def class_counts(regions: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Steps that are sequential inside a page: reading order, drawing clusters and figure deduplication.
 
-Their branches depend on what came before, so each page is a group of its own for a function; a page has
-at most a few hundred boxes.
+Their branches depend on what came before, so a function takes a page as one row with an array of its boxes,
+many pages to a batch; a page has at most a few hundred boxes.
 """
 
 from __future__ import annotations
@@ -11,9 +11,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 FULL, WIDE, SLACK = 0.55, 0.48, 1.0
 NEAR, MIN_AREA, MIN_SHARE, MAX_TEXT, SAME = 8.0, 2000.0, 0.02, 0.40, 0.70
@@ -172,21 +171,34 @@ def vector_figures(boxes: list[Rect], texts: list[Rect], page_width: float, page
     return [(k, h) for k, h in enumerate(hulls) if keep(h)]
 
 
+def _by_page(rows: DataFrame, item: Column, *more: Column) -> DataFrame:
+    """One row for each page, with an array of its items, so that a batch holds many pages."""
+    return rows.groupBy("doc_id", F.col("page_index").cast("int").alias("page_index")).agg(F.sort_array(F.collect_list(item)).alias("items"), *more)
+
+
+def _rect(b: dict) -> Rect:
+    return b["x0"], b["y0"], b["x1"], b["y1"]
+
+
 def figure_clusters(drawings: DataFrame, texts: DataFrame) -> DataFrame:
     """(doc_id, page_index, block_id, x0..y1) of figures drawn as paths; drawings have draw_pos, bbox and the page's size."""
     kind = "doc_id long, page_index int, block_id string, x0 double, y0 double, x1 double, y1 double"
+    box = ("bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1")
+    d = drawings.select("doc_id", "page_index", F.col("draw_pos").cast("long").alias("pos"), *box, "page_width", "page_height")
+    rows = d.unionByName(texts.select("doc_id", "page_index", F.lit(None).cast("long").alias("pos"), *box), allowMissingColumns=True)
+    pages = _by_page(rows, F.struct("pos", "x0", "y0", "x1", "y1"), F.max("page_width").alias("w"), F.max("page_height").alias("h")).where("w IS NOT NULL")
 
-    def page(key, d: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(d):
-            boxes = list(d.sort_values("draw_pos")[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None))
-            found = vector_figures(boxes, list(t[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None)), float(d.page_width.iloc[0]), float(d.page_height.iloc[0]))
-            out = [(*key, hashlib.md5(f"{key[0]}::fig::vector::p{key[1]}::s{k}".encode()).hexdigest()[:12], *h) for k, h in found]
-        return pd.DataFrame(out, columns=["doc_id", "page_index", "block_id", "x0", "y0", "x1", "y1"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, page, items, w, h in zip(*(c.to_pylist() for c in batch.columns)):
+                boxes = [_rect(b) for b in items if b["pos"] is not None]  # in the order of drawing
+                found = vector_figures(boxes, [_rect(b) for b in items if b["pos"] is None], w, h)
+                out += [(doc, page, hashlib.md5(f"{doc}::fig::vector::p{page}::s{k}".encode()).hexdigest()[:12], *r) for k, r in found]
+            types = [pa.int64(), pa.int32(), pa.string(), *[pa.float64()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["doc_id", "page_index", "block_id", "x0", "y0", "x1", "y1"])
 
-    d = drawings.select("doc_id", "page_index", "draw_pos", "page_width", "page_height", "bbox.*")
-    t = texts.select("doc_id", "page_index", "bbox.*")
-    return d.groupBy("doc_id", "page_index").cogroup(t.groupBy("doc_id", "page_index")).applyInPandas(page, kind)
+    return pages.select("doc_id", "page_index", "items", "w", "h").mapInArrow(run, kind)
 
 
 def keep_distinct(figures: list[Rect]) -> list[int]:
@@ -205,11 +217,16 @@ STRATEGIES = ("raster", "vector", "xobject", "gap")
 def dedup_figures(figures: DataFrame) -> DataFrame:
     """Figures of all strategies without those that repeat an earlier one: (doc_id, page_index, strategy, seq, block_id)."""
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["stage", "seq"], kind="stable")
-        kept = keep_distinct(list(pdf[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None)))
-        return pdf.iloc[kept][["doc_id", "page_index", "strategy", "seq", "block_id"]]
-
     stage = F.array_position(F.array(*map(F.lit, STRATEGIES)), F.col("strategy"))
-    flat = figures.select("doc_id", "page_index", "strategy", "seq", "block_id", stage.alias("stage"), "bbox.*")
-    return flat.groupBy("doc_id", "page_index").applyInPandas(page, "doc_id long, page_index int, strategy string, seq int, block_id string")
+    item = F.struct(stage.alias("stage"), F.col("seq").cast("int").alias("seq"), "block_id", "strategy", "bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, page, items in zip(*(c.to_pylist() for c in batch.columns)):
+                out += [(doc, page, items[k]["strategy"], items[k]["seq"], items[k]["block_id"]) for k in keep_distinct([_rect(b) for b in items])]
+            types = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["doc_id", "page_index", "strategy", "seq", "block_id"])
+
+    pages = _by_page(figures, item).select("doc_id", "page_index", "items")
+    return pages.mapInArrow(run, "doc_id long, page_index int, strategy string, seq int, block_id string")

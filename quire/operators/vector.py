@@ -57,22 +57,30 @@ def _best(queries, vector_at: int, probe_at: int | None = None):
             found[i].append((node[rows], score[rows]))
             cut(i)
 
+        def least(i: int) -> float:
+            """The score that a row must reach to be of use."""
+            best = found[i][0][1] if found[i] else ()
+            return best[-1] - 1e-8 if len(best) == k[i] else -np.inf
+
         for batch in batches:
             if not len(batch):
                 continue
             node = batch.column(0).to_numpy()
             e = np.asarray(batch.column(vector_at).flatten(), np.float64).reshape(len(node), -1)
-            lists = batch.column(probe_at).to_numpy() if probe_at is not None else None
-            s = e @ q.T
-            for i in range(len(ids)):
-                if lists is None:
+            if probe_at is None:
+                s = e @ q.T
+                for i in range(len(ids)):
                     take(i, node, s[:, i], np.arange(len(node)))
-                    continue
-                near = np.isin(lists, probes[i])
-                take(i, node, s[:, i], np.flatnonzero(near))
-                best = found[i][0][1]
-                better = reach[i] >= (best[-1] - 1e-8 if len(best) == k[i] else -np.inf)
-                take(i, node, s[:, i], np.flatnonzero(~near & better[lists]))
+                continue
+            lists = batch.column(probe_at).to_numpy()
+            here = [(x, np.flatnonzero(lists == x)) for x in np.unique(lists)]
+            for near in (True, False):  # what the nearest lists give rules most others out
+                for x, rows in here:
+                    asks = [i for i in range(len(ids)) if (x in probes[i]) == near and (near or reach[i][x] >= least(i))]
+                    if asks:
+                        s = e[rows] @ q[asks].T
+                        for column, i in enumerate(asks):
+                            take(i, node[rows], s[:, column], np.arange(len(rows)))
         for i in range(len(ids)):
             if found[i] and len(found[i][0][0]):
                 n, s = found[i][0]
@@ -135,12 +143,14 @@ def search(index: DataFrame, queries: DataFrame, top_k: int = T.TOP_K, exclude_n
     wide = F.when(F.col("role_filter").isNotNull() | F.lit(exclude_noise), top_k * T.OVERFETCH).otherwise(top_k)
     asked = queries.withColumn("fetch_k", wide.cast("int"))
     hits = scan(index, asked, centroids=centroids).withColumnRenamed("rank", "raw_rank")
-    hits = hits.join(index.drop("embedding", "list"), "node_id").join(asked.select("query_id", "role_filter"), "query_id")
+    # Only what the filters need meets all that was fetched; texts and the rest join what is left.
+    hits = hits.join(index.select("node_id", "role", "is_noise"), "node_id").join(asked.select("query_id", "role_filter"), "query_id")
     if exclude_noise:
         hits = hits.where(~F.col("is_noise"))
     hits = hits.where(F.col("role_filter").isNull() | (F.col("role") == F.col("role_filter"))).drop("role_filter")
     order = W.partitionBy("query_id").orderBy("raw_rank")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).drop("raw_rank")
+    hits = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).drop("raw_rank")
+    return hits.join(index.drop("embedding", "list", "role", "is_noise"), "node_id")
 
 
 def cluster(index: DataFrame, lists: int, seed: int = 42) -> tuple[DataFrame, np.ndarray]:

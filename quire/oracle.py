@@ -45,9 +45,9 @@ CTE: dict[str, str] = {
         OVER (PARTITION BY doc ORDER BY page, y0, node_seq ROWS UNBOUNDED PRECEDING) AS section_id FROM raw)""",
     "idx": f"""SELECT * REPLACE (list_transform(embedding, lambda x: x::DOUBLE / sqrt({_dot('embedding', 'embedding')})) AS embedding) FROM nodes
         WHERE NOT is_noise AND length({strip('text')}) >= {T.INDEX_MIN_CHARS}""",
-    "q": f"""SELECT vec_id AS query_id, {case('(vec_id // 97) % 8', [(k, text(x[0])) for k, x in enumerate(T.EVAL_QUERIES)], 'NULL')} AS query,
+    "q": f"""SELECT vec_id AS query_id, {case('(vec_id // 50) % 8', [(k, text(x[0])) for k, x in enumerate(T.EVAL_QUERIES)], 'NULL')} AS query,
         list_transform(embedding, lambda x: x::DOUBLE / sqrt({_dot('embedding', 'embedding')})) AS qvec,
-        CASE WHEN vec_id % 2 = 0 AND {_role} <> 'N/A' THEN {_role} END AS role_filter FROM embeddings WHERE vec_id % 97 = 0""",
+        CASE WHEN vec_id % 100 = 0 AND {_role} <> 'N/A' THEN {_role} END AS role_filter FROM embeddings WHERE vec_id % 50 = 0""",
     "sim": """SELECT query_id, role_filter, node_id, role, list_dot_product(embedding, qvec) AS score,
         row_number() OVER (PARTITION BY query_id ORDER BY floor(list_dot_product(embedding, qvec) * 1e9 + 0.5) DESC, node_id) AS raw_rank FROM q, idx""",
     "seeds": """SELECT query_id, node_id, role, score, raw_rank AS rank FROM sim WHERE raw_rank <= 5""",
@@ -190,7 +190,7 @@ def v3() -> str:
 # Evaluation.
 def _eval(final: str) -> str:
     more = {
-        "eq": "SELECT query_id, [query_id + 1, query_id + 97] AS ids, role_filter AS wanted, 'q' || (query_id % 3) AS description, 2 AS n_relevant FROM q",
+        "eq": "SELECT query_id, [query_id + 1, query_id + 50] AS ids, role_filter AS wanted, 'q' || (query_id % 3) AS description, 2 AS n_relevant FROM q",
         "lists": """SELECT 'vector' AS system, query_id, node_id, role, raw_rank AS rank FROM sim WHERE raw_rank <= 10 UNION ALL
         SELECT 'hybrid', query_id, node_id, role, final_rank FROM ranked""",
         "marked": "SELECT l.*, (list_contains(ids, node_id) OR coalesce(role = wanted, false)) AS hit FROM lists l JOIN eq USING (query_id)",
@@ -258,8 +258,7 @@ LAYOUT = {
         ELSE 'paragraph' END AS region_class FROM ctx)""",
     "det": """SELECT doc_id, page_index, region_pos, 'm' || region_id AS region_id, CASE WHEN (doc_id + region_pos) % 2 = 0 THEN 'paragraph' ELSE region_class END AS region_class,
         x0 + j AS x0, y0 + j AS y0, x1 + j AS x1, y1 + j AS y1 FROM (SELECT *, (doc_id * 31 + region_pos * 17) % 11 - 5 AS j FROM regions WHERE (doc_id + region_pos) % 3 <> 0)""",
-    "half": "SELECT * FROM det WHERE page_index % 2 = 0",
-    "scored": f"SELECT b.doc_id, b.page_index, b.block_id, b.block_pos, b.text, r.region_id, r.region_class, r.region_pos, {SMAP} AS s, {IOU} AS i FROM blocks b JOIN half r USING (doc_id, page_index)",
+    "scored": f"SELECT b.doc_id, b.page_index, b.block_id, b.block_pos, b.text, r.region_id, r.region_class, r.region_pos, {SMAP} AS s, {IOU} AS i FROM blocks b JOIN det r USING (doc_id, page_index)",
     "al": f"""SELECT doc_id, page_index, block_id, block_pos, text, CASE WHEN s >= 0.3 AND s > 0 THEN region_id ELSE '' END AS region_id, CASE WHEN s >= 0.3 AND s > 0 THEN region_class ELSE 'unknown' END AS region_class,
         {r4('s')} AS score, NOT (s >= 0.3 AND s > 0) AS flagged FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_index, block_pos ORDER BY s DESC, region_pos) AS k FROM scored) WHERE k = 1""",
     "una": "SELECT doc_id, block_id FROM blocks b WHERE NOT EXISTS (SELECT 1 FROM al WHERE al.block_id = b.block_id AND NOT flagged)",
@@ -287,12 +286,13 @@ SPANS = {
 SPANS["joined"] = f"""SELECT *, {strip("array_to_string(list_filter([" + ", ".join(strip(_cut(k)) for k in range(3)) + "], lambda x: x <> ''), ' ')")} AS txt FROM sp"""
 _len = lambda k: f"length({_cut(k)})"
 _pick = f"CASE WHEN {_len(0)} >= {_len(1)} AND {_len(0)} >= {_len(2)} THEN 0 WHEN {_len(1)} >= {_len(2)} THEN 1 ELSE 2 END"
-OCR = """WITH w AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS k, unnest(ls) AS text FROM (SELECT doc_id, string_split(text, ' ') AS ls FROM documents WHERE text IS NOT NULL AND doc_id % 10 = 0)),
-u AS (SELECT *, ((k * 37) % 101 - 5)::DOUBLE AS conf, (k % 12 * 40)::DOUBLE AS l, (k // 12 * 20)::DOUBLE AS t FROM w WHERE k < 200)
+OCR = """WITH w AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS k, unnest(ls) AS text FROM (SELECT doc_id, string_split(text, ' ') AS ls FROM documents WHERE text IS NOT NULL)),
+u AS (SELECT *, ((k * 37) % 101 - 5)::DOUBLE AS conf, (k % 12 * 40)::DOUBLE AS l, (k // 12 * 20)::DOUBLE AS t FROM w)
 """
 
 ORACLE: dict[str, str] = {
     "vector_topk": with_("seeds", f"SELECT {HIT} FROM seeds"),
+    "ivf_topk": with_("seeds", f"SELECT {HIT} FROM seeds"),
     "vector_topk_role_filter": with_("sim", f"SELECT {HIT} FROM ({FILTERED})"),
     "vector_topk_batch": with_("sim", f"SELECT query_id, node_id, role, raw_rank AS rank, {r4('score')} AS score FROM sim WHERE raw_rank <= 10"),
     "index_admission": with_("idx", "SELECT node_id, role, length(text) AS n_chars FROM idx"),
@@ -309,8 +309,8 @@ ORACLE: dict[str, str] = {
     "graph_edge_counts": with_("edges", "SELECT edge_source, relation, count(*) AS n FROM edges GROUP BY ALL"),
     "bfs_relation_k2": with_("edges", "SELECT doc, start, node_id, min(hop) AS hop FROM walk WHERE node_id <> start GROUP BY ALL", {"walk": """SELECT doc, node_id AS start, node_id, 0 AS hop FROM nodes WHERE role = 'Definition' AND NOT is_noise
         UNION SELECT w.doc, w.start, e.tgt, w.hop + 1 FROM walk w JOIN edges e ON e.doc = w.doc AND e.src = w.node_id AND e.relation = 'co_section' WHERE w.hop < 2"""}),
-    "section_siblings": with_("nodes", "SELECT a.doc, a.node_id AS start, b.node_id FROM nodes a JOIN nodes b ON a.doc = b.doc AND a.section_id = b.section_id AND a.node_id <> b.node_id WHERE a.node_id % 25 = 7"),
-    "node_texts": with_("nodes", "SELECT g.i AS node_id, length(coalesce(n.text, '')) AS n_chars FROM range(0, 1000, 50) g(i) LEFT JOIN nodes n ON n.node_id = g.i"),
+    "section_siblings": with_("nodes", "SELECT a.doc, a.node_id AS start, b.node_id FROM nodes a JOIN nodes b ON a.doc = b.doc AND a.section_id = b.section_id AND a.node_id <> b.node_id"),
+    "node_texts": with_("nodes", "SELECT g.i AS node_id, length(coalesce(n.text, '')) AS n_chars FROM (SELECT vec_id AS i FROM embeddings WHERE vec_id % 50 = 0 UNION ALL SELECT -1 - vec_id FROM embeddings WHERE vec_id % 50 = 0) g LEFT JOIN nodes n ON n.node_id = g.i"),
     "graph_isolates": with_("edges", "SELECT doc, node_id FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.doc = n.doc AND (e.src = n.node_id OR e.tgt = n.node_id))"),
     "graph_summary": with_("edges", f"SELECT doc, n_nodes, n_useful, n_edges, n_isolated, {r4('CASE WHEN n_nodes > 1 THEN n_edges / (n_nodes * (n_nodes - 1))::DOUBLE ELSE 0 END')} AS density FROM sm", {
         "sm": """SELECT n.doc, count(*) AS n_nodes, count(*) FILTER (WHERE NOT is_noise) AS n_useful, (SELECT count(*) FROM edges e WHERE e.doc = n.doc) AS n_edges,
@@ -320,8 +320,8 @@ ORACLE: dict[str, str] = {
         (SELECT count(*) FROM edges e WHERE e.doc = n.doc) > 1000 AS many_edges,
         (SELECT count(*) FROM edges e WHERE e.doc = n.doc AND (e.src NOT IN (SELECT node_id FROM nodes) OR e.tgt NOT IN (SELECT node_id FROM nodes))) > 0 AS dangling FROM nodes n GROUP BY n.doc"""),
     "intent_classify": with_(None, "SELECT query_id, intent, intent_conf FROM intent", {"qs": "SELECT * FROM (VALUES " + ", ".join(f"({k}::BIGINT, {text(x[0])})" for k, x in enumerate(T.EVAL_QUERIES)) + f""") v(query_id, query) UNION ALL
-        SELECT vec_id + 1000, {case('(vec_id // 97) % 8', [(k, text(x[0])) for k, x in enumerate(T.EVAL_QUERIES)], 'NULL')} FROM embeddings WHERE vec_id % 97 = 0""", "intent": intents(T.INTENT_PATTERNS)}),
-    "intent_role_fallback": with_("seeds", "SELECT query_id, intent, intent_conf, intent_used, intent_source FROM used", {"qs": "SELECT query_id, CASE WHEN query_id % 194 = 0 THEN 'Tell me more' ELSE query END AS query FROM q", "intent": intents(T.INTENT_PATTERNS), **SETTLE}),
+        SELECT vec_id + 1000, {case('(vec_id // 50) % 8', [(k, text(x[0])) for k, x in enumerate(T.EVAL_QUERIES)], 'NULL')} FROM embeddings WHERE vec_id % 50 = 0""", "intent": intents(T.INTENT_PATTERNS)}),
+    "intent_role_fallback": with_("seeds", "SELECT query_id, intent, intent_conf, intent_used, intent_source FROM used", {"qs": "SELECT query_id, CASE WHEN query_id % 100 = 0 THEN 'Tell me more' ELSE query END AS query FROM q", "intent": intents(T.INTENT_PATTERNS), **SETTLE}),
     "graph_expand": with_("edges", "SELECT * FROM hits", expansion()),
     "hybrid_rank": hybrid(f"SELECT {RANKED}, relation_path FROM ranked"),
     "hybrid_rank_role_soft": hybrid(f"SELECT {RANKED} FROM ranked", "role"),
@@ -346,7 +346,7 @@ ORACLE: dict[str, str] = {
     "pipeline_counters": with_("edges", "SELECT (SELECT count(*) FROM (SELECT DISTINCT doc, page FROM nodes)) AS n_pages, (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM idx) AS n_vectors"),
     "edge_percent": with_("edges", "SELECT relation, count(*) AS n, cast(floor(100 * count(*) / sum(count(*)) OVER ()) AS BIGINT) AS percent FROM edges GROUP BY relation"),
     "node_ids": with_("nodes", f"SELECT node_id, {_md5('doc', chr(39) + '::layout::p' + chr(39), 'page', chr(39) + '::r' + chr(39), 'node_seq')} AS hash_id FROM nodes"),
-    "vector_cosine": f"SELECT a.vec_id AS a, {r4('x / (nx * ny) + 1').replace('x / (nx * ny)', '(' + _dot('a.embedding', 'b.embedding') + ' / (sqrt(' + _dot('a.embedding', 'a.embedding') + ') * sqrt(' + _dot('b.embedding', 'b.embedding') + ')))')} AS cosine_plus_1 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 50 = 0",
+    "vector_cosine": f"SELECT a.vec_id AS a, {r4('x / (nx * ny) + 1').replace('x / (nx * ny)', '(' + _dot('a.embedding', 'b.embedding') + ' / (sqrt(' + _dot('a.embedding', 'a.embedding') + ') * sqrt(' + _dot('b.embedding', 'b.embedding') + ')))')} AS cosine_plus_1 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "typed_refs": with_("raw", """SELECT node_id, CASE WHEN node_id % 20 < 10 THEN 'figure' ELSE 'table' END || ':' || (node_id % 3) || ',table:4,figure:5,table:6' AS refs FROM raw WHERE region_class = 'caption'"""),
     # Blocks, layout and alignment.
     "page_stats": layout("blocks", "SELECT doc_id, page_index, cast(sum(length(text)) AS BIGINT) AS n_chars, count(*) AS n_blocks, sum(length(text)) < 50 AS ocr_triggered, CASE WHEN sum(length(text)) < 50 THEN 'ocr' ELSE 'embedded' END AS method FROM blocks GROUP BY ALL"),
@@ -365,13 +365,13 @@ ORACLE: dict[str, str] = {
     "iou_pairs": layout("scored", f"SELECT block_id, region_id, {r4('i')} AS iou, {r4('s')} AS score FROM scored WHERE i > 0"),
     "align_blocks": layout("al", "SELECT block_id, region_id, region_class, score, flagged FROM al"),
     "align_unassigned": layout("una", "SELECT block_id FROM una"),
-    "align_enrich": layout("al", "SELECT h.region_id, md5(coalesce((SELECT min_by(text, block_pos) FROM al WHERE al.region_id = h.region_id AND NOT flagged), '')) AS text_md5, coalesce((SELECT string_agg(block_id, ',' ORDER BY block_pos) FROM al WHERE al.region_id = h.region_id AND NOT flagged), '') AS source_block_ids FROM half h"),
+    "align_enrich": layout("al", "SELECT h.region_id, md5(coalesce((SELECT min_by(text, block_pos) FROM al WHERE al.region_id = h.region_id AND NOT flagged), '')) AS text_md5, coalesce((SELECT string_agg(block_id, ',' ORDER BY block_pos) FROM al WHERE al.region_id = h.region_id AND NOT flagged), '') AS source_block_ids FROM det h"),
     "alignment_stats": layout("una", "SELECT b.doc_id, (SELECT count(*) FROM al WHERE al.doc_id = b.doc_id) AS n_aligned, (SELECT count(*) FROM al WHERE al.doc_id = b.doc_id AND flagged) AS n_flagged, (SELECT count(*) FROM una WHERE una.doc_id = b.doc_id) AS n_unassigned FROM (SELECT DISTINCT doc_id FROM blocks) b"),
     "score_bands": layout("al", "SELECT CASE WHEN flagged THEN 'red' WHEN score >= 0.7 THEN 'green' WHEN score >= 0.45 THEN 'amber' ELSE 'red' END AS band, count(*) AS n FROM al GROUP BY ALL"),
     "fuse_regions": layout("fused", f"SELECT doc_id, page_index, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY y0, x0, late, pos) - 1 AS region_pos, region_id, region_class, {r4('confidence')} AS confidence, backend FROM fused"),
     "textgap_figures": layout("blocks", f"SELECT doc_id, page_index, seq, {_md5('doc_id', text('::fig::gap::p'), 'page_index', text('::s'), 'seq')} AS block_id, top AS y0, bottom AS y1 FROM g2", {
         "g0": "SELECT doc_id, page_index, block_pos, y0 AS bottom, coalesce(max(y1) OVER (PARTITION BY doc_id, page_index ORDER BY y0, block_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM blocks WHERE block_pos % 5 <> 2",
-        "g1": "SELECT * FROM g0 WHERE bottom - top >= 40 AND NOT EXISTS (SELECT 1 FROM blocks e WHERE e.block_pos % 5 = 2 AND e.doc_id % 2 = 0 AND e.doc_id = g0.doc_id AND e.page_index = g0.page_index AND -10 < e.x1 AND 650 > e.x0 AND top - 10 < e.y1 AND bottom + 10 > e.y0)",
+        "g1": "SELECT * FROM g0 WHERE bottom - top >= 40 AND NOT EXISTS (SELECT 1 FROM blocks e WHERE e.block_pos % 5 = 2 AND e.doc_id = g0.doc_id AND e.page_index = g0.page_index AND -10 < e.x1 AND 650 > e.x0 AND top - 10 < e.y1 AND bottom + 10 > e.y0)",
         "g2": "SELECT *, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY bottom, block_pos) - 1 AS seq FROM g1"}),
 }
 _prio = case("role", [(text(r), k) for k, r in enumerate(T.ROLE_PRIORITY)], "9")
@@ -392,4 +392,12 @@ ORACLE["prompt_edges"] = hybrid("SELECT query_id, edge_no, line FROM pe", "role"
 ORACLE["prompt_text"] = hybrid("SELECT query_id, md5(prompt) AS prompt_md5, length(prompt) AS n_chars FROM asm", "role", PROMPT)
 ORACLE["parse_answer"] = f"""SELECT doc_id, md5(CASE k WHEN 3 THEN '## Graph Reasoning' || chr(10) || {strip('t')} ELSE {strip('t')} END) AS answer,
     md5(CASE k WHEN 0 THEN {strip("'1. ' || t")} ELSE '' END) AS evidence, md5(CASE k WHEN 0 THEN '- a' WHEN 3 THEN {strip('t')} ELSE '' END) AS reasoning
-    FROM (SELECT doc_id, doc_id % 4 AS k, substring(text, 1, 60) AS t FROM documents WHERE doc_id % 7 = 0 AND text IS NOT NULL)"""
+    FROM (SELECT doc_id, doc_id % 4 AS k, text AS t FROM documents WHERE text IS NOT NULL)"""
+ORACLE["generated_answers"] = hybrid("""SELECT query_id, coalesce('The passages ' || (SELECT string_agg('[P' || passage_no || ']', ', ' ORDER BY passage_no) FROM pas WHERE pas.query_id = q.query_id AND passage_no <= 2) || ' bear on this.',
+    'The context does not hold enough information.') AS answer, coalesce((SELECT string_agg(passage_no || '. [P' || passage_no || ']', chr(10) ORDER BY passage_no) FROM pas WHERE pas.query_id = q.query_id), '') AS evidence,
+    coalesce(ltrim((SELECT string_agg('  ' || line, chr(10) ORDER BY edge_no) FROM pe WHERE pe.query_id = q.query_id)), '') AS reasoning, NULL::VARCHAR AS error FROM q""", "role", PROMPT)
+_hit = "substring(s, i, 1) = '1' AND i <= k"
+ORACLE["metric_cases"] = f"""WITH c AS (SELECT * FROM (VALUES (0, '10100'), (1, '10101'), (2, '1000'), (3, '010'), (4, '000'), (5, '001'), (6, '111')) v(query_id, s)),
+m AS (SELECT query_id, k, (SELECT count(*) FROM range(1, 6) t(i) WHERE {_hit}) AS n, (SELECT coalesce(sum(1 / log2(i + 1.0)), 0) FROM range(1, 6) t(i) WHERE {_hit}) AS dcg, position('1' IN s) AS first FROM c, (SELECT unnest([1, 3, 5]) AS k))
+SELECT 'list' AS system, query_id::BIGINT AS query_id, k, {_ten('n / k::DOUBLE')} AS precision, {_ten('n / 3.0::DOUBLE')} AS recall, {_ten('CASE WHEN first > 0 THEN 1.0::DOUBLE / first ELSE 0 END')} AS rr,
+    {_ten('CASE WHEN n > 0 THEN dcg / (SELECT sum(1 / log2(j + 1.0)) FROM range(1, n + 1) t(j)) ELSE 0 END')} AS ndcg, {_ten('(n > 0)::INT::DOUBLE')} AS hit_rate FROM m"""

@@ -162,13 +162,14 @@ def bfs_relation_k2(spark, d):
 @query
 def section_siblings(spark, d):
     w = World(spark, d)
-    return G.section_siblings(w.nodes, w.nodes.where("node_id % 25 = 7"))
+    return G.section_siblings(w.nodes, w.nodes)
 
 
 @query
 def node_texts(spark, d):
     w = World(spark, d)
-    wanted = spark.range(0, 1000, 50).withColumnRenamed("id", "node_id")
+    ids = D.read(spark, d, "embeddings").where("vec_id % 50 = 0")
+    wanted = ids.selectExpr("vec_id AS node_id").unionByName(ids.selectExpr("-1 - vec_id AS node_id"))  # and as many that no node has
     return G.node_texts(w.nodes, wanted).select("node_id", F.length("text").cast("long").alias("n_chars"))
 
 
@@ -199,7 +200,7 @@ def intent_classify(spark, d):
 @query
 def intent_role_fallback(spark, d):
     w = World(spark, d)
-    blank = R.classify_intent(w.queries.withColumn("query", F.when(F.col("query_id") % 194 == 0, F.lit("Tell me more")).otherwise(F.col("query"))))
+    blank = R.classify_intent(w.queries.withColumn("query", F.when(F.col("query_id") % 100 == 0, F.lit("Tell me more")).otherwise(F.col("query"))))
     return R.settle_intent(blank, V.search(w.index, w.everyone)).select("query_id", "intent", "intent_conf", "intent_used", "intent_source")
 
 
@@ -252,7 +253,7 @@ def edge_explanations(spark, d):
 
 def _evaluation(spark, d):
     w = World(spark, d)
-    q = w.queries.select("query_id", F.array((F.col("query_id") + 1), (F.col("query_id") + 97)).alias("relevant_ids"), F.array_compact(F.array("role_filter")).alias("relevant_roles"), F.concat(F.lit("q"), F.col("query_id") % 3).alias("description"))
+    q = w.queries.select("query_id", F.array((F.col("query_id") + 1), (F.col("query_id") + 50)).alias("relevant_ids"), F.array_compact(F.array("role_filter")).alias("relevant_roles"), F.concat(F.lit("q"), F.col("query_id") % 3).alias("description"))
     v = E.ranked_list(V.search(w.index, w.everyone, top_k=10), "vector")
     h = E.ranked_list(R.retrieve(w.index, w.nodes, w.edges, w.everyone).ranked, "hybrid", "final_rank")
     return q, E.metrics(E.mark_hits(v.unionByName(h), q), q)
@@ -298,7 +299,7 @@ def metric_cases(spark, d):
 
 
 def _spans(spark, d):
-    """Raw page blocks from documents: a block for each line, a span for each third of its words."""
+    """Raw page blocks from documents: a block for each line, a span for each third of its characters."""
     b = D.blocks(spark, d)
     n = F.length("text")
     third = F.ceil(n / 3).cast("int")
@@ -343,7 +344,7 @@ def block_ids(spark, d):
 
 @query
 def ocr_word_group(spark, d):
-    w = D.read(spark, d, "documents").where("text IS NOT NULL AND doc_id % 10 = 0").select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("word_no", "text")).where("word_no < 200")
+    w = D.read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("word_no", "text"))
     k = F.col("word_no")
     w = w.select("doc_id", F.floor(k / 60).cast("int").alias("page_index"), F.floor(k / 12).cast("int").alias("block_num"), "word_no", "text", ((k * 37) % 101 - 5).cast("double").alias("conf"), (k % 12 * 40.0).alias("left"), (F.floor(k / 12) * 20.0).alias("top"), F.lit(36.0).alias("width"), F.lit(18.0).alias("height"), F.lit(0.48).alias("scale"))
     g = B.group_ocr_words(w)
@@ -390,7 +391,7 @@ def fuse_regions(spark, d):
 
 def _two(spark, d):
     blocks = D.blocks(spark, d)
-    return blocks, saved(D.detections(L.detect(blocks)).where("page_index % 2 = 0"), "regions")
+    return blocks, saved(D.detections(L.detect(blocks)), "regions")
 
 
 @query
@@ -432,7 +433,7 @@ def score_bands(spark, d):
 @query
 def textgap_figures(spark, d):
     blocks = D.blocks(spark, d).where("block_pos % 5 <> 2")
-    known = D.blocks(spark, d).where("block_pos % 5 = 2 AND doc_id % 2 = 0")
+    known = D.blocks(spark, d).where("block_pos % 5 = 2")
     g = L.text_gaps(blocks, known)
     return g.select("doc_id", "page_index", F.col("seq").cast("long").alias("seq"), "block_id", "bbox.y0", "bbox.y1")
 
@@ -451,12 +452,12 @@ def _drawings(spark, d):
 
 @query
 def vector_figure_clusters(spark, d):
-    return P.figure_clusters(_drawings(spark, d), D.blocks(spark, d).where("block_pos % 12 = 1"))
+    return P.figure_clusters(_drawings(spark, d), D.blocks(spark, d).where("block_pos % 3 <> 0"))
 
 
 @query
 def figure_dedup(spark, d):
-    v = P.figure_clusters(_drawings(spark, d), D.blocks(spark, d).where("block_pos % 12 = 1"))
+    v = P.figure_clusters(_drawings(spark, d), D.blocks(spark, d).where("block_pos % 3 <> 0"))
     v = v.select("doc_id", "page_index", F.lit("vector").alias("strategy"), F.row_number().over(W.partitionBy("doc_id", "page_index").orderBy("y0", "x0", "block_id")).cast("int").alias("seq"), "block_id", F.struct("x0", "y0", "x1", "y1").alias("bbox"))
     g = L.text_gaps(D.blocks(spark, d)).select("doc_id", "page_index", F.lit("gap").alias("strategy"), F.col("seq").cast("int").alias("seq"), "block_id", "bbox")
     return P.dedup_figures(v.unionByName(g))
@@ -477,7 +478,7 @@ def link_captions(spark, d):
 @query
 def vector_cosine(spark, d):
     e = D.read(spark, d, "embeddings")
-    return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")).join(e.where("vec_id % 50 = 1").select((F.col("vec_id") - 1).alias("a"), F.col("embedding").alias("y")), "a").select("a", r4(cosine(F.col("x"), F.col("y")) + 1).alias("cosine_plus_1"))
+    return e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")).join(e.select((F.col("vec_id") - 1).alias("a"), F.col("embedding").alias("y")), "a").select("a", r4(cosine(F.col("x"), F.col("y")) + 1).alias("cosine_plus_1"))
 
 
 @query
@@ -506,7 +507,7 @@ def prompt_text(spark, d):
 
 @query
 def parse_answer(spark, d):
-    said = D.read(spark, d, "documents").where("doc_id % 7 = 0 AND text IS NOT NULL").select("doc_id", F.substring("text", 1, 60).alias("t"))
+    said = D.read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.col("text").alias("t"))
     k = F.col("doc_id") % 4
     t = F.col("t")
     text = F.when(k == 0, F.concat(F.lit("x\n## Answer\n"), t, F.lit("\n## evidence \n1. "), t, F.lit("\n## Graph Reasoning\n- a"))).when(k == 1, F.concat(F.lit("##Answer\nfirst\n## ANSWER\n"), t)).when(k == 2, t).otherwise(F.concat(F.lit("## Graph Reasoning\n"), t))

@@ -96,8 +96,8 @@ def detections(regions: DataFrame) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each 97th vector as a query, with one of the fixed questions; even ids ask for their own role."""
+    """Each vector whose id is divisible by 50 as a query, with one of the fixed questions; every other one asks for its own role."""
     v = F.col("vec_id")
     role = _pick(LABEL_ROLES, F.col("label") % 6)
-    text = _pick(tuple(q[0] for q in T.EVAL_QUERIES), _div(v, 97) % len(T.EVAL_QUERIES))
-    return read(spark, sf_dir, "embeddings").where(v % 97 == 0).select(v.alias("query_id"), text.alias("query"), F.col("embedding").alias("qvec"), F.when((v % 2 == 0) & (role != "N/A"), role).alias("role_filter"))
+    text = _pick(tuple(q[0] for q in T.EVAL_QUERIES), _div(v, 50) % len(T.EVAL_QUERIES))
+    return read(spark, sf_dir, "embeddings").where(v % 50 == 0).select(v.alias("query_id"), text.alias("query"), F.col("embedding").alias("qvec"), F.when((v % 100 == 0) & (role != "N/A"), role).alias("role_filter"))

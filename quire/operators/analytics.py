@@ -7,8 +7,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.scalar import r4
 
 
-
-
 def class_histogram(regions: DataFrame, column: str = "region_class") -> DataFrame:
     return regions.groupBy(column).agg(F.count("*").alias("n"))
 

@@ -16,8 +16,6 @@ from ..sources.staging import saved
 from .vector import is_noise
 
 
-
-
 def distinct_nodes(nodes: DataFrame) -> DataFrame:
     """One row per (doc, node), the first; ``duplicates`` says how many there were besides."""
     over = W.partitionBy("doc", "node_id")

@@ -129,16 +129,24 @@ def class_counts(regions: DataFrame) -> DataFrame:
 BACKENDS = ("auto", "heuristic", "external")
 
 
+def resolve_backend(backend: str, detector=None) -> str:
+    """``auto`` is the external detector where one is given and the rules where none is. Other names, and an external
+    backend without a detector, are errors."""
+    if backend not in BACKENDS:
+        raise ValueError(f"unknown backend {backend!r}: one of {', '.join(BACKENDS)}")
+    if backend == "external" and detector is None:
+        raise ValueError("the external backend needs a detector")
+    return "heuristic" if backend == "heuristic" or detector is None else "external"
+
+
 def detect_with(blocks: DataFrame, backend: str = "auto", detector: Callable[[Iterator], Iterator] | None = None, pages: DataFrame | None = None, threshold: float = 0.5, figures: DataFrame | None = None) -> DataFrame:
     """Regions by rules, or fused with those of an external detector (a function of Arrow batches of pages).
 
     The detector gives doc_id, page_index, region_pos, region_class, x0..y1 and confidence; rows below the
-    threshold go. Unknown backends are an error.
+    threshold go. A page on which it finds nothing has the regions by rules.
     """
-    if backend not in BACKENDS:
-        raise ValueError(f"unknown backend {backend!r}: one of {', '.join(BACKENDS)}")
     rules = detect(blocks, figures)
-    if backend == "heuristic" or detector is None:
+    if resolve_backend(backend, detector) == "heuristic":
         return rules
     found = pages.mapInArrow(detector, "doc_id long, page_index int, region_pos int, region_class string, x0 double, y0 double, x1 double, y1 double, confidence double").where(F.col("confidence") >= threshold)
     found = found.select("*", F.struct("x0", "y0", "x1", "y1").alias("bbox"), region_id(F.col("doc_id"), F.col("page_index"), F.col("region_pos"), "ml").alias("region_id"), F.lit("external").alias("backend"), F.lit(None).cast("string").alias("text_content"), F.array().cast("array<string>").alias("source_block_ids"))

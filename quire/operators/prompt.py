@@ -62,8 +62,12 @@ def extractive(rules: str, prompt: str) -> str:
     return f"## Answer\n{answer}\n\n## Evidence\n" + "\n".join(f"{k}. {x}" for k, x in enumerate(labels, 1)) + "\n\n## Graph Reasoning\n" + "\n".join(edges).removeprefix("[Graph Relationships]\n")
 
 
-def generate(prompts: DataFrame, generator: Callable[[str, str], str] = extractive, attempts: int = 2) -> DataFrame:
-    """(query_id, response, error): prompts through any function of (rules, prompt), tried again on errors."""
+def generate(prompts: DataFrame, generator: Callable[..., str] = extractive, attempts: int = 2, temperature: float | None = None) -> DataFrame:
+    """(query_id, response, error): prompts through any function of (rules, prompt), tried again on errors.
+
+    A temperature is handed to the generator with each call, so its own setting stays as it is.
+    """
+    more = {} if temperature is None else {"temperature": temperature}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,7 +76,7 @@ def generate(prompts: DataFrame, generator: Callable[[str, str], str] = extracti
                 out, error = None, None
                 for _ in range(attempts):
                     try:
-                        out, error = generator(RULES, prompt), None
+                        out, error = generator(RULES, prompt, **more), None
                         break
                     except Exception as e:  # a generator can be any service
                         error = str(e)
@@ -83,6 +87,27 @@ def generate(prompts: DataFrame, generator: Callable[[str, str], str] = extracti
     return prompts.select("query_id", "prompt").mapInArrow(run, "query_id long, response string, error string")
 
 
+def stream(prompts: DataFrame, generator: Callable[..., Iterator[str]], temperature: float | None = None) -> DataFrame:
+    """(query_id, seq, piece, error): answers as their generator gives them, piece by piece; an error is the last piece."""
+    more = {} if temperature is None else {"temperature": temperature}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for query, prompt in zip(*(c.to_pylist() for c in batch.columns)):
+                k = -1
+                try:
+                    for k, piece in enumerate(generator(RULES, prompt, **more)):
+                        yield _piece(query, k, piece, None)
+                except Exception as e:  # a generator can be any service
+                    yield _piece(query, k + 1, "", str(e))
+
+    return prompts.select("query_id", "prompt").mapInArrow(run, "query_id long, seq int, piece string, error string")
+
+
+def _piece(query: int, k: int, piece: str, error: str | None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([query], pa.int64()), pa.array([k], pa.int32()), pa.array([piece], pa.string()), pa.array([error], pa.string())], names=["query_id", "seq", "piece", "error"])
+
+
 def parse(responses: DataFrame, column: str = "response") -> DataFrame:
     """Adds answer, evidence and reasoning; of repeated headings the last holds, and a text without any is the answer."""
     text = F.coalesce(F.col(column), F.lit(""))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import tables as T
@@ -99,11 +100,11 @@ def prefer_role(ranked: DataFrame, queries: DataFrame) -> DataFrame:
     return ranked.join(wanted, "query_id").withColumn("final_rank", F.row_number().over(order)).drop("wanted")
 
 
-def rescue(index: DataFrame, queries: DataFrame, seeds: DataFrame, role: str = T.RESCUE_ROLE, k: int = T.RESCUE_K) -> DataFrame:
+def rescue(index: DataFrame, queries: DataFrame, seeds: DataFrame, role: str = T.RESCUE_ROLE, k: int = T.RESCUE_K, centroids: np.ndarray | None = None) -> DataFrame:
     """Seeds and, for queries without a seed of a role, the best rows of that role after them."""
     have = seeds.where(F.col("role") == role).select("query_id").distinct()
     lone = queries.join(have, "query_id", "left_anti").withColumn("role_filter", F.lit(role))
-    more = V.search(index, lone, top_k=k).join(seeds.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")
+    more = V.search(index, lone, top_k=k, centroids=centroids).join(seeds.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")
     last = seeds.groupBy("query_id").agg(F.max("rank").alias("last"))
     more = more.join(last, "query_id", "left").withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy("rank")))
     more = more.withColumn("rank", (F.coalesce("last", F.lit(0)) + F.col("n")).cast("int")).drop("last", "n").withColumn("origin", F.lit("rescue"))
@@ -123,6 +124,9 @@ class Retrieval:
     def top_texts(self, n: int = 5) -> DataFrame:
         return self.ranked.where(F.trim("text") != "").where(F.col("final_rank") <= n).select("query_id", "final_rank", "text")
 
+    def top_nodes(self, n: int = 5) -> DataFrame:
+        return self.ranked.where(F.col("final_rank") <= n)
+
     def by_role(self, role: str) -> DataFrame:
         return self.ranked.where(F.col("role") == role)
 
@@ -136,16 +140,18 @@ class Retrieval:
         return out.select("query_id", "intent_used", "intent_source", F.coalesce("seed_ids", none.cast("array<long>")).alias("seed_ids"), F.coalesce("expanded_ids", none.cast("array<long>")).alias("expanded_ids"), F.coalesce("relations", none.cast("array<string>")).alias("relations"), F.coalesce("n_final", F.lit(0)).alias("n_final"))
 
 
-def retrieve(index: DataFrame, nodes: DataFrame, edges: DataFrame, queries: DataFrame, top_k: int = T.TOP_K, expand_k: int = T.EXPAND_K, final_k: int = T.FINAL_K, alpha: float | None = None, version: int = 2) -> Retrieval:
+def retrieve(index: DataFrame, nodes: DataFrame, edges: DataFrame, queries: DataFrame, top_k: int = T.TOP_K, expand_k: int = T.EXPAND_K, final_k: int = T.FINAL_K, alpha: float | None = None, version: int = 2, centroids: np.ndarray | None = None) -> Retrieval:
     """The whole engine. The role filter only moves rows to the front; seeds are searched without it.
 
+    ``centroids`` are those of a clustered index.
+
     Version 3 has a bonus that falls with the rank and rescues observations.
     """
     third = version == 3
     queries = classify_intent(queries, T.INTENT_PATTERNS_V3 if third else T.INTENT_PATTERNS)
-    seeds = V.search(index, queries.withColumn("role_filter", F.lit(None).cast("string")), top_k=top_k)
+    seeds = V.search(index, queries.withColumn("role_filter", F.lit(None).cast("string")), top_k=top_k, centroids=centroids)
     if third:
-        seeds = rescue(index, queries, saved(seeds, "seeds"))
+        seeds = rescue(index, queries, saved(seeds, "seeds"), centroids=centroids)
     seeds = saved(seeds, "seeds")
     queries = settle_intent(queries, seeds)
     hits = saved(expand(queries, seeds, edges, expand_k), "hits")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from .functions import tables as T
 from .sources.derive import CLASSES, LABEL_ROLES, PREFIXES
 
@@ -401,3 +403,52 @@ ORACLE["metric_cases"] = f"""WITH c AS (SELECT * FROM (VALUES (0, '10100'), (1,
 m AS (SELECT query_id, k, (SELECT count(*) FROM range(1, 6) t(i) WHERE {_hit}) AS n, (SELECT coalesce(sum(1 / log2(i + 1.0)), 0) FROM range(1, 6) t(i) WHERE {_hit}) AS dcg, position('1' IN s) AS first FROM c, (SELECT unnest([1, 3, 5]) AS k))
 SELECT 'list' AS system, query_id::BIGINT AS query_id, k, {_ten('n / k::DOUBLE')} AS precision, {_ten('n / 3.0::DOUBLE')} AS recall, {_ten('CASE WHEN first > 0 THEN 1.0::DOUBLE / first ELSE 0 END')} AS rr,
     {_ten('CASE WHEN n > 0 THEN dcg / (SELECT sum(1 / log2(j + 1.0)) FROM range(1, n + 1) t(j)) ELSE 0 END')} AS ndcg, {_ten('(n > 0)::INT::DOUBLE')} AS hit_rate FROM m"""
+
+# Overrides, empty results and checks of the engine.
+_wish = "CASE WHEN (query_id // 50) % 3 <> 2 THEN " + case("(query_id // 50) % 7", [(k, text(x)) for k, x in enumerate(("method", "result", "dataset", "figure", "definition", "observation"))], "'none such'") + " END"
+
+
+def override() -> str:
+    e = expansion()
+    e["used"] = f"""SELECT u.* EXCLUDE (intent_used, intent_source), coalesce({_wish}, intent_used) AS intent_used, CASE WHEN {_wish} IS NOT NULL THEN 'override' ELSE intent_source END AS intent_source FROM ({SETTLE['used']}) u"""
+    known = names(T.INTENT_OUT)
+    e["h0"] = e["h0"].replace("f.intent = u.intent_used", f"f.intent = CASE WHEN u.intent_used IN {known} THEN u.intent_used ELSE 'general' END")
+    return with_("edges", f"SELECT {RANKED}, intent_used, intent_source FROM ranked JOIN used USING (query_id)", {**e, **SEEDS1, **ranking(T.ALPHA, str(T.SEED_BONUS), True)})
+
+
+ORACLE["hybrid_override"] = override()
+ORACLE["hybrid_no_seeds"] = with_("q", "SELECT query_id, intent AS intent_used, 'classifier' AS intent_source, '' AS seed_ids, '' AS expanded_ids, '' AS relations, 0::BIGINT AS n_final FROM intent", {"qs": "SELECT * FROM q", "intent": intents(T.INTENT_PATTERNS)})
+ORACLE["engine_validate"] = with_("edges", f"""SELECT 'built' AS state, (SELECT count(*) FROM idx) > 0 AS has_index, (SELECT count(*) FROM edges) > 0 AS has_graph, {T.ALPHA} BETWEEN 0 AND 1 AS alpha_in_range
+    UNION ALL SELECT 'empty', false, false, false""")
+ORACLE["top_texts"] = hybrid("SELECT query_id, final_rank, md5(text) AS text_md5 FROM ranked WHERE trim(text) <> '' AND final_rank <= 3", "role")
+ORACLE["nodes_by_role"] = hybrid("SELECT query_id, node_id, final_rank FROM ranked WHERE role = 'Method'", "role")
+_heads = ("1. Introduction", "2.1 Related Work", "Results & Discussion", "lower case", "X", "Numbers 5: yes", "Ends with a stop.", " Padded ")
+ORACLE["section_titles"] = with_("raw", """SELECT doc, node_id, section_id, CASE WHEN section_id IS NOT NULL THEN 's' || section_id ELSE 'p' || page END AS sec_key FROM (
+    SELECT *, last_value(CASE WHEN region_class = 'abstract' OR (region_class = 'title' AND regexp_matches(trim(said), """ + text(T.SECTION_TITLE) + """)) THEN node_id END IGNORE NULLS)
+    OVER (PARTITION BY doc ORDER BY page, y0, node_seq ROWS UNBOUNDED PRECEDING) AS section_id FROM (SELECT *, """ + case("(node_id // 20) % 8", [(k, text(h)) for k, h in enumerate(_heads)], "NULL") + """ AS said FROM raw))""")
+
+# Figures among the regions, and files written and read back.
+_blocks8 = {k: (v + " AND pos % 9 <> 8" if k == "said" else v) for k, v in LAYOUT.items()}
+_picture = "SELECT doc_id, pos // 12 AS page_index, pos AS block_pos, doc_id || '-' || pos AS block_id, 30.0::DOUBLE + 62 * (pos % 12) AS y0 FROM lines WHERE line <> '' AND pos % 9 = 8"
+ORACLE["layout_figures"] = with_(None, f"""SELECT doc_id, cast(page_index AS INT) AS page_index, region_pos, {_md5('doc_id', text('::layout::p'), 'page_index', text('::r'), 'region_pos')} AS region_id, region_class, confidence, no_text FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY late, block_pos) - 1 AS region_pos FROM (
+    SELECT doc_id, page_index, block_pos, region_class, 0.8::DOUBLE AS confidence, false AS no_text, 0 AS late FROM regions UNION ALL SELECT doc_id, page_index, block_pos, 'figure', 0.95::DOUBLE, true, 1 FROM pictures))""", {**{k: _blocks8[k] for k in list(LAYOUT)[: list(LAYOUT).index("regions") + 1]}, "pictures": _picture})
+ORACLE["extraction_json"] = with_(None, f"""SELECT doc_id, page_index, block_id, md5(text) AS text_md5, {r4('y0')} AS y0, font_size, is_bold, 'text' AS block_type FROM blocks
+    UNION ALL SELECT doc_id, page_index, block_id, NULL, {r4('y0')}, NULL, NULL, 'figure' FROM pictures""", {**{k: _blocks8[k] for k in ("lines", "said", "blocks")}, "pictures": _picture})
+ORACLE["first_page_blocks"] = layout("blocks", "SELECT doc_id, page_index, block_id FROM blocks WHERE page_index = 0")
+ORACLE["layout_json"] = layout("regions", "SELECT doc_id, page_index, region_pos, region_id, region_class, 'heuristic' AS backend, 0.8::DOUBLE AS confidence, block_id AS source_block_ids FROM regions")
+ORACLE["semantic_json"] = with_("nodes", "SELECT doc, node_id, page, y0, region_class, role, role_confidence, length(text) AS n_chars FROM nodes")
+ORACLE["semantic_json_links"] = with_("links", "SELECT doc, caption_id, target_id, s_ref, s_emb, s_link FROM links")
+ORACLE["evaluation_nodes"] = with_("nodes", "SELECT doc, node_id, role, length(substring(text, 1, 300)) AS n_chars FROM nodes")
+ORACLE["alignment_json"] = layout("una", """SELECT doc_id, coalesce(n, 0) AS n_aligned, md5(coalesce(a, '')) AS aligned_md5, md5(coalesce(u, '')) AS unassigned_md5 FROM
+    (SELECT doc_id, count(*) AS n, string_agg(block_id || ':' || region_id || ':' || CASE WHEN flagged THEN 'true' ELSE 'false' END, ',' ORDER BY page_index, block_pos) AS a FROM al GROUP BY doc_id)
+    FULL JOIN (SELECT doc_id, string_agg(block_id, ',' ORDER BY block_id) AS u FROM una GROUP BY doc_id) USING (doc_id)""")
+ORACLE["node_link_json"] = with_("edges", "SELECT e.doc, src, tgt, relation, weight, edge_source, edge_seq, n_nodes, n_noise, n_chars FROM edges e JOIN (SELECT doc, count(*) AS n_nodes, count(*) FILTER (WHERE is_noise) AS n_noise, cast(sum(length(text)) AS BIGINT) AS n_chars FROM nodes GROUP BY doc) n ON n.doc = e.doc")
+ORACLE["report_json"] = _eval(f"SELECT system, k, {_ten('mp')} AS mean_precision, {_ten('mn')} AS mean_ndcg, n_queries FROM rep")
+ORACLE["form_figures"] = layout("blocks", f"""SELECT doc_id, page_index, {_md5('doc_id', text('::fig::xobj::p'), 'page_index', text('::s'), 'block_pos')} AS block_id, trunc(x0) AS x0, trunc(y0) AS y0, trunc(x1) AS x1, trunc(y1) AS y1 FROM blocks
+    WHERE block_pos % 4 < 2 AND (trunc(x1) - trunc(x0)) * (trunc(y1) - trunc(y0)) >= 2000""")
+ORACLE["pdf_names"] = """SELECT page_id, page_id % 5 IN (0, 1, 3) AS is_pdf, substring(CASE page_id % 5 WHEN 0 THEN page_id || '_é-x' WHEN 1 THEN page_id::VARCHAR WHEN 2 THEN page_id::VARCHAR WHEN 3 THEN page_id || '_' || repeat('long', 12) ELSE page_id || 'pdf' END, 1, 40) AS doc FROM pages"""
+_html = lambda x: reduce(lambda a, p: f"replace({a}, {text(p[0])}, {text(p[1])})", (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")), x)
+ORACLE["shortened_texts"] = "SELECT doc_id, " + ", ".join(f"md5({_html(f'substring(text, 1, {n})') if n < 200 else f'substring(text, 1, {n})'}) AS md5_{n}" for n in (60, 120, 200, 300)) + " FROM documents WHERE text IS NOT NULL"
+_compared = _eval("SELECT system, k, " + ", ".join(f"{_ten(a)} AS mean_{b}" for a, b in (("mp", "precision"), ("mr", "recall"), ("mrr", "rr"), ("mn", "ndcg"), ("mh", "hit_rate"))) + ", n_queries, system = 'broken' AS failed FROM rep")
+ORACLE["compare_systems"] = _compared.replace("unnest(['vector', 'hybrid'])", "unnest(['vector', 'hybrid', 'broken'])").replace("role_filter AS wanted", "NULL::VARCHAR AS wanted")

@@ -6,12 +6,18 @@ twice; asking is one plan for all questions of a batch.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import tables as T
+from ..functions.scalar import unit
 from ..operators import graph as G, layout as L, pages as P, prompt as A, retrieval as R, semantic as S, vector as V
+from ..sources import json_io as J
+from ..sources.staging import saved
 
 
 @dataclass
@@ -26,7 +32,7 @@ class Settings:
 
 def regions_of(blocks: DataFrame, figures: DataFrame | None = None) -> DataFrame:
     """Classified regions in reading order."""
-    found = L.detect(blocks, figures)
+    found = saved(L.detect(blocks, figures), "regions")
     order = P.reading_order(found)
     return found.join(order, ["doc_id", "page_index", "region_pos"])
 
@@ -35,15 +41,44 @@ def semantic_regions(regions: DataFrame, encoder=S.hashed_vectors) -> DataFrame:
     """Regions with vectors and roles, as nodes of a graph."""
     coded = S.encode(regions.withColumnRenamed("text_content", "text"), "text", encoder)
     out = S.RoleModel(regions.sparkSession, encoder=encoder).classify(coded)
-    return out.select(F.col("doc_id").alias("doc"), F.col("page_index").alias("page"), F.col("region_id").alias("node_id"), "region_class", "text", F.col("bbox.y0").alias("y0"), F.col("scholarly_role").alias("role"), "role_confidence", "confidence", "embedding", (F.col("page_index") * 100_000 + F.col("reading_pos")).alias("node_seq"))
+    return out.select(
+        F.col("doc_id").alias("doc"),
+        F.col("page_index").alias("page"),
+        F.col("region_id").alias("node_id"),
+        "region_class",
+        "text",
+        "bbox",
+        F.col("bbox.y0").alias("y0"),
+        F.col("scholarly_role").alias("role"),
+        "role_confidence",
+        "confidence",
+        "backend",
+        "source_block_ids",
+        "embedding",
+        (F.col("page_index") * 100_000 + F.col("reading_pos")).cast("long").alias("node_seq"),
+    )
+
+
+def numbered(nodes: DataFrame) -> DataFrame:
+    """Nodes whose ids are numbers: an id that is text becomes a hash of the document and the id, and stays as
+    ``text_id``."""
+    if dict(nodes.dtypes)["node_id"] != "string":
+        return nodes
+    return nodes.withColumn("text_id", F.col("node_id")).withColumn("node_id", F.xxhash64("doc", "text_id"))
+
+
+def encode_queries(queries: DataFrame, encoder=S.hashed_vectors) -> DataFrame:
+    """Adds qvec, each query's unit vector."""
+    return S.encode(queries, "query", encoder).withColumn("qvec", unit(F.col("embedding"))).drop("embedding")
 
 
 @dataclass
 class Corpus:
-    """A built corpus: tables under one path."""
+    """A built corpus: tables under one path, and the encoder that its vectors come from."""
 
     spark: SparkSession
     path: str
+    encoder: Callable[[list[str]], np.ndarray] = S.hashed_vectors
 
     @property
     def nodes(self) -> DataFrame:
@@ -53,18 +88,36 @@ class Corpus:
     def edges(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/edges")
 
+    @cached_property
+    def _index(self) -> tuple[DataFrame, np.ndarray | None]:
+        return J.read_index(self.spark, f"{self.path}/index")
+
     @property
     def index(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/index")
+        return self._index[0]
+
+    @property
+    def centroids(self) -> np.ndarray | None:
+        """Those of a clustered index."""
+        return self._index[1]
+
+    @property
+    def kind(self) -> str:
+        return "exact" if self.centroids is None else "ivf"
+
+    @property
+    def size(self) -> int:
+        return self.index.count()
 
     def validate(self) -> dict[str, bool]:
         return R.validate(self.index, self.edges, T.ALPHA)
 
     def retrieve(self, queries: DataFrame, settings: Settings | None = None) -> R.Retrieval:
-        """queries: query_id, query, qvec and, if wanted, role_filter and intent_override."""
+        """queries: query_id, query and, if wanted, qvec, role_filter and intent_override; a missing qvec is made of the query."""
         s = settings or Settings()
+        queries = queries if "qvec" in queries.columns else saved(encode_queries(queries, self.encoder), "asked")
         hops = 0 if s.mode == "vector" else s.expand_k
-        return R.retrieve(self.index, self.nodes, self.edges, queries, s.top_k, hops, s.final_k, s.alpha, s.version)
+        return R.retrieve(self.index, self.nodes, self.edges, queries, s.top_k, hops, s.final_k, s.alpha, s.version, self.centroids)
 
     def prompts(self, found: R.Retrieval) -> DataFrame:
         return A.assemble(found.queries, A.passages(found.ranked), A.prompt_edges(found.subgraph, self.nodes))
@@ -74,16 +127,32 @@ class Corpus:
         return A.parse(A.generate(self.prompts(self.retrieve(queries, settings)), generator))
 
 
-def build(nodes: DataFrame, path: str, links: DataFrame | None = None, heading=None) -> Corpus:
-    """Writes nodes, edges and index of documents below ``path``.
+def build(nodes: DataFrame, path: str, links: DataFrame | None = None, heading=None, encoder=S.hashed_vectors) -> Corpus:
+    """Writes nodes, edges and index of documents below ``path``; a large index is clustered.
 
-    node_id is a number; nodes with text ids are numbered by their order first.
+    Nodes with text ids are numbered first, and links are then made here; ids that collide are an error.
     """
     spark = nodes.sparkSession
+    if links is not None and dict(nodes.dtypes)["node_id"] == "string":
+        raise ValueError("links of nodes with text ids are made here")
+    nodes = numbered(nodes)
     links = G.link_captions(nodes) if links is None else links
     known = G.assign_sections(G.distinct_nodes(nodes), heading)
     known.write.mode("overwrite").parquet(f"{path}/nodes")
     known = spark.read.parquet(f"{path}/nodes")
+    if "text_id" in known.columns and not known.groupBy("node_id").agg(F.count_distinct("doc", "text_id").alias("n")).where("n > 1").isEmpty():
+        raise ValueError("two nodes have one number")
     G.build_edges(known, links).write.mode("overwrite").parquet(f"{path}/edges")
-    V.build_index(known).write.mode("overwrite").parquet(f"{path}/index")
-    return Corpus(spark, path)
+    index = saved(V.build_index(known), "index")
+    kind, lists = V.index_type(index.count())
+    if kind == "exact":
+        J.write_index(index, f"{path}/index")
+    else:
+        rows, centroids = V.cluster(index, lists)
+        J.write_index(rows, f"{path}/index", kind, centroids)
+    return Corpus(spark, path, encoder)
+
+
+def build_from_blocks(blocks: DataFrame, path: str, figures: DataFrame | None = None, encoder=S.hashed_vectors) -> Corpus:
+    """The whole way from page blocks: regions in reading order, roles and vectors, links, graph and index."""
+    return build(saved(semantic_regions(regions_of(blocks, figures), encoder), "nodes"), path, encoder=encoder)

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from .functions import tables as T
 from .functions.scalar import cosine, iou, md5_id, overlap_score, r4
 from .operators import analytics as A, blocks as B, evaluate as E, graph as G, layout as L, pages as P, prompt as Q, retrieval as R, semantic as S, vector as V
-from .sources import derive as D
-from .sources.staging import saved
+from .plans import pipeline as C
+from .sources import derive as D, external as X, json_io as J
+from .sources.staging import saved, tables_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -552,3 +553,215 @@ def edge_percent(spark, d):
 @query
 def node_ids(spark, d):
     return World(spark, d).nodes.select("node_id", md5_id(F.col("doc"), "::layout::p", F.col("page"), "::r", F.col("node_seq")).alias("hash_id"))
+
+
+# Overrides, empty results and checks of the engine.
+
+
+def _wished(spark, d):
+    """The queries with an intent given to two of three: each in turn, and one that is unknown."""
+    names = ("method", "result", "dataset", "figure", "definition", "observation", "none such")
+    turn = (F.col("query_id") / 50).cast("long")
+    return World(spark, d).everyone.withColumn("intent_override", F.when(turn % 3 != 2, F.element_at(F.array(*map(F.lit, names)), (turn % len(names)).cast("int") + 1)))
+
+
+@query
+def hybrid_override(spark, d):
+    w = World(spark, d)
+    r = R.retrieve(w.index, w.nodes, w.edges, _wished(spark, d))
+    return r.ranked.join(r.queries.select("query_id", "intent_used", "intent_source"), "query_id").select(*RANKED, "intent_used", "intent_source")
+
+
+@query
+def hybrid_no_seeds(spark, d):
+    """An index without rows: every query has an answer, and it is empty."""
+    w = World(spark, d)
+    r = R.retrieve(w.index.where("false"), w.nodes, w.edges, w.everyone)
+    return r.provenance().select("query_id", "intent_used", "intent_source", joined("seed_ids"), joined("expanded_ids"), joined("relations"), F.col("n_final").cast("long").alias("n_final"))
+
+
+@query
+def engine_validate(spark, d):
+    w = World(spark, d)
+    checks = R.validate(w.index, w.edges, T.ALPHA)
+    wrong = R.validate(w.index.where("false"), w.edges.where("false"), 1.5)
+    return spark.createDataFrame([("built", *checks.values()), ("empty", *wrong.values())], "state string, has_index boolean, has_graph boolean, alpha_in_range boolean")
+
+
+@query
+def top_texts(spark, d):
+    return World(spark, d).found().top_texts(3).select("query_id", F.col("final_rank").cast("long").alias("final_rank"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query
+def nodes_by_role(spark, d):
+    return World(spark, d).found().by_role("Method").select("query_id", "node_id", F.col("final_rank").cast("long").alias("final_rank"))
+
+
+# Headings by their text, figures among the regions.
+
+
+@query
+def section_titles(spark, d):
+    """Sections by the rule of the operator: titles of many shapes, abstracts of any text."""
+    heads = ("1. Introduction", "2.1 Related Work", "Results & Discussion", "lower case", "X", "Numbers 5: yes", "Ends with a stop.", " Padded ")
+    nodes = G.distinct_nodes(D.nodes(spark, d))
+    said = F.element_at(F.array(*map(F.lit, heads)), ((F.col("node_id") / 20).cast("int") % len(heads)) + 1)
+    out = G.assign_sections(nodes.withColumn("text", F.when(F.col("region_class") == "title", said).otherwise(F.col("text"))))
+    return out.select("doc", "node_id", "section_id", "sec_key")
+
+
+def _figures(spark, d):
+    """Every ninth block of a document is a picture."""
+    b = D.blocks(spark, d)
+    picture = F.col("block_pos") % 9 == 8
+    return b.where(~picture), b.where(picture)
+
+
+@query
+def layout_figures(spark, d):
+    blocks, figures = _figures(spark, d)
+    out = L.detect(blocks, figures)
+    return out.select("doc_id", "page_index", F.col("region_pos").cast("long").alias("region_pos"), "region_id", "region_class", r4(F.col("confidence")).alias("confidence"), F.col("text_content").isNull().alias("no_text"))
+
+
+@query
+def page_regions(spark, d):
+    """Regions of blocks and figures in the order of reading."""
+    return C.regions_of(*_figures(spark, d)).select("doc_id", "page_index", "region_pos", "reading_pos", "region_class")
+
+
+# Files: written and read back.
+
+
+def _folder(spark) -> str:
+    from uuid import uuid4
+
+    return f"{tables_folder(spark)}/files-{uuid4().hex}"
+
+
+def _number(column: str):
+    return F.col(column).cast("long").alias(column)
+
+
+@query
+def extraction_json(spark, d):
+    blocks, figures = _figures(spark, d)
+    path = _folder(spark)
+    J.write_json(J.extraction_documents(blocks, figures), path)
+    got = J.read_extraction(spark, path, lines=True)
+    text = J.text_blocks(got).select(_number("doc_id"), "page_index", "block_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), r4(F.col("bbox.y0")).alias("y0"), "font_size", "is_bold", "block_type")
+    pictures = J.figure_blocks(got).select(_number("doc_id"), "page_index", "block_id", F.lit(None).cast("string").alias("text_md5"), r4(F.col("bbox.y0")).alias("y0"), F.lit(None).cast("double").alias("font_size"), F.lit(None).cast("boolean").alias("is_bold"), F.lit("figure").alias("block_type"))
+    return text.unionByName(pictures)
+
+
+@query
+def first_page_blocks(spark, d):
+    path = _folder(spark)
+    J.write_json(J.extraction_documents(D.blocks(spark, d)), path)
+    return J.page_blocks(J.read_extraction(spark, path, lines=True), 0).select(_number("doc_id"), "page_index", "block_id")
+
+
+@query
+def layout_json(spark, d):
+    path = _folder(spark)
+    J.write_json(J.layout_documents(L.detect(D.blocks(spark, d))), path)
+    out = J.regions(J.read_layout(spark, path, lines=True))
+    return out.select(_number("doc_id"), "page_index", F.col("region_pos").cast("long").alias("region_pos"), "region_id", "region_class", "backend", r4(F.col("confidence")).alias("confidence"), joined("source_block_ids"))
+
+
+def _semantic(spark, d):
+    w, path = World(spark, d), _folder(spark)
+    J.write_json(J.semantic_documents(w.nodes, w.links), path)
+    return J.read_semantic(spark, path, required=True, lines=True)
+
+
+@query
+def semantic_json(spark, d):
+    return J.semantic_nodes(_semantic(spark, d)).select(_number("doc"), _number("node_id"), "page", "y0", "region_class", "role", "role_confidence", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def semantic_json_links(spark, d):
+    return J.semantic_links(_semantic(spark, d)).select(_number("doc"), _number("caption_id"), _number("target_id"), "s_ref", "s_emb", "s_link")
+
+
+@query
+def evaluation_nodes(spark, d):
+    return J.evaluation_nodes(_semantic(spark, d)).select(_number("doc"), _number("node_id"), "role", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def alignment_json(spark, d):
+    blocks, regions = _two(spark, d)
+    found, path = saved(L.align(blocks, regions), "aligned"), _folder(spark)
+    J.write_json(J.alignment_documents(found, L.unassigned(blocks, found)), path)
+    back = spark.read.schema(J.ALIGNMENT).json(path)
+    return back.select("doc_id", F.size("alignments").cast("long").alias("n_aligned"), F.md5(F.array_join(F.transform("alignments", lambda a: F.concat_ws(":", a["block_id"], a["region_id"], a["flagged"].cast("string"))), ",").cast("binary")).alias("aligned_md5"), F.md5(F.array_join("unassigned", ",").cast("binary")).alias("unassigned_md5"))
+
+
+@query
+def node_link_json(spark, d):
+    w, path = World(spark, d), _folder(spark)
+    J.write_json(J.node_link_documents(w.nodes, w.edges), path)
+    nodes, edges = J.read_node_link(spark, path, lines=True)
+    n = nodes.groupBy("doc").agg(F.count(F.lit(1)).alias("n_nodes"), F.count_if("is_noise").alias("n_noise"), F.sum(F.length("text")).alias("n_chars"))
+    return edges.select(_number("doc"), _number("src"), _number("tgt"), "relation", "weight", "edge_source", "edge_seq").join(n.select(_number("doc"), "n_nodes", "n_noise", "n_chars"), "doc")
+
+
+@query
+def report_json(spark, d):
+    m = saved(_evaluation(spark, d)[1], "metrics")
+    path = _folder(spark)
+    J.write_json(J.report_documents(m, E.report(m), E.delta(E.report(m))), path)
+    back = spark.read.json(path).select(F.explode("systems").alias("s"))
+    return back.select("s.system", F.explode("s.by_k").alias("k")).select("system", F.col("k.k").cast("int").alias("k"), _ten("k.mean_precision").alias("mean_precision"), _ten("k.mean_ndcg").alias("mean_ndcg"), F.col("k.n_queries").alias("n_queries"))
+
+
+def _ten(column: str):
+    return r4(F.col(column) + 10.0)
+
+
+@query
+def form_figures(spark, d):
+    """Form objects with boxes of many sizes, with too few numbers and without any."""
+    b = F.col("bbox")
+    numbers = F.concat_ws(" ", b["x0"].cast("int"), b["y0"].cast("int"), b["x1"].cast("int"), b["y1"].cast("int"))
+    said = F.when(F.col("block_pos") % 4 == 3, "<< /Type /XObject >>").when(F.col("block_pos") % 4 == 2, F.concat(F.lit("<< /BBox [ "), b["x0"].cast("int"), F.lit(" 7 ] >>"))).otherwise(F.concat(F.lit("<< /Subtype /Form /BBox ["), numbers, F.lit("] >>")))
+    objects = D.blocks(spark, d).select("doc_id", "page_index", F.col("block_pos").alias("seq"), said.alias("dictionary"))
+    return X.form_figures(objects).select("doc_id", "page_index", "block_id", "bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1")
+
+
+@query
+def pdf_names(spark, d):
+    """Which of some file names are PDFs, and the documents' ids that they give."""
+    k = F.col("page_id") % 5
+    name = F.concat(F.lit("/data/a b/"), F.col("page_id"), F.when(k == 0, " é-x.pdf").when(k == 1, ".PDF").when(k == 2, ".txt").when(k == 3, F.concat(F.lit("."), F.repeat(F.lit("long"), 12), F.lit(".pdf"))).otherwise("pdf"))
+    return D.read(spark, d, "pages").select("page_id", B.is_pdf(name).alias("is_pdf"), B.doc_id_of(name).alias("doc"))
+
+
+@query
+def shortened_texts(spark, d):
+    t = F.col("text")
+    cuts = [F.md5(A.shorten(t, n, html=n < 200).cast("binary")).alias(f"md5_{n}") for n in (60, 120, 200, 300)]
+    return D.read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", *cuts)
+
+
+@query
+def compare_systems(spark, d):
+    """Vector search against the hybrid engine; a third system fails and has empty lists. Latencies are not shown."""
+    w = World(spark, d)
+    q = w.everyone.withColumn("relevant_ids", F.array(F.col("query_id") + 1, F.col("query_id") + 50)).withColumn("relevant_roles", F.array().cast("array<string>"))
+
+    def broken(queries):
+        raise RuntimeError("no such system")
+
+    found = E.compare(q, {"vector": lambda x: V.search(w.index, x, top_k=10), "hybrid": lambda x: R.retrieve(w.index, w.nodes, w.edges, x).ranked.withColumn("rank", F.col("final_rank")), "broken": broken})
+    return _rounded(found.reports.drop("mean_latency_ms")).withColumn("failed", F.col("system").isin(*found.errors))
+
+
+@query
+def blocks_to_answers(spark, d):
+    """The whole way: blocks, regions, roles, links, graph, index, and answers to the fixed questions."""
+    corpus = C.build_from_blocks(D.blocks(spark, d), f"{tables_folder(spark)}/corpus-{_folder(spark)[-32:]}")
+    return corpus.ask(E.query_bank(spark).select("query_id", "query")).select("query_id", "answer", "evidence", "reasoning", "error")

@@ -15,7 +15,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.blocks import doc_id_of, is_pdf
+from ..functions.scalar import area
+from ..operators.blocks import doc_id_of, figure_id, is_pdf
 
 # What detectors call their classes.
 FIVE_CLASSES = {"0": "paragraph", "1": "title", "2": "list", "3": "table", "4": "figure"}
@@ -39,12 +40,18 @@ def map_classes(label: Column, classes: dict[str, str]) -> Column:
 RAW_BLOCK = "doc_id string, page_index int, type int, number int, bbox struct<x0:double,y0:double,x1:double,y1:double>, spans array<struct<text:string,font:string,size:double,flags:int,color:int>>, page_width double, page_height double"
 
 
-def read_pdfs(spark: SparkSession, path: str, parser: Callable[[bytes], list[dict]]) -> DataFrame:
+def read_pdfs(spark: SparkSession, path: str, parser: Callable[[bytes], list[dict]], only_pdfs: bool = False) -> DataFrame:
     """Raw page blocks of PDF files; ``parser`` gives a dict for each block of one file's bytes.
 
-    Other files are left out. A file that can't be parsed ends the job with its name.
+    A path that isn't there is an error. Other files are left out, or are an error too with ``only_pdfs``. A
+    file that can't be parsed ends the job with its name.
     """
-    files = spark.read.format("binaryFile").load(path).where(is_pdf(F.col("path"))).select(doc_id_of(F.col("path")).alias("doc_id"), "path", "content")
+    files = spark.read.format("binaryFile").load(path)
+    if only_pdfs:
+        other = files.where(~is_pdf(F.col("path"))).select("path").head()
+        if other:
+            raise ValueError(f"no PDF: {other.path}")
+    files = files.where(is_pdf(F.col("path"))).select(doc_id_of(F.col("path")).alias("doc_id"), "path", "content")
     schema = spark.createDataFrame([], RAW_BLOCK).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,6 +69,49 @@ def read_pdfs(spark: SparkSession, path: str, parser: Callable[[bytes], list[dic
     return files.mapInArrow(run, RAW_BLOCK)
 
 
+def rasterise(pages: DataFrame, renderer: Callable[[bytes, int, float], bytes], dpi: float = 200.0) -> DataFrame:
+    """Adds image (PNG bytes) and scale (points of a pixel) to pages: doc_id, page_index, content (a file's bytes).
+
+    ``renderer`` takes the bytes, the page's number and the pixels of a point.
+    """
+    return _images(pages.select("doc_id", "page_index", "content"), lambda row: renderer(row["content"], row["page_index"], dpi / 72.0), 72.0 / dpi)
+
+
+def crop_figures(figures: DataFrame, cropper: Callable[[bytes, int, float, tuple[float, float, float, float]], bytes], dpi: float = 150.0) -> DataFrame:
+    """(doc_id, page_index, block_id, image, scale) of figures: doc_id, page_index, block_id, bbox, content."""
+    return _images(figures.select("doc_id", "page_index", "block_id", "bbox", "content"), lambda row: cropper(row["content"], row["page_index"], dpi / 72.0, tuple(row["bbox"][k] for k in ("x0", "y0", "x1", "y1"))), 72.0 / dpi)
+
+
+def _images(rows: DataFrame, draw: Callable[[dict], bytes], scale: float) -> DataFrame:
+    names = [c for c in rows.columns if c not in ("content", "bbox")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            images = [draw(row) for row in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(images, pa.binary()), pa.array([scale] * len(batch))], names=[*names, "image", "scale"])
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names) + ", image binary, scale double")
+
+
+#: Points of area from which a form object counts as a figure.
+MIN_FORM_AREA = 2000.0
+
+
+def form_figures(objects: DataFrame) -> DataFrame:
+    """(doc_id, page_index, seq, block_id, bbox) of form objects whose dictionary has a large enough /BBox.
+
+    objects: doc_id, page_index, seq, dictionary (the object's text). Others, and boxes of fewer than four
+    numbers, are left out.
+    """
+    inside = F.regexp_extract(F.coalesce("dictionary", F.lit("")), r"/BBox\s*\[([^\]]*)\]", 1)
+    numbers = F.filter(F.transform(F.split(F.trim(inside), r"\s+"), lambda x: x.try_cast("double")), lambda x: x.isNotNull())
+    out = objects.withColumn("_n", numbers).where(F.size("_n") >= 4)
+    box = F.struct(*(F.element_at("_n", k + 1).alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))))
+    out = out.withColumn("bbox", box).where(area(F.col("bbox")) >= MIN_FORM_AREA)
+    return out.select("doc_id", "page_index", "seq", figure_id(F.col("doc_id"), "xobj", F.col("page_index"), F.col("seq")).alias("block_id"), "bbox")
+
+
 def recognise(pages: DataFrame, reader: Callable[[bytes], list[dict]]) -> DataFrame:
     """Words of page images for group_ocr_words(); pages: doc_id, page_index, image, scale."""
     kind = "doc_id string, page_index int, block_num int, word_no int, text string, conf double, left double, top double, width double, height double, scale double"
@@ -97,8 +147,13 @@ class ChatService:
             return False
         return any(self.model.split(":")[0] in name for name in known)
 
-    def __call__(self, rules: str, prompt: str) -> str:
-        body = {"model": self.model, "stream": False, "options": {"temperature": self.temperature}, "messages": [{"role": "system", "content": rules}, {"role": "user", "content": prompt}]}
+    def _body(self, rules: str, prompt: str, temperature: float | None, stream: bool) -> dict:
+        heat = self.temperature if temperature is None else temperature
+        return {"model": self.model, "stream": stream, "options": {"temperature": heat}, "messages": [{"role": "system", "content": rules}, {"role": "user", "content": prompt}]}
+
+    def __call__(self, rules: str, prompt: str, temperature: float | None = None) -> str:
+        """The whole answer; a temperature given here holds for this call alone."""
+        body = self._body(rules, prompt, temperature, False)
         for attempt in range(1, self.attempts + 1):
             try:
                 return self._call("/api/chat", body)["message"]["content"]
@@ -107,3 +162,17 @@ class ChatService:
                     raise
                 time.sleep(self.pause * attempt)
         raise AssertionError
+
+    def stream(self, rules: str, prompt: str, temperature: float | None = None) -> Iterator[str]:
+        """The answer piece by piece, as the service sends it: one JSON object in each line."""
+        data = json.dumps(self._body(rules, prompt, temperature, True)).encode()
+        request = urllib.request.Request(self.url + "/api/chat", data, {"Content-Type": "application/json"})
+        with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+            for line in answer:
+                if line.strip():
+                    said = json.loads(line)
+                    piece = said.get("message", {}).get("content", "")
+                    if piece:
+                        yield piece
+                    if said.get("done"):
+                        return

@@ -8,8 +8,11 @@ from __future__ import annotations
 import json
 from xml.sax.saxutils import escape, quoteattr
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions import tables as T
+
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 STYLE = "struct<font_name:string,font_size:double,is_bold:boolean,is_italic:boolean,color:int>"
 TEXT_BLOCK = f"struct<block_id:string,text:string,bbox:{BOX},page_index:int,style:{STYLE},block_type:string,extraction_method:string,confidence:double,raw_block_no:int>"
@@ -22,12 +25,16 @@ LINK = "struct<caption_id:string,target_id:string,s_ref:double,s_emb:double,s_li
 SEMANTIC = f"doc_id string, semantic_regions array<{SEMANTIC_REGION}>, multimodal_links array<{LINK}>"
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+ALIGNMENT = "doc_id long, alignments array<struct<page_index:int,block_pos:int,block_id:string,region_id:string,region_class:string,score:double,flagged:boolean>>, unassigned array<string>"
+
+
+def _read(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """Files of one document each or, with ``lines``, of one in each line, as write_json() makes them."""
+    return spark.read.schema(schema).option("multiLine", not lines).option("mode", "PERMISSIVE").json(path)
 
 
-def read_extraction(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, EXTRACTION)
+def read_extraction(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return _read(spark, path, EXTRACTION, lines)
 
 
 def text_blocks(extraction: DataFrame) -> DataFrame:
@@ -44,8 +51,8 @@ def figure_blocks(extraction: DataFrame) -> DataFrame:
     return b.select("doc_id", "page_index", "block_pos", "page_width", "page_height", "b.block_id", "b.bbox", "b.image_path", "b.caption")
 
 
-def read_layout(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, LAYOUT)
+def read_layout(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return _read(spark, path, LAYOUT, lines)
 
 
 def regions(layout: DataFrame) -> DataFrame:
@@ -55,9 +62,9 @@ def regions(layout: DataFrame) -> DataFrame:
     return r.select("doc_id", F.coalesce("r.page_index", "page").alias("page_index"), "page_width", "region_pos", F.col("r.region_id"), d("region_class", "unknown"), F.col("r.bbox"), d("confidence", 1.0), d("backend", "heuristic"), F.col("r.text_content"), F.coalesce("r.source_block_ids", F.array().cast("array<string>")).alias("source_block_ids"))
 
 
-def read_semantic(spark: SparkSession, path: str, required: bool = False) -> DataFrame:
+def read_semantic(spark: SparkSession, path: str, required: bool = False, lines: bool = False) -> DataFrame:
     """With ``required``, documents without regions are an error, as an index can't be made of them."""
-    out = _read(spark, path, SEMANTIC)
+    out = _read(spark, path, SEMANTIC, lines)
     if required and not out.where(F.size(F.coalesce("semantic_regions", F.array())) > 0).head(1):
         raise ValueError("no semantic regions")
     return out
@@ -74,6 +81,18 @@ def semantic_links(semantic: DataFrame) -> DataFrame:
     return x.select("doc", "link_pos", "l.caption_id", "l.target_id", "l.s_ref", "l.s_emb", "l.s_link", "l.matched_refs")
 
 
+def page_blocks(extraction: DataFrame, page_index: int) -> DataFrame:
+    """Text blocks of one page of each document, the first that has this number."""
+    first = extraction.select("doc_id", F.filter("pages", lambda p: p["page_index"] == page_index).alias("pages"))
+    return text_blocks(first.withColumn("pages", F.slice("pages", 1, 1)))
+
+
+def evaluation_nodes(semantic: DataFrame, most: int = 300) -> DataFrame:
+    """(doc, node_id, role, text): what an evaluation needs of semantic documents, texts cut."""
+    r = semantic.select(F.col("doc_id").alias("doc"), F.explode("semantic_regions").alias("r"))
+    return r.select("doc", F.coalesce("r.region_id", F.lit("")).alias("node_id"), F.coalesce("r.scholarly_role", F.lit("N/A")).alias("role"), F.substring(F.coalesce("r.text_content", F.lit("")), 1, most).alias("text"))
+
+
 def _pages(rows: DataFrame, item: Column, name: str, order: str) -> DataFrame:
     per_page = rows.groupBy("doc_id", "page_index").agg(F.first("page_width").alias("width"), F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("v")))), lambda x: x["v"]).alias(name))
     return per_page.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_index", "width", name))).alias("pages")).withColumn("total_pages", F.size("pages"))
@@ -85,6 +104,58 @@ def layout_documents(region_rows: DataFrame, order: str = "region_pos") -> DataF
     return _pages(region_rows, item, "regions", order)
 
 
+def extraction_documents(blocks: DataFrame, figures: DataFrame | None = None, threshold: int = T.OCR_CHARS) -> DataFrame:
+    """Text and figure blocks put together to one document per row, ready to be written as JSON.
+
+    blocks: doc_id, page_index, block_pos, block_id, text, bbox, page_width, page_height and, where known, style,
+    block_type, extraction_method, confidence and raw_block_no.
+    """
+    have = lambda c, t, v=None: (F.col(c) if c in blocks.columns else F.lit(v)).cast(t).alias(c)
+    style = F.struct(F.lit(None).cast("string").alias("font_name"), *(have(c, t) for c, t in (("font_size", "double"), ("is_bold", "boolean"), ("is_italic", "boolean"))), F.lit(None).cast("int").alias("color"))
+    style = F.col("style") if "style" in blocks.columns else style
+    text = F.struct(F.col("block_id").cast("string").alias("block_id"), "text", "bbox", "page_index", style.alias("style"), have("block_type", "string", "text"), have("extraction_method", "string", "embedded"), have("confidence", "double", 1.0), have("raw_block_no", "int", 0))
+    rows = blocks.select("doc_id", "page_index", "block_pos", "page_width", "page_height", text.alias("t"), F.lit(None).cast(FIGURE_BLOCK).alias("f"))
+    if figures is not None:
+        f = F.struct(F.col("block_id").cast("string").alias("block_id"), "bbox", "page_index", F.lit(None).cast("string").alias("image_path"), F.lit(None).cast("string").alias("caption"))
+        rows = rows.unionByName(figures.select("doc_id", "page_index", "block_pos", "page_width", "page_height", F.lit(None).cast(TEXT_BLOCK).alias("t"), f.alias("f")))
+    ordered = lambda c: F.transform(F.filter("all", lambda x: x[c].isNotNull()), lambda x: x[c])
+    page = rows.groupBy("doc_id", "page_index").agg(F.first("page_width").alias("width"), F.first("page_height").alias("height"), F.array_sort(F.collect_list(F.struct("block_pos", "t", "f"))).alias("all"))
+    page = page.select("doc_id", "page_index", "width", "height", ordered("t").alias("text_blocks"), ordered("f").alias("figure_blocks"))
+    chars = F.aggregate("text_blocks", F.lit(0), lambda n, b: n + F.length(b["text"]))
+    page = page.withColumn("ocr_triggered", chars < threshold).withColumn("extraction_method", F.when(F.col("ocr_triggered"), "ocr").otherwise("embedded"))
+    item = F.struct("page_index", "width", "height", "text_blocks", "figure_blocks", "extraction_method", "ocr_triggered")
+    return page.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("pages")).select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("").alias("source_path"), F.size("pages").alias("total_pages"), "pages")
+
+
+def semantic_documents(nodes: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """Regions with roles, and links, put together to one document per row; vectors are left out.
+
+    nodes: doc, node_seq, node_id, region_class, text, page, role, role_confidence, confidence, and a box or its y0.
+    """
+    have = lambda c, o: F.col(c) if c in nodes.columns else o
+    zero = F.lit(0.0)
+    box = have("bbox", F.struct(zero.alias("x0"), F.col("y0").alias("y0"), zero.alias("x1"), F.col("y0").alias("y1")))
+    item = F.struct(F.col("node_id").cast("string").alias("region_id"), "region_class", F.col("text").alias("text_content"), box.alias("bbox"), F.col("page").alias("page_index"), F.col("role").alias("scholarly_role"), "role_confidence", "confidence", have("backend", F.lit("heuristic")).alias("backend"), have("source_block_ids", F.array().cast("array<string>")).alias("source_block_ids"))
+    listed = lambda order, x: F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), x.alias("v")))), lambda y: y["v"])
+    out = nodes.groupBy("doc").agg(listed("node_seq", item).alias("semantic_regions"))
+    none = F.array().cast(f"array<{LINK}>")
+    if links is None:
+        out = out.withColumn("multimodal_links", none)
+    else:
+        refs = F.col("matched_refs") if "matched_refs" in links.columns else F.lit(None).cast("array<struct<kind:string,num:int>>")
+        link = F.struct(F.col("caption_id").cast("string").alias("caption_id"), F.col("target_id").cast("string").alias("target_id"), "s_ref", "s_emb", "s_link", refs.alias("matched_refs"))
+        out = out.join(links.groupBy("doc").agg(listed("link_pos", link).alias("multimodal_links")), "doc", "left").withColumn("multimodal_links", F.coalesce("multimodal_links", none))
+    return out.select(F.col("doc").cast("string").alias("doc_id"), "semantic_regions", "multimodal_links")
+
+
+def report_documents(per_query: DataFrame, reports: DataFrame, deltas: DataFrame) -> DataFrame:
+    """One row: means by system and k, rows by query, and the difference of the systems."""
+    means = reports.groupBy("system").agg(F.array_sort(F.collect_list(F.struct("k", *(c for c in reports.columns if c not in ("system", "k"))))).alias("by_k"))
+    rows = per_query.groupBy("system").agg(F.array_sort(F.collect_list(F.struct("query_id", "k", *(c for c in per_query.columns if c not in ("system", "query_id", "k"))))).alias("per_query"))
+    systems = means.join(rows, "system").agg(F.array_sort(F.collect_list(F.struct("system", "by_k", "per_query"))).alias("systems"))
+    return systems.crossJoin(deltas.agg(F.array_sort(F.collect_list(F.struct("k", *(c for c in deltas.columns if c != "k")))).alias("delta")))
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
@@ -92,18 +163,24 @@ def write_json(df: DataFrame, path: str) -> None:
 def alignment_documents(alignment: DataFrame, unassigned: DataFrame) -> DataFrame:
     a = alignment.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_index", "block_pos", "block_id", "region_id", "region_class", "score", "flagged"))).alias("alignments"))
     u = unassigned.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.col("block_id").cast("string"))).alias("unassigned"))
-    return a.join(u, "doc_id", "full").select("doc_id", "alignments", F.coalesce("unassigned", F.array().cast("array<string>")).alias("unassigned"))
+    none = F.array().cast("array<struct<page_index:int,block_pos:int,block_id:string,region_id:string,region_class:string,score:double,flagged:boolean>>")
+    return a.join(u, "doc_id", "full").select("doc_id", F.coalesce("alignments", none).alias("alignments"), F.coalesce("unassigned", F.array().cast("array<string>")).alias("unassigned"))
 
 
-def write_index(index: DataFrame, path: str, kind: str = "exact") -> None:
-    """The index with its kind; lists are partitions, so a probe reads only theirs."""
+def write_index(index: DataFrame, path: str, kind: str = "exact", centroids: np.ndarray | None = None) -> None:
+    """The index with its kind, and its lists' centroids if it has any; lists are partitions of the table."""
     out = index.withColumn("index_kind", F.lit(kind))
     writer = out.write.mode("overwrite")
-    (writer.partitionBy("list") if "list" in out.columns else writer).parquet(path)
+    (writer.partitionBy("list") if "list" in out.columns else writer).parquet(f"{path}/rows")
+    rows = [(k, c.tolist()) for k, c in enumerate(centroids if centroids is not None else [])]
+    index.sparkSession.createDataFrame(rows, "list int, centroid array<double>").write.mode("overwrite").parquet(f"{path}/centroids")
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray | None]:
+    """The index and its centroids (None for an exact one); it is an error if either part is missing."""
+    rows = spark.read.parquet(f"{path}/rows")
+    got = sorted((r["list"], r["centroid"]) for r in spark.read.parquet(f"{path}/centroids").collect())
+    return rows, np.array([c for _, c in got]) if got else None
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
@@ -115,6 +192,34 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
 
 
+NODE_LINK = (
+    "doc string, directed boolean, multigraph boolean, nodes array<struct<id:string,type:string,role:string,page:int,text:string,confidence:double,role_confidence:double,bbox_y0:double,section_id:string,is_noise:boolean,seq:long>>, "
+    "links array<struct<source:string,target:string,relation:string,weight:double,edge_source:string,seq:long>>"
+)
+
+
+def node_link_documents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Each document's graph as one row of nodes and links, ready to be written as JSON."""
+    text = lambda c: F.col(c).cast("string")
+    n = F.struct(F.col("node_seq").cast("long").alias("seq"), text("node_id").alias("id"), F.col("region_class").alias("type"), "role", F.col("page").cast("int").alias("page"), "text", "confidence", "role_confidence", F.col("y0").alias("bbox_y0"), text("section_id").alias("section_id"), "is_noise")
+    e = F.struct(F.col("edge_seq").cast("long").alias("seq"), text("src").alias("source"), text("tgt").alias("target"), "relation", "weight", "edge_source")
+    out = nodes.groupBy("doc").agg(F.array_sort(F.collect_list(n)).alias("nodes"))
+    links = edges.groupBy("doc").agg(F.array_sort(F.collect_list(e)).alias("links"))
+    out = out.join(links, "doc", "left")
+    return out.select(text("doc").alias("doc"), F.lit(True).alias("directed"), F.lit(False).alias("multigraph"), "nodes", F.coalesce("links", F.array().cast("array<struct<seq:long,source:string,target:string,relation:string,weight:double,edge_source:string>>")).alias("links"))
+
+
+def read_node_link(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of such files, with defaults for what a node lacks."""
+    docs = _read(spark, path, NODE_LINK, lines)
+    n = docs.select("doc", F.posexplode("nodes").alias("pos", "n"))
+    d = lambda c, v, name: F.coalesce(f"n.{c}", F.lit(v)).alias(name)
+    nodes = n.select("doc", F.col("n.id").alias("node_id"), d("type", "", "region_class"), d("role", "N/A", "role"), d("page", 0, "page"), d("text", "", "text"), d("confidence", 1.0, "confidence"), d("role_confidence", 0.0, "role_confidence"), d("bbox_y0", 0.0, "y0"), F.col("n.section_id"), d("is_noise", False, "is_noise"), F.coalesce("n.seq", F.col("pos").cast("long")).alias("node_seq"))
+    e = docs.select("doc", F.posexplode("links").alias("pos", "l"))
+    edges = e.select("doc", F.col("l.source").alias("src"), F.col("l.target").alias("tgt"), "l.relation", F.coalesce("l.weight", F.lit(1.0)).alias("weight"), F.coalesce("l.edge_source", F.lit("")).alias("edge_source"), F.coalesce("l.seq", F.col("pos").cast("long")).alias("edge_seq"))
+    return nodes, edges
+
+
 def _plain(v) -> str:
     return "" if v is None else json.dumps([x.asDict() if hasattr(x, "asDict") else x for x in v]) if isinstance(v, (list, tuple)) else str(v)
 

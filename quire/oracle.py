@@ -452,3 +452,16 @@ _html = lambda x: reduce(lambda a, p: f"replace({a}, {text(p[0])}, {text(p[1])})
 ORACLE["shortened_texts"] = "SELECT doc_id, " + ", ".join(f"md5({_html(f'substring(text, 1, {n})') if n < 200 else f'substring(text, 1, {n})'}) AS md5_{n}" for n in (60, 120, 200, 300)) + " FROM documents WHERE text IS NOT NULL"
 _compared = _eval("SELECT system, k, " + ", ".join(f"{_ten(a)} AS mean_{b}" for a, b in (("mp", "precision"), ("mr", "recall"), ("mrr", "rr"), ("mn", "ndcg"), ("mh", "hit_rate"))) + ", n_queries, system = 'broken' AS failed FROM rep")
 ORACLE["compare_systems"] = _compared.replace("unnest(['vector', 'hybrid'])", "unnest(['vector', 'hybrid', 'broken'])").replace("role_filter AS wanted", "NULL::VARCHAR AS wanted")
+
+# The test tables' blocks stand in two columns and none spans both, so a page's order follows from its widest left block.
+_order = """SELECT {cols}, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY CASE WHEN two THEN block_pos % 2 ELSE 0 END, y0) - 1 AS reading_pos FROM (
+    SELECT *, count(*) FILTER (WHERE block_pos % 2 = 1) OVER w > 0 AND coalesce(max(x1) FILTER (WHERE block_pos % 2 = 0) OVER w, 0) >= 0.18::DOUBLE * 640 AS two FROM {rows} WINDOW w AS (PARTITION BY doc_id, page_index))"""
+ORACLE["reading_order"] = layout("regions", _order.format(cols="doc_id, page_index, region_pos", rows="regions"))
+_placed = """SELECT *, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY late, block_pos) - 1 AS region_pos FROM (
+    SELECT a.doc_id, a.page_index, a.block_pos, a.y0, a.x1, coalesce(r.region_class, 'figure') AS region_class, CASE WHEN r.block_id IS NULL THEN 1 ELSE 0 END AS late FROM every a LEFT JOIN regions r ON r.block_id = a.block_id)"""
+ORACLE["page_regions"] = with_(None, _order.format(cols="doc_id, page_index, region_pos, region_class", rows="placed"), {
+    **{k: _blocks8[k] for k in list(LAYOUT)[: list(LAYOUT).index("regions") + 1]},
+    "whole": LAYOUT["said"],
+    "every": LAYOUT["blocks"].replace("FROM said", "FROM whole"),
+    "placed": _placed,
+})

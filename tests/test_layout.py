@@ -130,3 +130,82 @@ def test_dominant_style_and_blank_spans(spark):
 def test_iou_of_boxes(spark):
     row = spark.range(1).select(F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(2.0).alias("x1"), F.lit(2.0).alias("y1")).alias("a"), F.struct(F.lit(1.0).alias("x0"), F.lit(1.0).alias("y0"), F.lit(3.0).alias("x1"), F.lit(3.0).alias("y1")).alias("b"))
     assert row.select(iou(F.col("a"), F.col("b"))).first()[0] == pytest.approx(1 / 7)
+
+
+def test_order_rules_on_random_pages():
+    """What must hold on any page: nothing is lost, full-width boxes come top down and split what is clear of them."""
+    rng = random.Random(5)
+    for _ in range(300):
+        boxes = []
+        for k in range(rng.randrange(1, 16)):
+            x0, y0 = rng.choice([20, 210, 310, 400]) + rng.randrange(10), rng.randrange(800)
+            boxes.append(P.Box(k, x0, y0, min(W, x0 + rng.choice([80, 180, 250, 520])), y0 + rng.randrange(5, 60)))
+        order = P.order_page(boxes, W)
+        assert sorted(order) == sorted(b.key for b in boxes)
+        place = {k: i for i, k in enumerate(order)}
+        full = sorted((b for b in boxes if b.width / W >= P.FULL), key=lambda b: (b.y0, b.x0))
+        if len(boxes) > 1:
+            assert [place[f.key] for f in full] == sorted(place[f.key] for f in full)
+        rest = [b for b in boxes if b not in full]
+        straddles = lambda b: any(b.y0 < f.y0 - P.SLACK and b.y1 > f.y0 + P.SLACK for f in full)
+        for b in rest:
+            for f in full:
+                if b.y1 <= f.y0 and all(g.y1 <= b.y0 or g.y0 >= b.y1 for g in full):
+                    assert place[b.key] < place[f.key] or straddles(b)
+
+
+def test_columns_are_read_one_after_the_other():
+    rng = random.Random(6)
+    for _ in range(100):
+        left = [P.Box(k, 20, y, 270, y + 10) for k, y in enumerate(rng.sample(range(0, 800, 20), 5))]
+        right = [P.Box(10 + k, 310, y, 560, y + 10) for k, y in enumerate(rng.sample(range(0, 800, 20), 5))]
+        boxes = left + right
+        rng.shuffle(boxes)
+        want = [b.key for part in (left, right) for b in sorted(part, key=lambda b: b.y0)]
+        assert P.order_page(boxes, W) == want
+
+
+def test_hulls_of_random_drawings():
+    """Hulls cover all boxes, none is near another, and boxes far from all others stay alone."""
+    rng = random.Random(7)
+    inside = lambda b, h: h[0] <= b[0] and h[1] <= b[1] and b[2] <= h[2] and b[3] <= h[3]
+    for _ in range(200):
+        boxes = []
+        for _ in range(rng.randrange(1, 20)):
+            x, y = rng.randrange(500), rng.randrange(700)
+            boxes.append((float(x), float(y), float(x + rng.randrange(1, 80)), float(y + rng.randrange(1, 80))))
+        hulls = P.cluster_boxes(boxes)
+        assert all(sum(inside(b, h) for h in hulls) >= 1 for b in boxes)
+        assert not any(P.close(a, b, P.NEAR) for i, a in enumerate(hulls) for b in hulls[:i])
+        for b in boxes:
+            if boxes.count(b) == 1 and not any(P.close(b, h, P.NEAR) for h in hulls if h != b):
+                assert any(inside(b, h) for h in hulls)
+        corners = {(min(b[0] for b in boxes if inside(b, h)), min(b[1] for b in boxes if inside(b, h)), max(b[2] for b in boxes if inside(b, h)), max(b[3] for b in boxes if inside(b, h))) for h in hulls}
+        assert corners == set(hulls)
+
+
+def test_figures_that_repeat_an_earlier_one():
+    rng = random.Random(8)
+    for _ in range(200):
+        figures = []
+        for _ in range(rng.randrange(1, 12)):
+            x, y = rng.randrange(100), rng.randrange(100)
+            figures.append((float(x), float(y), float(x + rng.randrange(1, 90)), float(y + rng.randrange(1, 90))))
+        kept = P.keep_distinct(figures)
+        share = lambda a, b: P.common(a, b) / min(P.size(a), P.size(b))
+        for k, f in enumerate(figures):
+            assert (k in kept) == all(share(f, figures[j]) <= P.SAME for j in kept if j < k)
+
+
+def test_blocks_of_pages_without_regions(spark):
+    blocks = page(spark, [("a", 0, 0, 10, 10, 11.0, False, 0), ("b", 0, 0, 10, 10, 11.0, False, 1)])
+    regions = L.detect(blocks).where("page_index = 0")
+    found = L.align(blocks, regions)
+    assert [r.block_id for r in L.unassigned(blocks, found).collect()] == ["b1"] and found.count() == 1
+
+
+def test_backends():
+    assert L.resolve_backend("auto") == "heuristic" and L.resolve_backend("auto", iter) == "external" and L.resolve_backend("heuristic", iter) == "heuristic"
+    for wrong in (("other", None), ("external", None)):
+        with pytest.raises(ValueError):
+            L.resolve_backend(*wrong)

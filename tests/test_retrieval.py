@@ -2,6 +2,7 @@
 
 import math
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -221,7 +222,18 @@ def test_json_round_trip(spark, tmp_path):
 def test_index_round_trip(spark, small, tmp_path):
     index = V.build_index(G.distinct_nodes(D.nodes(spark, small)))
     J.write_index(index, str(tmp_path / "index"))
-    assert J.read_index(spark, str(tmp_path / "index")).count() == index.count()
+    rows, none = J.read_index(spark, str(tmp_path / "index"))
+    assert rows.count() == index.count() and none is None
+    clustered, centroids = V.cluster(index, 5)
+    J.write_index(clustered, str(tmp_path / "lists"), "ivf", centroids)
+    rows, got = J.read_index(spark, str(tmp_path / "lists"))
+    assert (got == centroids).all() and rows.count() == index.count()
+    q = D.queries(spark, small).withColumn("role_filter", F.lit(None).cast("string"))
+    find = lambda *a, **kw: {(r.query_id, r.node_id, r.rank) for r in V.search(*a, **kw).collect()}
+    assert find(rows, q, centroids=got) == find(index, q)
+    shutil.rmtree(tmp_path / "lists" / "centroids")
+    with pytest.raises(Exception):
+        J.read_index(spark, str(tmp_path / "lists"))
 
 
 def test_roles_of_all_blocks(spark, small):
@@ -229,3 +241,86 @@ def test_roles_of_all_blocks(spark, small):
 
     ids = lambda df: sorted(r.block_id for r in df.select("block_id").collect())
     assert ids(QUERIES["role_classify"](spark, small)) == ids(D.blocks(spark, small))
+
+
+def test_from_blocks_to_answers(spark, small, tmp_path, monkeypatch):
+    """Text ids, figures, a clustered index with stored centroids, and questions without vectors."""
+    blocks = D.blocks(spark, small).where("doc_id < 40")
+    picture = F.col("block_pos") % 9 == 8
+    monkeypatch.setattr(T, "EXACT_ROWS", 50)
+    corpus = P.build_from_blocks(blocks.where(~picture), str(tmp_path / "corpus"), blocks.where(picture))
+    assert corpus.kind == "ivf" and len(corpus.centroids) == T.MAX_LISTS and corpus.size == corpus.index.count() > 50
+    assert corpus.nodes.count() == blocks.count() and corpus.nodes.select("text_id").distinct().count() == blocks.count()
+    bank = E.query_bank(spark).select("query_id", "query")
+    found = corpus.retrieve(bank)
+    exact = V.search(corpus.index, P.encode_queries(bank).withColumn("role_filter", F.lit(None).cast("string")))
+    ids = lambda df: {(r.query_id, r.node_id) for r in df.select("query_id", "node_id").collect()}
+    assert ids(found.seeds) == ids(exact)
+    assert ids(found.top_nodes(2)) <= ids(found.ranked) and found.top_nodes(1).count() == bank.count()
+    answers = corpus.ask(bank).collect()
+    assert len(answers) == bank.count() and all(r.answer and r.error is None for r in answers)
+    with pytest.raises(ValueError):
+        P.build(corpus.nodes.withColumn("node_id", F.col("text_id")), str(tmp_path / "x"), links=corpus.edges)
+    written = J.semantic_documents(corpus.nodes)
+    assert "embedding" not in written.schema.simpleString()
+    J.write_json(written, str(tmp_path / "semantic"))
+    back = J.semantic_nodes(J.read_semantic(spark, str(tmp_path / "semantic"), required=True, lines=True))
+    assert back.count() == corpus.nodes.count()
+
+
+def test_wrappers_are_overrides(spark, small, tmp_path):
+    corpus = P.build(D.nodes(spark, small), str(tmp_path / "corpus"), G.link_captions(D.links_input(spark, small)), F.col("region_class").isin("title", "abstract"))
+    q = D.queries(spark, small).drop("role_filter")
+    rows = lambda r: sorted(tuple(x) for x in r.ranked.select("query_id", "node_id", "final_rank", "final_score").collect())
+    for name, wrapper in (("figure", R.retrieve_figure), ("definition", R.retrieve_definition)):
+        one = wrapper(corpus.index, corpus.nodes, corpus.edges, q)
+        other = R.retrieve(corpus.index, corpus.nodes, corpus.edges, q.withColumn("intent_override", F.lit(name)))
+        assert rows(one) == rows(other) and {r.intent_source for r in one.queries.collect()} == {"override"}
+
+
+def test_comparison_goes_on_after_an_error(spark):
+    q = spark.createDataFrame([(1, [10], ["R"]), (2, [], [])], "query_id long, relevant_ids array<long>, relevant_roles array<string>")
+
+    def broken(queries):
+        raise RuntimeError("no index")
+
+    good = lambda queries: queries.select("query_id", (F.col("query_id") * 10).alias("node_id"), F.lit("X").alias("role"), F.lit(1).alias("rank"))
+    found = E.compare(q, {"good": good, "broken": broken})
+    assert found.errors == {"broken": "no index"}
+    got = {(r.system, r.k): r for r in found.reports.collect()}
+    assert got["good", 5].mean_rr == 0.5 and got["broken", 5].mean_rr == 0 and got["broken", 10].n_queries == 2
+    assert all(r.mean_latency_ms >= 0 for r in got.values())
+
+
+def test_answers_in_pieces(spark):
+    prompts = spark.createDataFrame([(1, "a b"), (2, "bad")], "query_id long, prompt string")
+
+    def words(rules, prompt, temperature=0.1):
+        for w in prompt.split():
+            if w == "bad":
+                raise RuntimeError("cut off")
+            yield f"{w}@{temperature}"
+
+    got = sorted(tuple(r) for r in Q.stream(prompts, words, temperature=0.7).collect())
+    assert got == [(1, 0, "a@0.7", None), (1, 1, "b@0.7", None), (2, 0, "", "cut off")]
+    hot = lambda rules, prompt, temperature=0.1: str(temperature)
+    assert {r.response for r in Q.generate(prompts, hot, temperature=0.9).collect()} == {"0.9"} and {r.response for r in Q.generate(prompts, hot).collect()} == {"0.1"}
+
+
+def test_roles_by_a_plain_softmax(spark, small):
+    import numpy as np
+
+    rows = [(r.block_id, r.text) for r in D.blocks(spark, small).where("doc_id < 20").collect()]
+    model = S.RoleModel(spark)
+    got = {r.block_id: (r.scholarly_role, r.role_confidence) for r in model.classify(S.encode(spark.createDataFrame([(*r, "paragraph") for r in rows], "block_id string, text string, region_class string"))).collect()}
+    z = S.hashed_vectors([t for _, t in rows]).astype(float) @ model.weights.T + model.bias
+    for (block, text), row in zip(rows, z):
+        p = np.exp(row - row.max()) / np.exp(row - row.max()).sum()
+        role, confidence = got[block]
+        assert confidence == (pytest.approx(p.max(), abs=1e-4) if text.strip() else 0.0)
+        assert not text.strip() or p[model.roles.index(role)] == pytest.approx(p.max(), abs=1e-9)
+    # At the optimum, the gradient of the mean loss with its penalty is 0.
+    x, y = S.hashed_vectors([t for t, _ in S.CORPUS]).astype(float), np.array([model.roles.index(r) for _, r in S.CORPUS])
+    e = np.exp(x @ model.weights.T + model.bias)
+    e = e / e.sum(axis=1, keepdims=True) - np.eye(len(model.roles))[y]
+    assert np.abs(e.T @ x / len(y) + model.weights / len(y)).max() < 1e-3

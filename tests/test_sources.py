@@ -23,6 +23,11 @@ def test_pdfs_go_through_a_parser(spark, tmp_path):
     got = B.extract(X.read_pdfs(spark, str(tmp_path), parser)).collect()
     assert [(r.doc_id, r.text, r.style.is_bold) for r in got] == [("my_paper__1_", "one", True)]
 
+    with pytest.raises(ValueError, match="no PDF"):
+        X.read_pdfs(spark, str(tmp_path), parser, only_pdfs=True)
+    with pytest.raises(Exception):
+        X.read_pdfs(spark, str(tmp_path / "nowhere"), parser).collect()
+
     def broken(content):
         raise RuntimeError("no")
 
@@ -30,6 +35,15 @@ def test_pdfs_go_through_a_parser(spark, tmp_path):
         X.read_pdfs(spark, str(tmp_path), broken).collect()
 
 
+def test_images_of_pages_and_figures(spark):
+    pages = spark.createDataFrame([("d", 3, bytearray(b"pdf"))], "doc_id string, page_index int, content binary")
+    got = X.rasterise(pages, lambda content, page, zoom: content + f"-{page}-{zoom:.2f}".encode(), dpi=144.0).first()
+    assert (bytes(got.image), got.scale) == (b"pdf-3-2.00", 0.5)
+    figures = spark.createDataFrame([("d", 3, "f", (1.0, 2.0, 3.0, 4.0), bytearray(b"pdf"))], "doc_id string, page_index int, block_id string, bbox struct<x0:double,y0:double,x1:double,y1:double>, content binary")
+    got = X.crop_figures(figures, lambda content, page, zoom, box: repr(box).encode(), dpi=72.0).first()
+    assert (got.block_id, bytes(got.image), got.scale) == ("f", b"(1.0, 2.0, 3.0, 4.0)", 1.0)
+
+
 def test_words_of_images(spark):
     pages = spark.createDataFrame([("d", 0, bytearray(b"x"), 0.5)], "doc_id string, page_index int, image binary, scale double")
     reader = lambda image: [{"block_num": 1, "text": t, "conf": c, "left": 10.0 * k, "top": 0.0, "width": 8.0, "height": 4.0} for k, (t, c) in enumerate([("a", 90.0), (" ", 90.0), ("b", -1.0), ("c", 70.0)])]
@@ -47,16 +61,18 @@ def test_chat_service():
     calls = []
 
     class Handler(BaseHTTPRequestHandler):
-        def _say(self, code, body):
+        def _say(self, code, *bodies):
             self.send_response(code)
             self.end_headers()
-            self.wfile.write(json.dumps(body).encode())
+            self.wfile.write(b"\n".join(json.dumps(b).encode() for b in bodies))
 
         def do_GET(self):
             self._say(200, {"models": [{"name": "small:8b"}]})
 
         def do_POST(self):
             calls.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            if calls[-1]["stream"]:
+                return self._say(200, *({"message": {"content": x}} for x in ("hel", "", "lo")), {"done": True})
             self._say(500 if len(calls) == 1 else 200, {"message": {"content": "hello"}})
 
         def log_message(self, *_):
@@ -69,6 +85,8 @@ def test_chat_service():
     assert chat.healthy() and not X.ChatService(url, "other").healthy()
     assert chat("rules", "prompt") == "hello" and len(calls) == 2
     assert [m["role"] for m in calls[0]["messages"]] == ["system", "user"]
+    assert list(chat.stream("rules", "prompt", temperature=0.8)) == ["hel", "lo"] and calls[-1]["options"] == {"temperature": 0.8}
+    assert chat("rules", "prompt", temperature=0.5) and calls[-1]["options"] == {"temperature": 0.5} and chat.temperature == 0.1
     server.shutdown()
     server.server_close()
     assert not chat.healthy()

@@ -51,9 +51,11 @@ HISTORY = START + 1
 PAIRS, INNER = 8192, 8192
 #: The hash of the end token; no word's hash is looked up under another name.
 END = U(0x454E44)
-#: Tokens that are taken at once.
-STEP = 8192
+#: Tokens that are taken at once, and of a round's task at least (what it hands on is as large as all weights).
+STEP, TASK = 1 << 14, 1 << 19
 PIECE = 1 << 15
+#: No weight goes further than this, so that the exponential of a sum of them fits.
+FURTHEST = 20.0
 ROUNDS, RATE, PRIOR = 4, 0.4, 6.0
 
 
@@ -210,10 +212,14 @@ class Tokens:
         return (node * 1361 + self.prev[token] * 2654435761) % INNER, INNER + (node * 1847 + self.skip[token] * 2246822519) % INNER
 
 
-def log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+def add_rows(z: np.ndarray, table: np.ndarray, rows: np.ndarray) -> None:
+    z += np.take(table, rows, axis=0, mode="clip")
+
+
+def exp_sums(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of sums of weights and logs, which all fit, and their sums by row."""
+    e = np.exp(z)
+    return e, np.einsum("ij->i", e)
 
 
 class MaxEnt:
@@ -226,68 +232,75 @@ class MaxEnt:
         self.class_w, self.node_w = np.zeros(self.CLASS, np.float32), np.zeros(self.NODE, np.float32)
 
     def classes(self, rows: tuple[np.ndarray, ...]) -> np.ndarray:
-        """Natural logs of the probabilities of all classes, for some histories."""
-        z = self.class_w[rows[0]]
+        """Natural logs of the weights of all classes, up to a constant of each row, for some histories."""
+        z = np.take(self.class_w, rows[0], axis=0, mode="clip")
         for x in rows[1:]:
-            z += self.class_w[x]
+            add_rows(z, self.class_w, x)
         z += self.vocab.class_log
-        return log_softmax(z)
+        return z
 
     def nodes(self, rows: tuple[np.ndarray, ...], node: np.ndarray) -> np.ndarray:
         """And of all branches of some nodes."""
-        z = self.vocab.node_log[node]
+        z = np.take(self.vocab.node_log, node, axis=0, mode="clip")
         for x in rows:
-            z += self.node_w[x]
-        return log_softmax(z)
+            add_rows(z, self.node_w, x)
+        return z
 
     def score(self, t: Tokens) -> np.ndarray:
-        """Natural log of each token's path."""
+        """Natural log of the probability of each token's path."""
         out = np.empty(len(t.hash))
         for lo in range(0, len(out), STEP):
             hi = min(len(out), lo + STEP)
-            out[lo:hi] = self.classes(t.class_rows(lo, hi))[np.arange(hi - lo), t.klass[lo:hi]]
+            z = self.classes(t.class_rows(lo, hi))
+            out[lo:hi] = z[np.arange(hi - lo), t.klass[lo:hi]] - np.log(exp_sums(z)[1])
         down = np.empty(len(t.token))
         for lo in range(0, len(down), STEP):
             hi = min(len(down), lo + STEP)
-            down[lo:hi] = self.nodes(t.node_rows(lo, hi), t.node[lo:hi])[np.arange(hi - lo), t.branch[lo:hi]]
+            z = self.nodes(t.node_rows(lo, hi), t.node[lo:hi])
+            down[lo:hi] = z[np.arange(hi - lo), t.branch[lo:hi]] - np.log(exp_sums(z)[1])
         return out + np.bincount(t.token, down, len(out))
 
 
 class Gradient:
-    """Sums over tokens: what the model expects less what is there, and what it expects, of all weights."""
+    """Sums over tokens: what the model expects less what is there, and what it expects, of all weights.
+
+    A row of these tables is a class or branch, a column a feature: the weights' tables lie the other way.
+    """
 
+    #: Where the columns of each feature of a class begin, and how many there are.
+    PARTS = ((0, HISTORY), (HISTORY, HISTORY), (2 * HISTORY, PAIRS))
     SIZES = (MaxEnt.CLASS[0] * MaxEnt.CLASS[1], MaxEnt.CLASS[0], MaxEnt.NODE[0] * MaxEnt.NODE[1], MaxEnt.NODE[0] * MaxEnt.NODE[1])
 
     def __init__(self):
-        self.class_g, self.class_n = np.zeros(MaxEnt.CLASS), np.zeros(MaxEnt.CLASS[0])
-        self.node_g, self.node_e = np.zeros(MaxEnt.NODE), np.zeros(MaxEnt.NODE)
+        self.class_g, self.class_n = np.zeros(MaxEnt.CLASS[::-1]), np.zeros(MaxEnt.CLASS[0])
+        self.node_g, self.node_e = np.zeros(MaxEnt.NODE[::-1]), np.zeros(MaxEnt.NODE[::-1])
         self.tokens = 0
 
     @staticmethod
-    def _scatter(total: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
-        rows = rows.astype(np.uint16)
-        order = np.argsort(rows, kind="stable")
-        rows = rows[order]
-        head = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        total[rows[head]] += np.add.reduceat(g[order], head, axis=0)
+    def _scatter(total: np.ndarray, rows: np.ndarray, first: int, count: int, g: np.ndarray) -> None:
+        rows = rows - first
+        for k, values in enumerate(g):
+            total[k, first : first + count] += np.bincount(rows, values, count)
 
     def add(self, model: MaxEnt, t: Tokens) -> None:
         self.tokens += len(t.hash)
         for lo in range(0, len(t.hash), STEP):
             hi = min(len(t.hash), lo + STEP)
             rows = t.class_rows(lo, hi)
-            g = np.exp(model.classes(rows))
-            g[np.arange(hi - lo), t.klass[lo:hi]] -= 1
-            for x in rows:
-                self._scatter(self.class_g, x, g)
-                self.class_n += np.bincount(x, minlength=len(self.class_n))
+            e, total = exp_sums(model.classes(rows))
+            g = np.ascontiguousarray((e / total[:, None]).T)
+            g[t.klass[lo:hi], np.arange(hi - lo)] -= 1
+            for x, (first, count) in zip(rows, self.PARTS):
+                self._scatter(self.class_g, x, first, count, g)
+                self.class_n[first : first + count] += np.bincount(x - first, minlength=count)
         for lo in range(0, len(t.token), STEP):
             hi = min(len(t.token), lo + STEP)
-            rows = t.node_rows(lo, hi)
-            e = np.exp(model.nodes(rows, t.node[lo:hi]))
-            for x in rows:
-                self._scatter(self.node_e, x, e)
-                np.subtract.at(self.node_g.reshape(-1), x * BRANCH + t.branch[lo:hi], 1.0)
+            rows, branch = t.node_rows(lo, hi), t.branch[lo:hi]
+            e, total = exp_sums(model.nodes(rows, t.node[lo:hi]))
+            g = np.ascontiguousarray((e / total[:, None]).T)
+            for k, x in enumerate(rows):
+                self._scatter(self.node_e, x, k * INNER, INNER, g)
+                np.subtract.at(self.node_g.reshape(-1), branch * (2 * INNER) + x, 1.0)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.reshape(-1) for x in (self.class_g, self.class_n, self.node_g + self.node_e, self.node_e)])
@@ -297,9 +310,10 @@ class Gradient:
         """One update of all weights. A step is the gradient over the feature's own expectation, on a log scale,
         so that rare features learn as fast as common ones and none leaps."""
         class_g, class_n, node_g, node_e = np.split(flat, np.cumsum(cls.SIZES)[:-1])
-        expect = class_n[:, None] * np.exp(model.vocab.class_log.astype(np.float64)) + PRIOR
-        for w, g, e in ((model.class_w, class_g.reshape(MaxEnt.CLASS), expect), (model.node_w, node_g.reshape(MaxEnt.NODE), node_e.reshape(MaxEnt.NODE) + PRIOR)):
-            w -= (rate * np.sign(g) * np.log1p(np.abs(g) / e)).astype(np.float32)
+        expect = np.exp(model.vocab.class_log.astype(np.float64))[:, None] * class_n + PRIOR
+        for w, g, e in ((model.class_w, class_g.reshape(MaxEnt.CLASS[::-1]), expect), (model.node_w, node_g.reshape(MaxEnt.NODE[::-1]), node_e.reshape(MaxEnt.NODE[::-1]) + PRIOR)):
+            w -= (rate * np.sign(g) * np.log1p(np.abs(g) / e)).T.astype(np.float32)
+            np.clip(w, -FURTHEST, FURTHEST, out=w)
 
 
 def _gradients(shared):
@@ -337,13 +351,15 @@ KIND = "piece int, part int, total binary"
 
 def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, rate: float = RATE) -> MaxEnt:
     """The trained model. Each round goes over its lot of the texts, and all texts are in one; the weights have a
-    fixed size (5 MB), and so has what a task hands on (7 MB). Tasks' sums are added up in two steps."""
+    fixed size (5 MB), and so has what a task hands on (7 MB). Tasks' sums are added up in two steps. Small
+    partitions are read together, up to ``TASK`` tokens, so that sums are not more than texts; sums are the same."""
     spark = texts.sparkSession
+    tasks = max(1, -(-vocab.n // (rounds * TASK)))
     model = MaxEnt(vocab)
     lot = F.pmod(F.xxhash64("text"), F.lit(rounds))
     for k in range(rounds):
         shared = spark.sparkContext.broadcast((vocab, model.class_w, model.node_w))
-        rows = texts.where(lot == k).mapInArrow(frugal(_gradients(shared)), KIND)
+        rows = texts.where(lot == k).coalesce(tasks).mapInArrow(frugal(_gradients(shared)), KIND)
         rows = rows.repartition("piece", "part").mapInArrow(frugal(_summed), KIND).repartition("piece").mapInArrow(frugal(_summed), KIND)
         got = sorted((r.piece, bytes(r.total)) for r in rows.collect())
         shared.unpersist()

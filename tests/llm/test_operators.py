@@ -430,8 +430,9 @@ def test_probabilities_add_up():
     model, t, _, rank = small_model()
     prev, skip = t.prev[50], t.skip[50]
     rows = tuple(np.array([x]) for x in (prev, lm.HISTORY + skip, 2 * lm.HISTORY + (prev * 4099 + skip * 7919) % lm.PAIRS))
-    classes, total = np.exp(model.classes(rows))[0], 0.0
-    branch = lambda node: np.exp(model.nodes((np.array([(node * 1361 + prev * 2654435761) % lm.INNER]), np.array([lm.INNER + (node * 1847 + skip * 2246822519) % lm.INNER])), np.array([node])))[0]
+    shares = lambda z: np.exp(z[0]) / np.exp(z[0]).sum()
+    classes, total = shares(model.classes(rows)), 0.0
+    branch = lambda node: shares(model.nodes((np.array([(node * 1361 + prev * 2654435761) % lm.INNER]), np.array([lm.INNER + (node * 1847 + skip * 2246822519) % lm.INNER])), np.array([node])))
     known = {}
     for r in rank.values():
         k, nodes, branches = plain_path(r)
@@ -452,7 +453,7 @@ def test_gradient_of_the_weights():
     sums = lm.Gradient()
     sums.add(model, t)
     rng = np.random.default_rng(1)
-    for w, g in ((model.class_w, sums.class_g), (model.node_w, sums.node_g + sums.node_e)):
+    for w, g in ((model.class_w, sums.class_g.T), (model.node_w, (sums.node_g + sums.node_e).T)):
         for at in np.argwhere(np.abs(g) > 0.5)[rng.integers(0, (np.abs(g) > 0.5).sum(), 8)]:
             at = tuple(at)
             keep, ends = w[at], []
@@ -742,3 +743,50 @@ def test_audio_values_of_a_naive_resampler():
     full = np.concatenate([np.convolve(up, taps), np.zeros(200)])
     want = full[lead : lead + len(up)][:: audio.DOWN]
     assert np.allclose(audio.resample(x)[: len(want)], want, atol=1e-4)
+
+
+def test_links_at_exactly_the_similarity(spark):
+    a = [f"w{k}" for k in range(10)]  # nine shingles of two words
+    texts = [" ".join(a), " ".join([*a[:9], "x"]), " ".join([*a[:8], "y", "z"]), " ".join(a).upper()]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows_of(texts), DOCS), shingle=2).collect()}
+    assert got == {0: (9, 0), 1: (9, 0), 2: (9, 2), 3: (9, 0)}  # 8 of 10; 7 of 11; all
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Nulls, a very long text, repeated rows, one id with two texts, and columns named like what operators add."""
+    rng = random.Random(21)
+    words = [f"word{k}" for k in range(5000)]
+    long = " ".join(rng.choice(words) for _ in range(200_000))
+    rows = [(1, "a short text"), (1, "a short text"), (2, None), (None, "no id"), (None, None), (3, ""), (4, long), (5, "one text"), (5, "another text")] + [(10 + k, " ".join(rng.choice(words) for _ in range(60))) for k in range(20)]
+    extra = [(*r, "x", "y", 1, 2.0, None, 3) for r in rows]
+    return spark.createDataFrame(extra, "doc_id long, text string, row string, score string, id long, rate double, items string, hash long")
+
+
+@pytest.fixture(scope="module")
+def few_labels(spark):
+    return spark.createDataFrame([(10 + k, k % 2, (k + 1) % 2) for k in range(20)] + [(1, 1, 0), (1, 0, 1), (4, 1, 0), (5, 0, 0), (None, None, None)], "doc_id long, quality int, toxic int")
+
+
+OPERATORS = {
+    "op1": lambda d, labels: near_duplicates(d),
+    "op2": lambda d, labels: mixing.mix(d, mixing.label_domains(labels), mixing.TARGETS),
+    "op3": lambda d, labels: decontam.contamination(d, d.select(d.doc_id.alias("item_id"), "text").where("doc_id < 4")),
+    "op4": lambda d, labels: dedup_lines(d),
+    "op5": lambda d, labels: tokens.read_tokens(tokens.write_tokens(d, str(TOKENIZERS.path("word_bpe_49k.json")))),
+    "op7": lambda d, labels: lm.score_texts(d),
+    "op8": lambda d, labels: quality.score_quality(d, quality.train_quality(d, labels)),
+    "op9": lambda d, labels: toxicity.score_toxicity(d, toxicity.train_toxicity(d, labels)),
+    "op10": lambda d, labels: audio.digest(audio.store(audio.audio_columns(d))),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_rows_and_no_rows(spark, clashing, few_labels, name):
+    out = OPERATORS[name](clashing, few_labels)
+    rows = out.collect()
+    assert len(rows) == clashing.count()
+    ids = collections.Counter(r["doc_id"] if "doc_id" in out.columns else r["row"]["doc_id"] for r in rows)
+    assert ids == collections.Counter(r.doc_id for r in clashing.select("doc_id").collect())
+    assert OPERATORS[name](clashing.limit(0), few_labels).count() == 0
+    assert OPERATORS[name](clashing.where("doc_id > 10"), few_labels.limit(0)).count() == 19

@@ -21,6 +21,7 @@ Only words outside the most frequent have to meet their counts through a shuffle
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -316,8 +317,8 @@ class Gradient:
             np.clip(w, -FURTHEST, FURTHEST, out=w)
 
 
-def _gradients(shared):
-    """(piece, part, total): a partition's sums, cut into pieces."""
+def _gradients(shared, groups: int):
+    """(piece, part, total): a partition's sums, cut into pieces; partitions are dealt into groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, class_w, node_w = shared.value
@@ -330,7 +331,7 @@ def _gradients(shared):
         if sums.tokens:
             flat = sums.flat().astype(np.float32)
             pieces = [flat[a : a + PIECE].tobytes() for a in range(0, len(flat), PIECE)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pieces), dtype=np.int32)), pa.array(np.full(len(pieces), TaskContext.get().partitionId() % 32, np.int32)), pa.array(pieces, pa.binary())], names=["piece", "part", "total"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pieces), dtype=np.int32)), pa.array(np.full(len(pieces), TaskContext.get().partitionId() % groups, np.int32)), pa.array(pieces, pa.binary())], names=["piece", "part", "total"])
 
     return run
 
@@ -355,11 +356,12 @@ def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, rate: float
     partitions are read together, up to ``TASK`` tokens, so that sums are not more than texts; sums are the same."""
     spark = texts.sparkSession
     tasks = max(1, -(-vocab.n // (rounds * TASK)))
+    groups = math.isqrt(tasks) + 1  # each of them about as large as there are groups
     model = MaxEnt(vocab)
     lot = F.pmod(F.xxhash64("text"), F.lit(rounds))
     for k in range(rounds):
         shared = spark.sparkContext.broadcast((vocab, model.class_w, model.node_w))
-        rows = texts.where(lot == k).coalesce(tasks).mapInArrow(frugal(_gradients(shared)), KIND)
+        rows = texts.where(lot == k).coalesce(tasks).mapInArrow(frugal(_gradients(shared, groups)), KIND)
         rows = rows.repartition("piece", "part").mapInArrow(frugal(_summed), KIND).repartition("piece").mapInArrow(frugal(_summed), KIND)
         got = sorted((r.piece, bytes(r.total)) for r in rows.collect())
         shared.unpersist()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-BLANK_ENDS = r"^\s+|\s+$"
+BLANKS, BLANK_ENDS = " \t\n\x0b\f\r", r"^\s+|\s+$"
 
 
 def r4(x: Column) -> Column:
@@ -14,7 +14,8 @@ def r4(x: Column) -> Column:
 
 def strip(x: Column) -> Column:
     """Without white space at both ends (trim() takes blanks only)."""
-    return F.regexp_replace(x, BLANK_ENDS, "")
+    late = x.endswith("\x85") | x.endswith("\u2028") | x.endswith("\u2029")  # "$" is before them, too
+    return F.when(late, F.regexp_replace(x, BLANK_ENDS, "")).otherwise(F.btrim(x, F.lit(BLANKS)))
 
 
 def md5_id(*parts: Column | str) -> Column:
@@ -86,4 +87,5 @@ def scale_box(b: Column, image_w: Column, image_h: Column, page_w: Column, page_
 def char_share(text: Column, chars: str) -> Column:
     """Share of a text's characters that are in ``chars``."""
     n = F.length(text)
-    return F.when(n > 0, (n - F.length(F.translate(text, chars, ""))) / n).otherwise(0.0)
+    none = F.lit(False) if any(map(str.isascii, chars)) else n == F.octet_length(text)
+    return F.when(none, 0.0).when(n > 0, (n - F.length(F.translate(text, chars, ""))) / n).otherwise(0.0)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import tables as T
 from ..functions.scalar import dot, r4
 from ..sources.staging import saved
-from .vector import is_noise
+from .vector import cosines, is_noise
 
 
 def distinct_nodes(nodes: DataFrame) -> DataFrame:
@@ -215,9 +215,10 @@ def link_captions(regions: DataFrame, weight: float = T.REFERENCE_WEIGHT, top_k:
     cap = regions.where("region_class = 'caption'").select("doc", F.col("node_id").alias("caption_id"), F.col("page").alias("cp"), typed_references(F.col("text")).alias("refs"), F.col("embedding").alias("ce"), F.col("node_seq").alias("cs"))
     tgt = regions.where(F.col("region_class").isin(*T.FIGURE_CLASSES, *T.TABLE_CLASSES)).select("doc", F.col("node_id").alias("target_id"), F.col("page").alias("tp"), kind.alias("tk"), F.col("embedding").alias("te"), F.col("node_seq").alias("ts"))
     named = F.exists("refs", lambda r: r["kind"] == F.col("tk"))
+    packed = dict(regions.dtypes)["embedding"] == "binary"
     s_ref = F.when(named & (F.col("cp") == F.col("tp")), 1.0).when(named, 0.3).otherwise(0.0)
     n = F.sqrt(dot(F.col("ce"), F.col("ce"))) * F.sqrt(dot(F.col("te"), F.col("te")))
-    s_emb = (F.when(n > 0, dot(F.col("ce"), F.col("te")) / n).otherwise(0.0) + 1) / 2
+    s_emb = ((cosines(F.col("ce"), F.col("te")) if packed else F.when(n > 0, dot(F.col("ce"), F.col("te")) / n).otherwise(0.0)) + 1) / 2
     both = cap.join(tgt, "doc").withColumn("r", s_ref).withColumn("e", s_emb)
     both = both.select("doc", "caption_id", "target_id", "cs", "ts", r4(F.col("r")).alias("s_ref"), r4(F.col("e")).alias("s_emb"), r4(weight * F.col("r") + (1 - weight) * F.col("e")).alias("s_link"))
     rank = F.row_number().over(W.partitionBy("doc", "caption_id").orderBy(F.col("s_link").desc(), "ts"))

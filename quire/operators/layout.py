@@ -10,9 +10,10 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import tables as T
-from ..functions.scalar import char_share, iou, md5_id, overlap_score, r4, strip, width
+from ..functions.scalar import BLANKS, char_share, iou, md5_id, overlap_score, r4, strip, width
 
 PAGE = ("doc_id", "page_index")
+DIGITS = "0123456789"
 
 
 def page_median_font(blocks: DataFrame) -> DataFrame:
@@ -28,7 +29,8 @@ def page_context(blocks: DataFrame) -> DataFrame:
     multiply; whatever else needs the page (a position in it) finds them there.
     """
     b, page = F.col("bbox"), W.partitionBy(*PAGE)
-    caption = F.when(strip(F.col("text")).rlike(T.TABLE_CAPTION), F.struct(b["y0"].alias("y0"), b["y1"].alias("y1")))
+    said = strip(F.col("text"))
+    caption = F.when(_begins(said, "tT") & said.rlike(T.TABLE_CAPTION), F.struct(b["y0"].alias("y0"), b["y1"].alias("y1")))
     out = blocks.select("*", F.sort_array(F.collect_list("font_size").over(page)).alias("_sizes"), F.collect_list(caption).over(page).alias("_caps"))
     middle = F.try_element_at("_sizes", (F.floor(F.size("_sizes") / 2) + 1).cast("int"))
     near = F.exists("_caps", lambda c: (b["y0"] > c["y0"]) & (b["y0"] - c["y1"] < 40))
@@ -40,6 +42,11 @@ def near_table_caption(blocks: DataFrame) -> DataFrame:
     return page_context(blocks).drop("median_font")
 
 
+def _begins(text: Column, letters: str) -> Column:
+    """Whether the first letter is one of these: a cheap look before a pattern that only fits at the start."""
+    return F.left(text, F.lit(1)).isin(*letters)
+
+
 def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n", -1), lambda x: strip(x) != "")
 
@@ -51,18 +58,19 @@ def is_table(text: Column, near_caption: Column) -> Column:
 
     lines = _lines(text)
     grid = F.size(F.filter(lines, lambda x: x.rlike(T.TABLE_ROW)))
-    return (F.size(lines) > 0) & ((grid >= 2) | (F.size(F.filter(lines, data_row)) >= 2) | near_caption)
+    several = text.contains("\n")  # most blocks are one line, which can't have two rows
+    return text.rlike(r"\S") & ((several & ((grid >= 2) | (F.size(F.filter(lines, data_row)) >= 2))) | near_caption)
 
 
 def is_reference(text: Column, bold: Column) -> Column:
     words = F.size(F.filter(F.split(text, r"\s+"), lambda t: t != ""))
-    return text.rlike(T.REFERENCE_BRACKET) | (text.rlike(T.REFERENCE_NUMBERED) & ~(bold & (words <= 8)))
+    return (_begins(text, "[" + BLANKS) & text.rlike(T.REFERENCE_BRACKET)) | (_begins(text, DIGITS) & text.rlike(T.REFERENCE_NUMBERED) & ~(bold & (words <= 8)))
 
 
 def is_list(text: Column) -> Column:
     lines = F.split(text, "\n", -1)
     bullets = F.size(F.filter(lines, lambda x: x.rlike(T.BULLET)))
-    return (bullets >= 2) | ((bullets == 1) & (F.size(lines) == 1))
+    return F.when(text.contains("\n"), bullets >= 2).otherwise(_begins(text, BLANKS + "-•◦▪▸*" + DIGITS) & text.rlike(T.BULLET))
 
 
 def classify(blocks: DataFrame) -> DataFrame:
@@ -72,19 +80,19 @@ def classify(blocks: DataFrame) -> DataFrame:
     median, page = F.col("median_font"), F.col("page_index")
     size = F.when(F.coalesce("font_size", F.lit(0.0)) == 0, median).otherwise(F.col("font_size"))
     bold = F.coalesce("is_bold", F.lit(False))
-    short, numbered = F.length(text) < 150, text.rlike(T.SECTION_NUMBER)
+    short, numbered = F.length(text) < 150, _begins(text, "IVX" + DIGITS) & text.rlike(T.SECTION_NUMBER)
     heading = short & ((bold & numbered) | (bold & (size >= median * 1.15)) | ((size >= median * 1.20) & numbered))
     out = (
         F.when(bold & (size >= median * 1.4) & (b["y0"] < h * 0.40) & (page <= 1) & short, "title")
         .when(b["y1"] <= h * 0.09, "header")
         .when((b["y0"] >= h - h * 0.10) | ((b["y0"] >= h * 0.85) & text.rlike(T.PAGE_NUMBER) & (width(b) <= 50)), "footer")
-        .when(text.rlike(T.CAPTION), "caption")
+        .when(_begins(text, "fFtTaA") & text.rlike(T.CAPTION), "caption")
         .when(char_share(text, T.MATH_CHARS) > 0.06, "equation")
-        .when((page <= 1) & text.rlike(T.ABSTRACT), "abstract")
+        .when((page <= 1) & _begins(text, "aA") & text.rlike(T.ABSTRACT), "abstract")
         .when(heading, "title")
         .when(is_table(text, F.col("near_table_caption")), "table")
         .when(is_reference(text, bold), "reference")
-        .when(F.lower(text).startswith("algorithm") & (F.length(text) > 30), "algorithm")
+        .when(F.lower(F.left(text, F.lit(9))).startswith("algorithm") & (F.length(text) > 30), "algorithm")
         .when(is_list(text), "list")
         .otherwise("paragraph")
     )
@@ -95,8 +103,9 @@ def region_id(doc: Column, page: Column, seq: Column, source: str = "layout") ->
     return md5_id(doc, f"::{source}::p", page, "::r", seq)
 
 
-def detect(blocks: DataFrame, figures: DataFrame | None = None) -> DataFrame:
-    """Regions of all pages: classified blocks in their order, then figures. Blocks are shuffled once, by page.
+def detect(blocks: DataFrame, figures: DataFrame | None = None, by_document: bool = False) -> DataFrame:
+    """Regions of all pages: classified blocks in their order, then figures. Blocks are shuffled once, by page, or by
+    document where later steps of the same plan need all of a document.
 
     The order of reading is a step of its own (pages.reading_order).
     """
@@ -104,7 +113,7 @@ def detect(blocks: DataFrame, figures: DataFrame | None = None) -> DataFrame:
     rows = blocks.select(*PAGE, F.col("block_pos").alias("pos"), late, "text", "bbox", "font_size", "is_bold", F.col("block_id").cast("string").alias("block_id"), "page_width", "page_height")
     if figures is not None:  # they have no text or size, so the page's median and captions are those of its blocks
         rows = rows.unionByName(figures.select(*PAGE, F.col("block_pos").alias("pos"), F.lit(1).alias("late"), "bbox", F.col("block_id").cast("string").alias("block_id"), "page_width", "page_height"), allowMissingColumns=True)
-    rows = page_context(rows).withColumn("region_pos", F.row_number().over(W.partitionBy(*PAGE).orderBy("late", "pos")) - 1)
+    rows = page_context(rows.repartition("doc_id") if by_document else rows).withColumn("region_pos", F.row_number().over(W.partitionBy(*PAGE).orderBy("late", "pos")) - 1)
     figure = F.col("late") == 1
     rows = classify(rows).withColumn("region_class", F.when(figure, "figure").otherwise(F.col("region_class")))
     return rows.select(

@@ -97,29 +97,31 @@ def order_page(boxes: list[Box], page_width: float, gap: float = 18.0) -> list[i
     return keys + [b.key for b in lost]
 
 
-def reading_order(regions: DataFrame, gap: float = 15.0) -> DataFrame:
-    """(doc_id, page_index, region_pos, reading_pos) of all pages.
+def page_orders(regions: DataFrame, gap: float = 15.0) -> DataFrame:
+    """(doc_id, page_index, places): each page's region_pos in reading order.
 
     A page is one row with an array of its boxes, so that a batch holds many pages.
     """
-    kind = f"doc_id {regions.schema['doc_id'].dataType.simpleString()}, page_index int, region_pos int, reading_pos int"
+    kind = f"doc_id {regions.schema['doc_id'].dataType.simpleString()}, page_index int, places array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, pages, keys, places = [], [], [], []
-            for doc, page, width, boxes in zip(*(c.to_pylist() for c in batch.columns)):
-                order = order_page([Box(b["region_pos"], b["x0"], b["y0"], b["x1"], b["y1"]) for b in boxes], width, gap)
-                docs += [doc] * len(order)
-                pages += [page] * len(order)
-                keys += order
-                places += range(len(order))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, batch.column(0).type), *(pa.array(x, pa.int32()) for x in (pages, keys, places))], names=["doc_id", "page_index", "region_pos", "reading_pos"])
+            widths, lists = batch.columns[2:]
+            boxes = list(map(Box, *(c.to_pylist() for c in lists.flatten().flatten())))
+            ends = np.cumsum([0, *lists.value_lengths().to_pylist()]).tolist()
+            places = [order_page(boxes[a:b], width, gap) for width, a, b in zip(widths.to_pylist(), ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "page_index", "places"])
 
     boxes = F.sort_array(F.collect_list(F.struct(F.col("region_pos").cast("int").alias("region_pos"), "bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1")))
     rows = regions.groupBy("doc_id", "page_index").agg(F.first("page_width").alias("page_width"), boxes.alias("boxes"))
     return rows.select("doc_id", F.col("page_index").cast("int").alias("page_index"), "page_width", "boxes").mapInArrow(run, kind)
 
 
+def reading_order(regions: DataFrame, gap: float = 15.0) -> DataFrame:
+    """(doc_id, page_index, region_pos, reading_pos) of all pages."""
+    return page_orders(regions, gap).select("doc_id", "page_index", F.posexplode("places").alias("reading_pos", "region_pos")).select("doc_id", "page_index", "region_pos", "reading_pos")
+
+
 Rect = tuple[float, float, float, float]
 
 

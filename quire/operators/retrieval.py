@@ -54,6 +54,7 @@ def expand(queries: DataFrame, seeds: DataFrame, edges: DataFrame, expand_k: int
     intent = F.when(F.col("intent_used").isin(*T.INTENT_OUT), F.col("intent_used")).otherwise("general")
     s = seeds.join(queries.select("query_id", intent.alias("intent")), "query_id").select("query_id", F.col("node_id").alias("seed_id"), F.col("rank").alias("seed_rank"), "intent").join(follows, "intent")
     way = lambda d, a, b: edges.select(F.lit(d).alias("direction"), F.col(a).alias("seed_id"), F.col(b).alias("node_id"), "relation", "weight", "doc", "edge_seq")
+    s = saved(s, "followed")  # so that its size is known: a few rows go to the edges
     hit = s.join(way(0, "src", "tgt").unionByName(way(1, "tgt", "src")), ["direction", "seed_id", "relation"])
     hit = hit.withColumn("weighted", r4(F.col("weight") * F.col("multiplier"))).where(F.col("weighted") >= T.MIN_GRAPH_SCORE)
     hit = hit.join(seeds.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")

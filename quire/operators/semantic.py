@@ -6,6 +6,7 @@ length. Roles come from a multinomial logistic regression over a small labelled
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import tables as T
+from ..functions.packed import pack
 from ..functions.scalar import r4, strip
 
 DIM = 384
@@ -49,17 +51,72 @@ CORPUS = (
 )
 
 
+def _crc_tables() -> tuple[np.ndarray, np.ndarray]:
+    """CRC-32's table, and for three bytes in a row what each of them adds to their sum (0 bytes add nothing)."""
+    whole = np.array([zlib.crc32(bytes([x])) for x in range(256)], np.uint32)
+    table = whole ^ np.uint32(zlib.crc32(b"\0"))
+    zero = zlib.crc32(b"\0\0\0")
+    three = np.array([[zlib.crc32(bytes(x if k == at else 0 for k in range(3))) ^ zero for x in range(256)] for at in range(3)], np.uint32)
+    three[1] ^= np.uint32(zero)
+    return table, three
+
+
+#: Bytes that str.split() splits ASCII at.
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
+_CRC, _THREE = _crc_tables()
+_THREE[0, _BLANK], _THREE[2, _BLANK] = _THREE[0, ord("<")], _THREE[2, ord(">")]
+#: Words of more bytes are summed one by one.
+LONG_WORD = 64
+
+
+def _step(crc: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    return _CRC[(crc ^ byte) & 0xFF] ^ (crc >> 8)
+
+
+def _hashed_counts(texts: list[str], dim: int) -> np.ndarray:
+    """Signed counts of texts, all at once: a blank before a letter stands for the mark ``<``, one behind for ``>``."""
+    # Other texts may have blanks that are not in the table, so their words are joined by one that is.
+    raw = [(t.lower() if t.isascii() else " ".join(t.lower().split())).encode() for t in texts]
+    b = np.frombuffer(b"\n" + b"\n".join(raw) + b"\n", np.uint8)
+    row = np.repeat(np.arange(len(raw)), [len(t) + 1 for t in raw])  # of each byte but the first
+    lead = np.flatnonzero((b & 0xC0) != 0x80)  # where letters begin
+    letter, width = b[lead], np.diff(lead, append=len(b))
+    blank = _BLANK[letter]
+    mid = np.flatnonzero(~blank)
+    trigram = _THREE[0][letter[mid - 1]] ^ _THREE[1][letter[mid]] ^ _THREE[2][letter[mid + 1]]
+    if len(lead) < len(b):
+        wide = width > 1
+        more = np.flatnonzero(wide[mid - 1] | wide[mid] | wide[mid + 1])
+        crc = np.full(len(more), 0xFFFFFFFF, np.uint32)
+        for shift, mark in ((-1, ord("<")), (0, 0), (1, ord(">"))):
+            at = mid[more] + shift
+            crc = _step(crc, np.where(blank[at], np.uint8(mark), letter[at]))
+            for k in (1, 2, 3):
+                left = np.flatnonzero(width[at] > k)
+                crc[left] = _step(crc[left], b[lead[at[left]] + k])
+        trigram[more] = crc ^ np.uint32(0xFFFFFFFF)
+    start = lead[mid[blank[mid - 1]]]
+    size = lead[mid[blank[mid + 1]] + 1] - start
+    order = np.argsort(-size, kind="stable")
+    start, size = start[order], size[order]
+    word = np.full(len(start), 0xFFFFFFFF, np.uint32)
+    for at in range(min(int(size[0]), LONG_WORD) if len(size) else 0):
+        n = int(np.searchsorted(-size, -at))  # words of more than ``at`` bytes
+        word[:n] = _step(word[:n], b[start[:n] + at])
+    word ^= np.uint32(0xFFFFFFFF)
+    for k in range(int(np.searchsorted(-size, -LONG_WORD))):
+        word[k] = zlib.crc32(b[start[k] : start[k] + size[k]].tobytes())
+    h = np.concatenate([trigram, word])
+    at = row[np.concatenate([lead[mid], start]) - 1] * (2 * dim) + 2 * (h % dim).astype(np.int64) + (h >> 31)
+    n = np.bincount(at, minlength=len(texts) * 2 * dim).reshape(-1, dim, 2)
+    return n[:, :, 1] - n[:, :, 0]
+
+
 def hashed_vectors(texts: list[str], dim: int = DIM) -> np.ndarray:
     """Counts of words and their trigrams in hashed places, scaled to length 1."""
-    import zlib
-
     out = np.zeros((len(texts), dim), np.float32)
-    for k, text in enumerate(texts):
-        for word in text.lower().split():
-            marked = f"<{word}>"
-            for part in (word, *(marked[i : i + 3] for i in range(len(marked) - 2))):
-                h = zlib.crc32(part.encode())
-                out[k, h % dim] += 1.0 if h >> 31 else -1.0
+    for k in range(0, len(texts), 512):
+        out[k : k + 512] = _hashed_counts(texts[k : k + 512], dim)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm == 0, 1, norm)
 
@@ -79,6 +136,14 @@ def encode(df: DataFrame, text: str = "text", encoder: Callable[[list[str]], np.
     return df.mapInArrow(run, f"{fields}, embedding array<float>")
 
 
+def _scored(v: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Packed vectors, the place of the likeliest role (from 1) and its probability."""
+    z = v.astype(np.float64) @ weights.T + bias
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    p = e.max(axis=1) / e.sum(axis=1)
+    return pack(v), pa.array(z.argmax(axis=1).astype(np.int32) + 1), pa.array(np.floor(p * 1e4 + 0.5) / 1e4)
+
+
 class RoleModel:
     """Multinomial logistic regression; the classes are in alphabetical order.
 
@@ -97,6 +162,22 @@ class RoleModel:
         fit = LogisticRegression(family="multinomial", regParam=1 / len(rows), elasticNetParam=0.0, standardization=False, maxIter=1000).fit(train)
         self.weights, self.bias = fit.coefficientMatrix.toArray(), fit.interceptVector.toArray()
 
+    def describe(self, regions: DataFrame, text: str = "text") -> DataFrame:
+        """encode() and classify() in one pass through which only texts go; the embedding is packed."""
+        encoder, weights, bias = self.encoder, self.weights, self.bias
+
+        @F.arrow_udf("struct<embedding:binary,role:int,confidence:double>")
+        def run(column: pa.Array) -> pa.Array:
+            texts = [x if x and x.strip() else EMPTY for x in column.to_pylist()]
+            parts = [_scored(np.asarray(encoder(texts[k : k + 1024]), np.float32), weights, bias) for k in range(0, len(texts), 1024)]
+            kinds = (pa.binary(), pa.int32(), pa.float64())
+            return pa.StructArray.from_arrays([pa.concat_arrays([p[k] for p in parts]) if parts else pa.array([], t) for k, t in enumerate(kinds)], names=["embedding", "role", "confidence"])
+
+        said = regions.withColumn("_said", run(F.col(text)))
+        able = F.col("region_class").isin(*T.TEXT_CLASSES) & F.coalesce(text, F.lit("")).rlike(r"\S")
+        role = F.when(able, F.element_at(F.array(*map(F.lit, self.roles)), F.col("_said.role"))).otherwise("N/A")
+        return said.withColumn("embedding", F.col("_said.embedding")).withColumn("scholarly_role", role).withColumn("role_confidence", F.when(able, F.col("_said.confidence")).otherwise(0.0)).drop("_said")
+
     def classify(self, regions: DataFrame) -> DataFrame:
         """Adds scholarly_role and role_confidence; regions without text of their own have N/A and 0."""
         weights, bias = self.weights, self.bias

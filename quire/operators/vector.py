@@ -8,27 +8,34 @@ the others those that may hold a better row, so it finds what a full search find
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import tables as T
+from ..functions.packed import pack, units
 from ..functions.scalar import strip, unit
 
 #: Queries that are sent to the executors at once.
 BLOCK = 4096
+#: Rows found that may be sent to the executors to join the index.
+FEW = 1 << 18
 
 
 def is_noise(region_class="region_class", role="role"):
     return F.col(region_class).isin(*T.NOISE_CLASSES) | (F.col(role) == "N/A")
 
 
+def is_admitted():
+    """For the index: no noise, at least five characters of text within the first 400."""
+    return ~is_noise() & (F.length(strip(F.substring("text", 1, T.INDEX_CHARS))) >= T.INDEX_MIN_CHARS)
+
+
 def admit(nodes: DataFrame) -> DataFrame:
-    """Nodes for the index: no noise, at least five characters of text, cut to 400."""
-    out = nodes.withColumn("is_noise", is_noise()).where(~F.col("is_noise"))
-    return out.withColumn("text", F.substring("text", 1, T.INDEX_CHARS)).where(F.length(strip(F.col("text"))) >= T.INDEX_MIN_CHARS)
+    """Nodes for the index, their texts cut to 400 characters."""
+    return nodes.where(is_admitted()).withColumn("is_noise", is_noise()).withColumn("text", F.substring("text", 1, T.INDEX_CHARS))
 
 
 def build_index(nodes: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -40,6 +47,18 @@ def index_type(n: int) -> tuple[str, int]:
     return ("exact", 1) if n <= T.EXACT_ROWS else ("ivf", max(1, min(T.MAX_LISTS, n // 10)))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Vectors are unpacked for so many rows at once, which bounds a worker's memory."""
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.slice(k, rows)
+
+
+def _by_pieces(f: Callable[..., np.ndarray], *columns: pa.Array, rows: int = 2048) -> np.ndarray:
+    """f over the vectors of some rows at a time."""
+    return np.concatenate([f(*(units(c.slice(k, rows)) for c in columns)) for k in range(0, len(columns[0]), rows)] or [np.zeros(0)])
+
+
 def _best(queries, vector_at: int, probe_at: int | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, k, probes, reach = queries.value
@@ -62,11 +81,9 @@ def _best(queries, vector_at: int, probe_at: int | None = None):
             best = found[i][0][1] if found[i] else ()
             return best[-1] - 1e-8 if len(best) == k[i] else -np.inf
 
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in _pieces(batches):
             node = batch.column(0).to_numpy()
-            e = np.asarray(batch.column(vector_at).flatten(), np.float64).reshape(len(node), -1)
+            e = units(batch.column(vector_at))
             if probe_at is None:
                 s = e @ q.T
                 for i in range(len(ids)):
@@ -94,11 +111,10 @@ def _radius(index: DataFrame, centroids: np.ndarray) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         far = np.full(len(centroids), -1.0)
-        for batch in batches:
-            if len(batch):
-                at = batch.column(0).to_numpy()
-                e = np.asarray(batch.column(1).flatten(), np.float64).reshape(len(at), -1)
-                np.maximum.at(far, at, np.linalg.norm(e - centroids[at], axis=1))
+        for batch in _pieces(batches):
+            at = batch.column(0).to_numpy()
+            e = units(batch.column(1))
+            np.maximum.at(far, at, np.linalg.norm(e - centroids[at], axis=1))
         have = np.flatnonzero(far >= 0)
         yield pa.RecordBatch.from_arrays([pa.array(have.astype(np.int32)), pa.array(far[have])], names=["list", "far"])
 
@@ -143,14 +159,16 @@ def search(index: DataFrame, queries: DataFrame, top_k: int = T.TOP_K, exclude_n
     wide = F.when(F.col("role_filter").isNotNull() | F.lit(exclude_noise), top_k * T.OVERFETCH).otherwise(top_k)
     asked = queries.withColumn("fetch_k", wide.cast("int"))
     hits = scan(index, asked, centroids=centroids).withColumnRenamed("rank", "raw_rank")
-    # Only what the filters need meets all that was fetched; texts and the rest join what is left.
-    hits = hits.join(index.select("node_id", "role", "is_noise"), "node_id").join(asked.select("query_id", "role_filter"), "query_id")
+    # Only what the filters need meets all that was fetched; texts and the rest join what is left. Few rows go to the index.
+    n = queries.limit(BLOCK + 1).count()
+    few = F.broadcast if n <= BLOCK and n * top_k * T.OVERFETCH <= FEW else lambda x: x
+    hits = few(hits).join(index.select("node_id", "role", "is_noise"), "node_id").join(asked.select("query_id", "role_filter"), "query_id")
     if exclude_noise:
         hits = hits.where(~F.col("is_noise"))
     hits = hits.where(F.col("role_filter").isNull() | (F.col("role") == F.col("role_filter"))).drop("role_filter")
     order = W.partitionBy("query_id").orderBy("raw_rank")
     hits = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).drop("raw_rank")
-    return hits.join(index.drop("embedding", "list", "role", "is_noise"), "node_id")
+    return few(hits).join(index.drop("embedding", "list", "role", "is_noise"), "node_id")
 
 
 def cluster(index: DataFrame, lists: int, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
@@ -163,6 +181,57 @@ def cluster(index: DataFrame, lists: int, seed: int = 42) -> tuple[DataFrame, np
     return model.transform(rows).drop("v"), np.array(model.clusterCenters())
 
 
+def packed(vector: str = "embedding"):
+    """A column of float or double arrays as packed vectors; nulls are no vectors and stay."""
+
+    @F.arrow_udf("binary")
+    def run(column: pa.Array) -> pa.Array:
+        kind = np.float64 if pa.types.is_float64(column.type.value_type) else np.float32
+        have = column.drop_null()
+        out = pack(np.asarray(have.flatten(), kind).reshape(len(have), -1))
+        return out if len(have) == len(column) else out.take(pa.array(np.where(column.is_valid(), np.cumsum(column.is_valid()) - 1, 0), mask=~np.asarray(column.is_valid())))
+
+    return run(F.col(vector))
+
+
+def cosines(a, b):
+    """Of packed vectors; 0 where either has no length."""
+
+    @F.arrow_udf("double")
+    def run(left: pa.Array, right: pa.Array) -> pa.Array:
+        return pa.array(_by_pieces(lambda a, b: (a * b).sum(axis=1), left, right), pa.float64())
+
+    return run(a, b)
+
+
+def sampled_lists(index: DataFrame, n: int, lists: int, seed: int = 42, rounds: int = 20) -> np.ndarray:
+    """Centroids by k-means over at most about ``T.LIST_ROWS`` of the n rows of a packed index, chosen by their ids."""
+    some = index if n <= T.LIST_ROWS else index.where(F.pmod(F.xxhash64("node_id"), F.lit(n)) < T.LIST_ROWS)
+    rows = some.select("node_id", "embedding").toArrow().sort_by("node_id")
+    v = units(rows.column("embedding").combine_chunks())
+    at = np.random.default_rng(seed).choice(len(v), min(lists, len(v)), replace=False)
+    centroids = np.concatenate([v[at], np.zeros((lists - len(at), v.shape[1]))])
+    for _ in range(rounds):
+        near = _nearest(v, centroids)
+        for k in np.unique(near):
+            centroids[k] = v[near == k].mean(axis=0)
+    return centroids
+
+
+def _nearest(v: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    return ((centroids**2).sum(axis=1) - 2 * (v @ centroids.T)).argmin(axis=1)
+
+
+def listed(index: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """A packed index with each row's list, that of the nearest centroid."""
+
+    @F.arrow_udf("int")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array(_by_pieces(lambda v: _nearest(v, centroids), column).astype(np.int32))
+
+    return index.withColumn("list", run(F.col("embedding")))
+
+
 def summary(index: DataFrame) -> DataFrame:
     return index.groupBy("role").agg(F.count(F.lit(1)).alias("n"))
 

@@ -31,30 +31,32 @@ class Settings:
 
 
 def regions_of(blocks: DataFrame, figures: DataFrame | None = None) -> DataFrame:
-    """Classified regions in reading order."""
-    found = saved(L.detect(blocks, figures), "regions")
-    order = P.reading_order(found)
-    return found.join(order, ["doc_id", "page_index", "region_pos"])
+    """Classified regions in reading order.
+
+    Blocks are shuffled once, by document; boxes alone go a second way, to the function that orders a page, and a
+    document's orders come back as one row. The rows stay dealt by document for what needs all of one.
+    """
+    found = L.detect(blocks, figures, by_document=True)
+    orders = P.page_orders(found).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("page_index", "places"))).alias("orders"))
+    place = F.array_position(F.col("orders")[F.col("page_index").cast("int")], F.col("region_pos").cast("int")) - 1
+    return found.join(orders.hint("merge"), "doc_id").withColumn("reading_pos", place.cast("int")).drop("orders")
 
 
-def semantic_regions(regions: DataFrame, encoder=S.hashed_vectors) -> DataFrame:
-    """Regions with vectors and roles, as nodes of a graph."""
-    coded = S.encode(regions.withColumnRenamed("text_content", "text"), "text", encoder)
-    out = S.RoleModel(regions.sparkSession, encoder=encoder).classify(coded)
-    return out.select(
+def region_nodes(regions: DataFrame) -> DataFrame:
+    """Regions as nodes of a graph, still without vectors and roles; ``full_text`` is what those are made of."""
+    return regions.select(
         F.col("doc_id").alias("doc"),
         F.col("page_index").alias("page"),
         F.col("region_id").alias("node_id"),
         "region_class",
-        "text",
+        F.col("text_content").alias("text"),
+        F.col("text_content").alias("full_text"),
         "bbox",
         F.col("bbox.y0").alias("y0"),
-        F.col("scholarly_role").alias("role"),
-        "role_confidence",
+        F.lit(None).cast("string").alias("role"),
         "confidence",
         "backend",
         "source_block_ids",
-        "embedding",
         (F.col("page_index") * 100_000 + F.col("reading_pos")).cast("long").alias("node_seq"),
     )
 
@@ -136,23 +138,29 @@ def build(nodes: DataFrame, path: str, links: DataFrame | None = None, heading=N
     if links is not None and dict(nodes.dtypes)["node_id"] == "string":
         raise ValueError("links of nodes with text ids are made here")
     nodes = numbered(nodes)
-    links = G.link_captions(nodes) if links is None else links
-    known = G.assign_sections(G.distinct_nodes(nodes), heading)
-    known.write.mode("overwrite").parquet(f"{path}/nodes")
+    return _store(G.assign_sections(G.distinct_nodes(nodes), heading).withColumn("embedding", V.packed()), path, links, encoder)
+
+
+def _store(known: DataFrame, path: str, links: DataFrame | None, encoder) -> Corpus:
+    """Writes nodes with sections and packed vectors, then edges and the index, which read them."""
+    spark = known.sparkSession
+    known.withColumn("is_indexed", V.is_admitted()).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/nodes")
     known = spark.read.parquet(f"{path}/nodes")
-    if "text_id" in known.columns and not known.groupBy("node_id").agg(F.count_distinct("doc", "text_id").alias("n")).where("n > 1").isEmpty():
+    # One row is left of a document's node, so a number that comes twice is that of two documents.
+    if "text_id" in known.columns and not known.groupBy("node_id").count().where("count > 1").isEmpty():
         raise ValueError("two nodes have one number")
-    G.build_edges(known, links).write.mode("overwrite").parquet(f"{path}/edges")
-    index = saved(V.build_index(known), "index")
-    kind, lists = V.index_type(index.count())
-    if kind == "exact":
-        J.write_index(index, f"{path}/index")
-    else:
-        rows, centroids = V.cluster(index, lists)
-        J.write_index(rows, f"{path}/index", kind, centroids)
+    G.build_edges(known, G.link_captions(known) if links is None else links).write.mode("overwrite").parquet(f"{path}/edges")
+    index = known.where("is_indexed").select("node_id", "doc", "page", "region_class", "role", "is_noise", "embedding")  # texts are in the nodes
+    n = index.count()
+    kind, lists = V.index_type(n)
+    centroids = None if kind == "exact" else V.sampled_lists(index, n, lists)
+    J.write_index(index if centroids is None else V.listed(index, centroids), f"{path}/index", kind, centroids, folders=False)
     return Corpus(spark, path, encoder)
 
 
 def build_from_blocks(blocks: DataFrame, path: str, figures: DataFrame | None = None, encoder=S.hashed_vectors) -> Corpus:
     """The whole way from page blocks: regions in reading order, roles and vectors, links, graph and index."""
-    return build(saved(semantic_regions(regions_of(blocks, figures), encoder), "nodes"), path, encoder=encoder)
+    nodes = G.assign_sections(G.distinct_nodes(numbered(region_nodes(regions_of(blocks, figures)))))
+    nodes = S.RoleModel(blocks.sparkSession, encoder=encoder).describe(nodes, "full_text")
+    nodes = nodes.withColumn("role", F.col("scholarly_role")).withColumn("is_noise", V.is_noise()).drop("scholarly_role", "full_text")
+    return _store(nodes, path, None, encoder)

@@ -167,11 +167,12 @@ def alignment_documents(alignment: DataFrame, unassigned: DataFrame) -> DataFram
     return a.join(u, "doc_id", "full").select("doc_id", F.coalesce("alignments", none).alias("alignments"), F.coalesce("unassigned", F.array().cast("array<string>")).alias("unassigned"))
 
 
-def write_index(index: DataFrame, path: str, kind: str = "exact", centroids: np.ndarray | None = None) -> None:
-    """The index with its kind, and its lists' centroids if it has any; lists are partitions of the table."""
+def write_index(index: DataFrame, path: str, kind: str = "exact", centroids: np.ndarray | None = None, folders: bool = True) -> None:
+    """The index with its kind, and its lists' centroids if it has any; lists are partitions of the table, or without
+    ``folders`` a column like others."""
     out = index.withColumn("index_kind", F.lit(kind))
-    writer = out.write.mode("overwrite")
-    (writer.partitionBy("list") if "list" in out.columns else writer).parquet(f"{path}/rows")
+    writer = out.write.mode("overwrite").option("compression", "zstd")
+    (writer.partitionBy("list") if folders and "list" in out.columns else writer).parquet(f"{path}/rows")
     rows = [(k, c.tolist()) for k, c in enumerate(centroids if centroids is not None else [])]
     index.sparkSession.createDataFrame(rows, "list int, centroid array<double>").write.mode("overwrite").parquet(f"{path}/centroids")
 

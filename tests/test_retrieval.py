@@ -3,11 +3,15 @@
 import math
 import random
 import shutil
+import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions import tables as T
+from quire.functions import packed, tables as T
+from quire.functions.scalar import char_share, strip
 from quire.operators import evaluate as E, graph as G, prompt as Q, retrieval as R, semantic as S, vector as V
 from quire.plans import pipeline as P
 from quire.sources import derive as D, json_io as J
@@ -324,3 +328,63 @@ def test_roles_by_a_plain_softmax(spark, small):
     e = np.exp(x @ model.weights.T + model.bias)
     e = e / e.sum(axis=1, keepdims=True) - np.eye(len(model.roles))[y]
     assert np.abs(e.T @ x / len(y) + model.weights / len(y)).max() < 1e-3
+
+
+def plain_vectors(texts, dim=S.DIM):
+    out = np.zeros((len(texts), dim), np.float32)
+    for k, text in enumerate(texts):
+        for word in text.lower().split():
+            marked = f"<{word}>"
+            for part in (word, *(marked[i : i + 3] for i in range(len(marked) - 2))):
+                h = zlib.crc32(part.encode())
+                out[k, h % dim] += 1.0 if h >> 31 else -1.0
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(norm == 0, 1, norm)
+
+
+def test_words_are_hashed_all_at_once():
+    chars = [*range(128), *range(0xA0, 0x250), 0x85, 0x130, 0x3A3, 0x2028, 0x3000, 0x4E00, 0x1F600]
+    pick = np.random.default_rng(3)
+    texts = ["", " ", "a", "<a>", "x" * 300 + " " + "y" * 64 + " " + "z" * 65, "ΑΣ é", "日本語 😀x"]
+    texts += ["".join(chr(chars[k]) for k in pick.integers(0, len(chars), pick.integers(0, 200))) for _ in range(700)]
+    assert (S.hashed_vectors(texts) == plain_vectors(texts)).all() and S.hashed_vectors([]).shape == (0, S.DIM)
+
+
+def test_packed_vectors_come_back():
+    whole, long, floats = plain_vectors(["a bc", "", "some more words", "a a"]), plain_vectors(["", "ab " * 200]), np.random.default_rng(1).normal(size=(3, S.DIM)).astype(np.float32)
+    for v in (whole, long, floats, np.concatenate([whole, floats]), floats.astype(float) / 3):
+        column = packed.pack(v)
+        assert (packed.unpack(column) == v).all() and (packed.unpack(column.slice(1)) == v[1:]).all()
+    assert len(packed.unpack(packed.pack(whole[:0]))) == 0
+    assert [len(x) for x in packed.pack(whole).to_pylist()] == [S.DIM + 1] * 4
+    assert [len(x) for x in packed.pack(plain_vectors(["ab " * 200 + "c"])).to_pylist()] == [2 * S.DIM + 1]
+
+
+def test_a_corpus_is_dealt_once_and_stored_small(spark, small, tmp_path, monkeypatch):
+    """Texts are shuffled once until nodes are written, vectors take a byte or two a place, and the index has no texts."""
+    monkeypatch.setattr(T, "EXACT_ROWS", 50)
+    monkeypatch.setattr(T, "LIST_ROWS", 60)
+    blocks = D.blocks(spark, small)
+    nodes = G.assign_sections(G.distinct_nodes(P.numbered(P.region_nodes(P.regions_of(blocks)))))
+    plan = nodes._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == 3 and plan.count("Exchange") == 3
+    corpus = P.build_from_blocks(blocks, str(tmp_path / "corpus"))
+    assert corpus.kind == "ivf" and "text" not in corpus.index.columns and "list" in corpus.index.columns
+    rows = corpus.nodes.join(blocks.select(F.col("block_id"), F.col("text").alias("whole")), F.col("source_block_ids")[0] == F.col("block_id")).select("whole", "embedding", "role", "region_class").collect()
+    assert len(rows) == blocks.count() and sum(len(r.embedding) for r in rows) < 1.1 * len(rows) * (S.DIM + 1)
+    got = packed.unpack(pa.array([r.embedding for r in rows], pa.binary()))
+    assert (got == plain_vectors([r.whole if r.whole.strip() else S.EMPTY for r in rows])).all()
+    q = P.encode_queries(E.query_bank(spark).select("query_id", "query")).withColumn("role_filter", F.lit(None).cast("string"))
+    ids = lambda df: {(r.query_id, r.node_id, r.rank) for r in df.collect()}
+    assert ids(V.search(corpus.index, q, centroids=corpus.centroids)) == ids(V.search(corpus.index, q))
+    model = S.RoleModel(spark)
+    told = model.classify(S.encode(spark.createDataFrame([(r.whole, r.region_class) for r in rows], "text string, region_class string"))).collect()
+    assert sorted((r.text, r.scholarly_role) for r in told) == sorted((r.whole, r.role) for r in rows)
+
+
+def test_blank_ends_and_shares(spark):
+    texts = ["", " a ", "a ", "a  ", " \t\n\x0b\f\ra b\r\n", "a \x85", "\xa0a\xa0", "\x1ca", "±a", "é±", "abc"]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    got = df.select(strip(F.col("t")).alias("a"), F.regexp_replace("t", r"^\s+|\s+$", "").alias("b"), char_share(F.col("t"), T.MATH_CHARS).alias("s"), "t").collect()
+    assert all(r.a == r.b for r in got)
+    assert [r.s for r in got if r.t is not None] == [sum(c in T.MATH_CHARS for c in t) / max(len(t), 1) for t in texts]

@@ -1,7 +1,8 @@
 """A training corpus from the documents table, stage by stage.
 
 Every stage takes (spark, docs, sf_dir) and works on all its predecessor kept. All but the last return the
-columns of documents; the last writes the token blocks and returns what is read back from them.
+columns of documents; the last writes the token blocks and returns what is read back from them. Texts go to Python
+in small batches (small_batches), as an executor's memory has to hold them beside its full heap.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.llm import decontam, minhash, mixing, quality, tokens
-from quire.llm.common import Stages, table
+from quire.llm.common import Stages, small_batches, table
 from quire.llm.queries import tokenizer_path
 
 #: A document whose quality score is below this goes.
@@ -22,6 +23,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts are scored as one empty passage, repeated rows fare alike, and texts of one id are
     scored apart. An empty table, or one without labels, goes on as it is: every score is 0.5 then.
     """
+    small_batches(spark)
     model = quality.train_quality(docs, table(spark, sf_dir, "labels"))
     return quality.score_quality(docs, model).where(F.col("score") >= QUALITY).select("row.*")
 
@@ -33,6 +35,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stays. Texts without words, and rows without an id, are linked with nothing and all stay.
     An empty table stays empty.
     """
+    small_batches(spark)
     stages = Stages(spark, "kept")
     gone = stages.put(minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "gone")
     named, nameless = docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL")
@@ -52,6 +55,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Null texts stay null, repeated rows are cut alike; an empty benchmark, or an empty table, changes nothing.
     """
+    small_batches(spark)
     out = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     now = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(*(now.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
@@ -63,6 +67,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Rows of one id each come as often as the id's greatest rate says, those without an id as null's; null and
     empty texts have a rate as all others have. An empty table stays empty.
     """
+    small_batches(spark)
     labelled = mixing.label_domains(table(spark, sf_dir, "labels"))
     rates = mixing.mix(docs, labelled, mixing.TARGETS, mixing.BUDGET)
     rates = rates.groupBy(F.col("doc_id").alias("rated_id")).agg(F.max("copies").alias("copies")).where("copies > 0")
@@ -75,6 +80,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are the end id alone, a null id comes first. An empty table gives no rows.
     """
+    small_batches(spark)
     return tokens.read_tokens(tokens.write_tokens(docs, tokenizer_path()))
 
 

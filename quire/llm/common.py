@@ -58,6 +58,21 @@ class Stages:
                 place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Bytes of rows in one Arrow batch on its way to a Python worker. Spark's 64 MB take a whole task's texts at once.
+BATCH_BYTES = 2 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by their bytes, unless it has a bound of its own.
+
+    An executor holds a batch while it grows, while it is sent and while a worker reads it, for each of its tasks. Rows
+    are the same with any bound, and one above it is a batch of its own. Spark looks it up when a plan runs, so it stays set.
+    """
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def frugal(run: Callable) -> Callable:
     """A map over Arrow batches that gives its memory back when its task ends.
 

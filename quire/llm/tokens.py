@@ -366,6 +366,7 @@ def read_tokens(shards: DataFrame) -> DataFrame:
     for part, n in sums:
         base.append((part, total))
         total += n
-    base = spark.createDataFrame(base, "part int, base long")
+    # From Arrow, not from rows: those would start a second kind of Python worker on every executor.
+    base = spark.createDataFrame(pa.table({"part": pa.array([p for p, _ in base], pa.int32()), "base": pa.array([b for _, b in base], pa.int64())}))
     rows = shards.join(F.broadcast(base), "part").select((F.col("base") + F.col("before")).alias("base"), "doc_ids", "n_tokens", "payload")
     return rows.mapInArrow(frugal(_read), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -3,12 +3,14 @@
 import collections
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from quire.llm import queries as Q
-from quire.llm.common import Stages
+from quire.llm import tokens
+from quire.llm.common import BATCH_BYTES, BATCH_SETTING, Stages
 
 ALNUM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 SPACED = re.compile("[^\x20\x09-\x0d]+")
@@ -111,3 +113,31 @@ def test_sql(spark, small, name):
     assert sorted(columns) == sorted(df.columns)
     key = lambda r: tuple(r)
     assert sorted(map(key, df.select(*[F.col(c) for c in columns]).collect()), key=repr) == sorted(result.fetchall(), key=repr)
+
+
+@pytest.mark.parametrize("name, stage", P.STAGES)
+def test_stages_take_texts_in_small_batches(spark, small, name, stage):
+    """A task's texts never come to Python as one batch, however many there are."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["rows", "bytes"])
+
+    spark.conf.unset(BATCH_SETTING)
+    stage(spark, spark.read.parquet(f"{small}/documents.parquet"), small)
+    texts = spark.range(0, 4000, 1, 1).select("id", F.expr("repeat('word ', 600)").alias("text"))
+    got = texts.mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r.rows for r in got) == 4000
+    assert max(r.bytes for r in got) <= 2 * BATCH_BYTES
+    spark.conf.set(BATCH_SETTING, "3m")
+    stage(spark, spark.read.parquet(f"{small}/documents.parquet"), small)
+    assert spark.conf.get(BATCH_SETTING) == "3m"  # a bound that the session has already
+    spark.conf.unset(BATCH_SETTING)
+
+
+def test_tokens_are_read_with_one_kind_of_worker(spark):
+    """The sums of the parts go back without rows pickled in Python, which have workers of their own on each executor."""
+    docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
+    out = tokens.read_tokens(tokens.write_tokens(docs, P.tokenizer_path()))
+    assert "ExistingRDD" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [r.doc_id for r in out.orderBy("start").collect()] == [1, 2]
